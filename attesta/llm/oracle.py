@@ -40,3 +40,16 @@ select doc_id, count(*)::bigint as n_lines, count_if(gone)::bigint as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
 from marked group by doc_id
 """
+
+SQL["op3_chat_format"] = r"""
+with turns as (select distinct conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null and turn is not null),
+placed as (select conv_id, role, text, row_number() over (partition by conv_id order by turn, role, text) as pos from turns),
+convs as (
+  select conv_id, count(*) as n_turns, list(struct_pack(r := role, t := text) order by pos) as said,
+    string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' order by pos) as rendered
+  from placed group by conv_id),
+ends as (select said, any_value(n_turns) as n_turns, min(conv_id) as conv_id, count(*) as n_same, any_value(rendered) as rendered from convs group by said),
+inner_prefixes as (select distinct said[1:k] as said from (select said, unnest(range(1, n_turns)) as k from convs))
+select conv_id, 0::bigint as part, n_turns::bigint as n_turns, n_same::bigint as n_same, length(rendered)::bigint as n_chars, sha256(rendered) as rendered_sha256
+from ends e where not exists (select 1 from inner_prefixes p where p.said = e.said)
+"""
