@@ -53,3 +53,20 @@ inner_prefixes as (select distinct said[1:k] as said from (select said, unnest(r
 select conv_id, 0::bigint as part, n_turns::bigint as n_turns, n_same::bigint as n_same, length(rendered)::bigint as n_chars, sha256(rendered) as rendered_sha256
 from ends e where not exists (select 1 from inner_prefixes p where p.said = e.said)
 """
+
+SQL["op9_minhash_dedup"] = r"""
+with recursive base as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+shingled as (
+  select doc_id, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) as k from base where len(ws) >= 3
+  union all select doc_id, array_to_string(ws, ' ') from base where len(ws) in (1, 2)),
+sets as (select distinct doc_id, k from shingled),
+sizes as (select doc_id, count(*) as n from sets group by doc_id),
+common as (select a.doc_id as x, b.doc_id as y, count(*) as c from sets a join sets b on a.k = b.k and a.doc_id < b.doc_id group by all),
+links as (
+  select x, y from common join sizes p on p.doc_id = x join sizes q on q.doc_id = y where 100 * c >= 85 * (p.n + q.n - c)),
+both_ways as (select x, y from links union all select y, x from links),
+reach as (select doc_id, doc_id as r from documents union select reach.doc_id, b.y from reach join both_ways b on b.x = reach.r),
+roots as (select doc_id, min(r) as component_id from reach group by doc_id)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, doc_id = component_id as kept from roots left join sizes using (doc_id)
+"""

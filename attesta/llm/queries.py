@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import bpe, chat, line_dedup, packing, quality_rules, secret_scan, simhash
+from attesta.llm import bpe, chat, line_dedup, minhash, packing, quality_rules, secret_scan, simhash
 from attesta.llm.common import table
 
 
@@ -34,10 +34,14 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash(table(spark, sf_dir, "documents"))
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_chat_format, op5_bpe, op7_line_dedup, op8_simhash, op10_packing)
+    f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_chat_format, op5_bpe, op7_line_dedup, op8_simhash, op9_minhash_dedup, op10_packing)
 }
