@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import bpe, chat, line_dedup, minhash, packing, quality_rules, secret_scan, simhash
+from attesta.llm import bpe, chat, line_dedup, minhash, packing, quality_gbdt, quality_rules, secret_scan, simhash, toxicity
 from attesta.llm.common import table
 
 
@@ -22,10 +22,18 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_format(table(spark, sf_dir, "conversations"))
 
 
+def op4_quality_gbdt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gbdt.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), bpe.file_block())
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
 
@@ -43,5 +51,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_chat_format, op5_bpe, op7_line_dedup, op8_simhash, op9_minhash_dedup, op10_packing)
-}
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op2_secret_scan, op3_chat_format, op4_quality_gbdt, op5_bpe, op6_toxicity, op7_line_dedup, op8_simhash, op9_minhash_dedup, op10_packing
+    )
+}
