@@ -6,7 +6,7 @@ pair); the first CHUNKS * WIDTH give 16-bit symbols (the signature, which finds
 Join. The signature is split into CHUNKS chunks. By the pigeonhole principle two signatures that differ in at most
 CHUNKS * (ERRORS + 1) - 1 symbols differ in at most ERRORS = 1 symbols of some chunk, so a chunk is keyed once for each
 symbol left out, and every such pair shares a key. At a similarity of 0.85 a pair misses all keys with a probability of
-about 2e-8.
+about 2e-8, at 0.8 of about 3e-6.
 
 Links. Documents with equal shingle sets are one class from the start. In each key the member that shares most with
 others is the hub, and members are compared with hubs only, so a group of near copies costs rows in proportion to its
@@ -21,6 +21,7 @@ share a component; a null doc_id counts as the smallest; an empty table gives an
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,15 +31,20 @@ from pyspark.sql import functions as F
 
 from attesta.llm.common import NO_ID, ascii_lower, whole, words, written
 
-SHINGLE = 3
-PERCENT = 85
+#: The operator's own defaults: words in a shingle, and the least similarity of a link in percent.
+SHINGLE = 5
+PERCENT = 80
 HASHES, CHUNKS, WIDTH = 512, 12, 6
 SKETCH = [f"b{i}" for i in range(HASHES // 64)]
-#: Sketch bits that differ where the similarity is 0.85: 38.4 +- 6.0; five deviations more.
-MOST_BITS = 68
 
 
-def shingles(text: Column, size: int = SHINGLE) -> tuple[Column, Column]:
+def most_bits(percent: int) -> int:
+    """Sketch bits that may differ: half of the hashes that differ at this similarity, and five standard deviations more."""
+    p = (1 - percent / 100) / 2
+    return math.ceil(HASHES * p + 5 * math.sqrt(HASHES * p * (1 - p)))
+
+
+def shingles(text: Column, size: int) -> tuple[Column, Column]:
     """(words, function of the word array): the distinct hashed shingles; the words need a column of their own."""
     return words(ascii_lower(text)), _shingled("_w", size)
 
@@ -49,7 +55,7 @@ def _shingled(w: str, size: int) -> Column:
     return F.array_distinct(F.when(n >= size, many).when(n > 0, F.array(F.xxhash64(F.col(w)))).otherwise(F.expr("cast(array() as array<bigint>)")))
 
 
-def with_shingles(df: DataFrame, text: str, out: str, size: int = SHINGLE) -> DataFrame:
+def with_shingles(df: DataFrame, text: str, out: str, size: int) -> DataFrame:
     w, _ = shingles(F.col(text), size)
     return df.withColumn("_w", w).withColumn(out, _shingled("_w", size)).drop("_w")
 
@@ -110,7 +116,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+def signatures(docs: DataFrame, size: int) -> DataFrame:
     """One row for each row of docs (_id, _th, text): n, the set's 128-bit hash, symbols and sketch."""
     df = with_shingles(docs.select("_id", "_th", "text"), "text", "s", size).withColumn("_o", F.sort_array("s"))
     df = df.select("_id", "_th", F.size("s").cast("long").alias("n"), F.xxhash64(F.lit(1), "_o").alias("s1"), F.xxhash64(F.lit(2), "_o").alias("s2"), "s")
@@ -137,23 +143,23 @@ def shared_keys(classes: DataFrame) -> DataFrame:
     return rows.join(counts, "key").distinct()
 
 
-def alike(a: str, b: str) -> Column:
+def alike(a: str, b: str, percent: int) -> Column:
     """The filter before confirmation: sizes and sketches (columns {a}n, {a}b0, ...) allow the similarity asked for."""
     na, nb = F.col(f"{a}n"), F.col(f"{b}n")
     differ = sum((F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in SKETCH), F.lit(0))
-    return (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & (differ <= MOST_BITS)
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (differ <= most_bits(percent))
 
 
 def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*(F.col(c).alias(f"{prefix}{c}") for c in df.columns))
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     left, right = texts.select(F.col("cid").alias("a"), F.col("text").alias("ta")), texts.select(F.col("cid").alias("b"), F.col("text").alias("tb"))
     df = pairs.join(left, "a").join(right, "b")
     df = with_shingles(with_shingles(df, "ta", "sa", size), "tb", "sb", size).withColumn("both", F.size(F.array_intersect("sa", "sb")))
-    return df.where(100 * F.col("both") >= PERCENT * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b").distinct()
+    return df.where(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -163,7 +169,7 @@ def components(edges: DataFrame) -> DataFrame:
     seen = mark(now)
     while seen[0]:
         both = now.union(now.select("v", "u").toDF("u", "v"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         below = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(below, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(below.select("u", F.col("m").alias("v")))
@@ -174,7 +180,7 @@ def components(edges: DataFrame) -> DataFrame:
     return now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
 
 
-def class_links(classes: DataFrame, texts_of: DataFrame, size: int = SHINGLE) -> DataFrame:
+def class_links(classes: DataFrame, texts_of: DataFrame, size: int, percent: int) -> DataFrame:
     """node, root for the classes that are linked with others; classes (cid, n, symbols, sketch), texts_of (cid, text)."""
     keys = written(shared_keys(classes), "keys")
     slim = written(classes.drop("symbols").join(keys.select("cid").distinct(), "cid", "left_semi"), "sketches")
@@ -182,9 +188,9 @@ def class_links(classes: DataFrame, texts_of: DataFrame, size: int = SHINGLE) ->
     shared = keys.join(keys.groupBy("cid").agg(F.sum("members").alias("rank")), "cid")
     hubs = shared.groupBy("key").agg(F.max(F.struct("rank", (-F.col("cid")).alias("no"))).alias("top")).select("key", (-F.col("top.no")).alias("hub"))
     pairs = keys.join(hubs, "key").where("cid <> hub").select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct()
-    pairs = pairs.join(_prefixed(slim, "x_"), F.col("a") == F.col("x_cid")).join(_prefixed(slim, "y_"), F.col("b") == F.col("y_cid")).where(alike("x_", "y_")).select("a", "b")
+    pairs = pairs.join(_prefixed(slim, "x_"), F.col("a") == F.col("x_cid")).join(_prefixed(slim, "y_"), F.col("b") == F.col("y_cid")).where(alike("x_", "y_", percent)).select("a", "b")
     pairs = written(pairs, "hub_pairs")
-    links = written(confirmed(pairs, texts, size), "hub_links")
+    links = written(confirmed(pairs, texts, size, percent), "hub_links")
     roots = written(components(links), "roots")
 
     # what the hubs have left apart
@@ -194,12 +200,12 @@ def class_links(classes: DataFrame, texts_of: DataFrame, size: int = SHINGLE) ->
     members = written(placed.join(open_keys, "key").join(slim, "cid"), "open_members")
     x, y = _prefixed(members.where("root <> main"), "x_"), _prefixed(members, "y_")
     apart = (F.col("x_key") == F.col("y_key")) & (F.col("x_root") != F.col("y_root")) & ((F.col("y_root") == F.col("y_main")) | (F.col("x_cid") < F.col("y_cid")))
-    more = x.join(y, apart & alike("x_", "y_")).select(F.least("x_cid", "y_cid").alias("a"), F.greatest("x_cid", "y_cid").alias("b")).distinct()
+    more = x.join(y, apart & alike("x_", "y_", percent)).select(F.least("x_cid", "y_cid").alias("a"), F.greatest("x_cid", "y_cid").alias("b")).distinct()
     more = written(more.join(pairs, ["a", "b"], "left_anti"), "more_pairs")
-    return components(links.union(confirmed(more, texts, size)))
+    return components(links.union(confirmed(more, texts, size, percent)))
 
 
-def near_groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, _id, _th, n_shingles, component_id and kept, one row for each row of docs (doc_id, text)."""
     rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.xxhash64(whole("text")).alias("_th"), whole("text").alias("text"))
     signed = written(signatures(rows, size), "signatures")
@@ -208,20 +214,20 @@ def near_groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     firsts = written(firsts, "classes")
     own = signed.where("n > 0").select("_id", "s1", "s2", "n", "symbols", *SKETCH).join(firsts.withColumnRenamed("cid", "_id"), ["_id", "s1", "s2", "n"], "left_semi")
     classes = own.dropDuplicates(["_id", "s1", "s2"]).select(F.col("_id").alias("cid"), "n", "symbols", *SKETCH)
-    roots = written(class_links(classes, rows.select(F.col("_id").alias("cid"), "text"), size), "all_roots")
+    roots = written(class_links(classes, rows.select(F.col("_id").alias("cid"), "text"), size, percent), "all_roots")
     named = firsts.join(roots, firsts["cid"] == roots["node"], "left").select("s1", "s2", "n", F.coalesce("root", "cid").alias("root"))
     out = signed.select("_id", "_th", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left").withColumn("c", F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("_id")))
     plain = lambda c: F.nullif(F.col(c), F.lit(NO_ID))
     return out.select(plain("_id").alias("doc_id"), "_id", "_th", F.col("n").alias("n_shingles"), plain("c").alias("component_id"), (F.col("_id") == F.col("c")).alias("kept"))
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
+def near_dedup(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept."""
-    return near_groups(docs).select("doc_id", "n_shingles", "component_id", "kept")
+    return near_groups(docs, size, percent).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The documents of the smallest doc_id of each group, in the columns of docs."""
-    gone = written(near_groups(docs).where(~F.col("kept")).select("_id", "_th").distinct(), "near_copies")
+    gone = written(near_groups(docs, size, percent).where(~F.col("kept")).select("_id", "_th").distinct(), "near_copies")
     rows = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(NO_ID)), "_th": F.xxhash64(whole("text"))})
     return rows.join(gone, ["_id", "_th"], "left_anti").select(*docs.columns)

@@ -27,7 +27,7 @@ def op4_quality_gbdt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(table(spark, sf_dir, "documents"), bpe.file_block())
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_dedup(table(spark, sf_dir, "documents"))
+    return minhash.near_dedup(table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
