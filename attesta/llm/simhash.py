@@ -130,10 +130,11 @@ def successors(rows: DataFrame) -> DataFrame:
 def edited(rows: DataFrame, links: DataFrame) -> DataFrame:
     """_id, _th, edited: the text with its last half replaced by the start of the next text."""
     back = links.select(F.col("next_id").alias("_id"), F.col("next_th").alias("_th"), F.col("_id").alias("p_id"), F.col("_th").alias("p_th"), F.col("n_chars").alias("p_n"))
-    joined = rows.dropDuplicates(["_id", "_th"]).join(back, ["_id", "_th"])
-    heads = joined.select(F.col("p_id").alias("_id"), F.col("p_th").alias("_th"), F.expr("left(text, cast(p_n div 2 as int))").alias("head"))
-    half = F.expr("left(text, cast(n_chars - n_chars div 2 as int))")
-    return joined.join(heads, ["_id", "_th"]).select("_id", "_th", F.concat(half, "head").alias("edited"))
+    # both sides read the same exchange of the texts
+    texts = rows.select("_id", "_th", "text").dropDuplicates(["_id", "_th"])
+    heads = texts.join(back, ["_id", "_th"]).select(F.col("p_id").alias("_id"), F.col("p_th").alias("_th"), F.expr("left(text, cast(p_n div 2 as int))").alias("head"))
+    half = F.expr("left(text, cast(length(text) - length(text) div 2 as int))")
+    return texts.join(heads, ["_id", "_th"]).select("_id", "_th", F.concat(half, "head").alias("edited"))
 
 
 def simhash(docs: DataFrame) -> DataFrame:
