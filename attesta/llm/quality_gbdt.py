@@ -27,23 +27,23 @@ FOLDS, HELD_OUT = 4, 2
 MAX_LABELS = 20_000
 TREES, DEPTH, BINS, RATE, RIDGE, MIN_HESSIAN = 100, 4, 64, 0.12, 1.0, 1.0
 NAMES = (
-    "chars words word_length symbols pipes upper digits bangs stops commas lines dup_lines repeat distinct longest short line_chars other_marks"
+    "chars words word_length symbols pipes upper bangs stops lines dup_lines repeat distinct longest short line_chars"
 ).split()
 
 
 def statistics(docs: DataFrame) -> DataFrame:
     """Adds the statistics NAMES (double): logarithms of sizes, and shares of characters, words or lines."""
-    df = measured(docs.withColumn("text", whole("text"))).withColumn("_v", F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    df = measured(docs.withColumn("text", whole("text")), keep="_v")
     count = lambda chars: F.length("text") - F.length(F.translate("text", chars, ""))
     n, w, k = F.length("text"), F.col("n_words"), F.size(F.split("text", "\n", -1))
     df = df.withColumns({"_n": n.cast("double"), "_k": k.cast("double"), "_lens": F.transform("_v", F.length)})
     chars, words, lines = F.greatest(F.col("_n"), F.lit(1.0)), F.greatest(w.cast("double"), F.lit(1.0)), F.col("_k")
     share = {
         "chars": F.log1p("_n"), "words": F.log1p(w), "word_length": F.col("word_chars") / words, "symbols": F.col("n_symbols") / words, "pipes": count("|") / words,
-        "upper": count(UPPER) / chars, "digits": count("0123456789") / chars, "bangs": count("!") / words, "stops": count(".") / words, "commas": count(",") / words,
+        "upper": count(UPPER) / chars, "bangs": count("!") / words, "stops": count(".") / words,
         "lines": lines / words, "dup_lines": F.col("n_dup_lines") / lines, "repeat": F.col("n_repeat_words") / words, "distinct": F.size(F.array_distinct("_v")) / words,
         "longest": F.coalesce(F.array_max("_lens"), F.lit(0)).cast("double"), "short": F.size(F.filter("_lens", lambda x: x <= 3)) / words,
-        "line_chars": F.log1p(F.col("_n") / lines), "other_marks": count("()[]{}\"'/\\@=_~^`:;?") / words,
+        "line_chars": F.log1p(F.col("_n") / lines),
     }
     return df.withColumns({f"s_{c}": share[c].cast("double") for c in NAMES})
 

@@ -29,8 +29,8 @@ def _without(text: Column, chars: str) -> Column:
     return F.length(F.translate(text, chars, ""))
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed.
+def measured(docs: DataFrame, text: str = "text", keep: str = "") -> DataFrame:
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed; the words as column `keep` if named.
 
     Repeated windows: sort (hash, position) of all windows, keep those beside an equal hash, and sum the gaps between
     their positions, so a text of n words takes n log n steps.
@@ -62,7 +62,8 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     df = df.withColumns({"n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"), "n_repeat_words": F.coalesce(covered, F.lit(0).cast("long"))})
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return df.withColumn("base_failed", failed).drop("_w", "_l", "_h", "_s", "_p")
+    df = df.withColumn("base_failed", failed)
+    return (df.withColumnRenamed("_w", keep) if keep else df).drop("_w", "_l", "_h", "_s", "_p")
 
 
 def host_verdicts(stats: DataFrame, host: str) -> DataFrame:
