@@ -1,10 +1,12 @@
 """Byte-level BPE of a corpus, with each distinct word encoded once.
 
-Words are the matches of the split pattern. Rows are taken in blocks; each block sends its distinct words, packed by
-shard of the word's hash; a shard encodes every distinct word once for all blocks and sends the ids back to them; each
-block then rebuilds its texts from its words in their positions. Occurrences never cross the network one by one: what
-is shuffled is the block's compressed text, its distinct words and their ids. Decoding looks the ids up in the
-token-byte table, which is as large as the vocabulary file and no larger.
+Words are the matches of the split pattern. A task takes its rows in blocks of about BLOCK_CHARS, numbers the distinct
+words of a block and writes each text as word numbers, in order: its positions. One exchange then carries both the
+numbered texts (to a place of the block) and the distinct words (to the shard of their hash). A shard encodes every
+distinct word once for all blocks, and its ids are joined back to the blocks, which look their numbers up. So no
+occurrence crosses the network as a row of its own, and a frequent word costs a block one entry.
+
+Decoding looks the ids up in the token-byte table, which is as large as the vocabulary file and no larger.
 
 Defined cases: a null or empty text has no ids; repeated rows are each encoded; any doc_id passes through; a text of one
 endless word is one word; an empty table gives an empty result.
@@ -18,27 +20,45 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 
 from attesta.llm import tokens
 
-BLOCK_ROWS = 1024
-#: Text that one block blob holds at most, unless a single text is longer.
-BLOB_CHARS = 8_000_000
+#: Text that one block holds at most, unless a single text is longer.
+BLOCK_CHARS = 4_000_000
+_KEYED = pa.schema([("key", pa.string()), ("block", pa.string()), ("blob", pa.binary())])
+_KEYED_DDL = "key string, block string, blob binary"
 
 
 def _pack(columns: dict[str, pa.Array]) -> bytes:
+    """A compressed record batch with one row; each column holds an array."""
     sink = pa.BufferOutputStream()
-    batch = pa.RecordBatch.from_pydict(columns)
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    batch = pa.RecordBatch.from_pydict({k: pa.array([v]) if isinstance(v, bytes) else pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for k, v in columns.items()})
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
         out.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
 
-def _unpack(blob: bytes) -> pa.RecordBatch:
+def _unpack(blob: bytes) -> dict[str, pa.Array]:
     with pa.ipc.open_stream(pa.py_buffer(blob)) as source:
-        return source.read_next_batch()
+        batch = source.read_next_batch()
+    return {n: c.flatten() if pa.types.is_list(c.type) else c[0].as_py() for n, c in zip(batch.schema.names, batch.columns, strict=True)}
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """The bytes of 32-bit numbers, all low bytes first: small numbers are common, so the rest compresses well."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+class _Numbered(dict):
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
 
 
 def _pattern():  # noqa: ANN202
@@ -47,107 +67,119 @@ def _pattern():  # noqa: ANN202
     return regex.compile(tokens.SPLIT)
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list, list[str]]]:
-    """(block, doc_ids, texts) for runs of rows of one block."""
-    block, ids, texts, chars = None, [], [], 0
-    for batch in batches:
-        for b, i, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if ids and (b != block or chars >= BLOB_CHARS):
-                yield block, ids, texts
-                ids, texts, chars = [], [], 0
-            block = b
-            ids.append(i)
-            texts.append(t or "")
-            chars += len(texts[-1])
-    if ids:
-        yield block, ids, texts
+def _numbered(shards: int) -> Callable:
+    """doc_id, text -> for each block its numbered texts, and for each of its shards the distinct words with their numbers."""
 
-
-def _words_of_blocks(shards: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = _pattern().findall
-        for block, _, texts in _runs(batches):
-            seen: set[str] = set()
-            for t in texts:
-                seen.update(split(t))
-            by_shard: list[list[bytes]] = [[] for _ in range(shards)]
-            for w in seen:
-                raw = w.encode()
-                by_shard[zlib.crc32(raw) % shards].append(raw)
-            kept = [(k, sorted(ws)) for k, ws in enumerate(by_shard) if ws]
-            if kept:
-                yield pa.RecordBatch.from_pydict({
-                    "block": pa.array([block] * len(kept)), "shard": pa.array([k for k, _ in kept], pa.int32()),
-                    "blob": pa.array([_pack({"w": pa.array(ws, pa.binary())}) for _, ws in kept], pa.binary()),
-                })
+        split, task, serial = _pattern().findall, TaskContext.get().partitionId(), 0
+        ids: list = []
+        codes: list[np.ndarray] = []
+        number, chars = _Numbered(), 0
+
+        def block() -> Iterator[pa.RecordBatch]:
+            name = f"{task}-{serial}"
+            sizes = np.array([len(c) for c in codes], dtype=np.uint32)
+            texts = _pack({"doc_id": pa.array(ids, pa.int64()), "words": pa.array(sizes), "codes": _planes(np.concatenate(codes))})
+            by_shard: dict[int, list[bytes]] = {}
+            own: dict[int, list[int]] = {}
+            for word, n in number.items():
+                raw = word.encode()
+                k = zlib.crc32(raw) % shards
+                by_shard.setdefault(k, []).append(raw)
+                own.setdefault(k, []).append(n)
+            blobs = [_pack({"word": pa.array(ws, pa.binary()), "step": pa.array(np.diff(np.array(own[k], dtype=np.uint32), prepend=np.uint32(0)))}) for k, ws in by_shard.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([f"b{name}"]), pa.array([name]), pa.array([texts], pa.binary())], schema=_KEYED)
+            if blobs:
+                yield pa.RecordBatch.from_arrays([pa.array([f"s{k}" for k in by_shard]), pa.array([name] * len(blobs)), pa.array(blobs, pa.binary())], schema=_KEYED)
+
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                text = text or ""
+                if ids and chars + len(text) > BLOCK_CHARS:
+                    yield from block()
+                    ids, codes, number, chars, serial = [], [], _Numbered(), 0, serial + 1
+                ids.append(doc_id)
+                codes.append(np.fromiter(map(number.__getitem__, split(text)), dtype=np.uint32))
+                chars += len(text)
+        if ids:
+            yield from block()
 
     return run
 
 
-def _ids_of_words(ranks) -> Callable:  # noqa: ANN001
+def _encoded(ranks) -> Callable:  # noqa: ANN001
+    """Words of a shard -> their ids, for the block that sent them; each distinct word is encoded once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoding(ranks)._encode_single_piece
-        known: dict[bytes, list[int]] = {}  # the distinct words of this shard
+        known: dict[bytes, tuple[int, ...]] = {}
+        kind = np.uint16 if len(ranks.value) <= 1 << 16 else np.uint32
         for batch in batches:
-            for block, blob in zip(batch.column("block").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-                ws = _unpack(blob).column("w").to_pylist()
-                ids = []
-                for w in ws:
+            for key, block, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key[0] != "s":
+                    continue
+                sent = _unpack(blob)
+                flat, sizes = [], []
+                for w in sent["word"].to_pylist():
                     found = known.get(w)
                     if found is None:
-                        found = known[w] = encode(w)
-                    ids.append(found)
-                yield pa.RecordBatch.from_pydict({"block": pa.array([block]), "blob": pa.array([_pack({"w": pa.array(ws, pa.binary()), "ids": pa.array(ids, pa.list_(pa.int32()))})], pa.binary())})
+                        found = known[w] = tuple(encode(w))
+                    flat.extend(found)
+                    sizes.append(len(found))
+                reply = _pack({"step": sent["step"], "size": pa.array(np.array(sizes, dtype=np.uint32)), "ids": pa.array(np.array(flat, dtype=kind))})
+                yield pa.RecordBatch.from_arrays([pa.array([f"b{block}"]), pa.array([block]), pa.array([reply], pa.binary())], schema=_KEYED)
 
     return run
 
 
-def _texts_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block, ids, texts in _runs(batches):
-        blob = _pack({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string())})
-        yield pa.RecordBatch.from_pydict({"block": pa.array([block]), "blob": pa.array([blob], pa.binary())})
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions starts[i] to starts[i] + sizes[i] for all i, in order."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def _rebuilt(ranks, finish: Callable, schema: pa.Schema) -> Callable:  # noqa: ANN001
-    def run(texts: pa.Table, words: pa.Table) -> pa.Table:
-        split, table = _pattern().findall, ranks.value
-        ids_of: dict[str, list[int]] = {}
-        for blob in words.column("blob"):
-            b = _unpack(blob.as_py())
-            ids_of.update(zip((w.decode() for w in b.column("w").to_pylist()), b.column("ids").to_pylist(), strict=True))
-        rows = []
-        for blob in texts.column("blob"):
-            b = _unpack(blob.as_py())
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ids = [i for w in split(text) for i in ids_of[w]]
-                rows.append(finish(doc_id, ids, table))
+    def run(texts: pa.Table, replies: pa.Table) -> pa.Table:
+        table, rows = ranks.value, []
+        for blob in texts.column("blob") if texts.num_rows and texts.column("key")[0].as_py()[0] == "b" else []:
+            held = _unpack(blob.as_py())
+            codes = _numbers(held["codes"])
+            n = int(codes.max()) + 1 if len(codes) else 0
+            size, start, parts, at = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64), [], 0
+            told = 0
+            for reply in replies.column("blob"):
+                r = _unpack(reply.as_py())
+                own, lens, ids = np.cumsum(r["step"].to_numpy().astype(np.int64)), r["size"].to_numpy().astype(np.int64), r["ids"].to_numpy()
+                size[own], start[own] = lens, at + np.cumsum(lens) - lens
+                parts.append(ids)
+                at += len(ids)
+                told += len(own)
+            if told != n:
+                raise RuntimeError(f"{told} of {n} words came back for a block")
+            flat = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint16)
+            ends = np.cumsum(held["words"].to_numpy().astype(np.int64))
+            for doc_id, a, b in zip(held["doc_id"].to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                c = codes[a:b]
+                rows.append(finish(doc_id, flat[_spread(start[c], size[c])].astype("<u4"), table))
         return pa.Table.from_pydict({f.name: pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)}, schema=schema)
 
     return run
 
 
-def _over_blocks(docs: DataFrame, block: Column | None, path: str | None, shards: int | None, finish: Callable, schema: pa.Schema, ddl: str) -> DataFrame:
+def _over_blocks(docs: DataFrame, path: str | None, shards: int | None, finish: Callable, schema: pa.Schema, ddl: str) -> DataFrame:
     spark = docs.sparkSession
     ranks = tokens.shared(spark, tokens.ranks_of_tiktoken(path or tokens.default_path("byte_bpe_50k.tiktoken")))
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if block is None:
-        block = F.floor(F.col("doc_id") / BLOCK_ROWS)
-    rows = docs.select(F.coalesce(block.cast("string"), F.lit("")).alias("block"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    words = rows.mapInArrow(_words_of_blocks(shards), "block string, shard int, blob binary")
-    coded = words.repartition(shards, "shard").mapInArrow(_ids_of_words(ranks), "block string, blob binary")
-    texts = rows.mapInArrow(_texts_of_blocks, "block string, blob binary")
-    return texts.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_rebuilt(ranks, finish, schema), ddl)
-
-
-def file_block(rows: int = BLOCK_ROWS) -> Column:
-    """Blocks by the place in a Parquet file, whatever the ids are like; for tables read straight from files."""
-    return F.concat_ws(":", F.xxhash64("_metadata.file_path").cast("string"), F.floor(F.col("_metadata.row_index") / rows).cast("string"))
+    parts = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # numbered once: both branches read this exchange, where a block's texts meet its ids by key
+    sent = docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(_numbered(parts), _KEYED_DDL).repartition(parts, "key")
+    replies = sent.mapInArrow(_encoded(ranks), _KEYED_DDL)
+    return sent.groupBy("key").cogroup(replies.groupBy("key")).applyInArrow(_rebuilt(ranks, finish, schema), ddl)
 
 
-def encode(docs: DataFrame, block: Column | None = None, path: str | None = None, shards: int | None = None) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, shards: int | None = None) -> DataFrame:
     """doc_id and ids (array of int) of every text."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
-    return _over_blocks(docs, block, path, shards, lambda d, ids, _: (d, ids), schema, "doc_id long, ids array<int>")
+    return _over_blocks(docs, path, shards, lambda d, ids, _: (d, ids.astype(np.int32)), schema, "doc_id long, ids array<int>")
 
 
 def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
@@ -163,12 +195,12 @@ def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
     return coded.selectExpr("cast(doc_id as long) as doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
 
 
-def _digest(doc_id: int | None, ids: list[int], table: list[bytes]) -> tuple:
-    raw = np.array(ids, dtype="<u4").tobytes()
-    return doc_id, len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(b"".join(map(table.__getitem__, ids))).hexdigest()
+def _digest(doc_id: int | None, ids: np.ndarray, table: list[bytes]) -> tuple:
+    decoded = b"".join(map(table.__getitem__, ids.tolist()))
+    return doc_id, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
-def round_trip(docs: DataFrame, block: Column | None = None, path: str | None = None, shards: int | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, path: str | None = None, shards: int | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text, encoded and decoded again."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-    return _over_blocks(docs, block, path, shards, _digest, schema, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _over_blocks(docs, path, shards, _digest, schema, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
