@@ -1,5 +1,7 @@
 """DuckDB SQL that states the same results as the queries."""
 
+from attesta.llm.secret_scan import KINDS, SCOPE
+
 SQL: dict[str, str] = {}
 
 SQL["op1_quality_rules"] = r"""
@@ -70,3 +72,31 @@ reach as (select doc_id, doc_id as r from documents union select reach.doc_id, b
 roots as (select doc_id, min(r) as component_id from reach group by doc_id)
 select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, doc_id = component_id as kept from roots left join sizes using (doc_id)
 """
+
+
+def _spans(kind: str) -> str:
+    """doc_id, rank, s, e, strong of a kind's passing matches: running sums over gaps and matches."""
+    pattern, group, least, cls, strong = KINDS[kind]
+    q = "'" + pattern.replace("'", "''") + "'"
+    mixed = " and regexp_matches(m, '[0-9]') and regexp_matches(m, '[a-z]') and regexp_matches(m, '[A-Z]')" if kind == "token" else ""
+    return f"""select doc_id, {list(KINDS).index(kind)} as rank, '{kind}' as kind, '{cls}' as cls, {strong} as strong, s, s + length(m) as e from (
+  select doc_id, m, v, sum(length(g)) over (partition by doc_id order by i) + coalesce(sum(length(m)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as s
+  from (select doc_id, unnest(range(len(ms))) as i, unnest(ms) as m, unnest(vs) as v, unnest(gs[1:len(ms)]) as g
+    from (select doc_id, regexp_extract_all(text, {q}) as ms, regexp_extract_all(text, {q}, {group}) as vs, string_split_regex(text, {q}) as gs from texts)))
+where length(v) >= {least}{mixed}"""
+
+
+SQL["op2_secret_scan"] = f"""
+with texts as (select doc_id, coalesce(text, '') as text from documents),
+found as ({" union all ".join(map(_spans, KINDS))}),
+parts as (select * from found w where strong or not exists (select 1 from found x where x.strong and x.doc_id = w.doc_id and x.s < w.e and w.s < x.e)),
+near as (
+  select w.doc_id, w.rank, w.kind, w.s, w.e, bool_or(x.cls = 's') as s_near, bool_or(x.cls = 'i') as i_near, bool_or(x.cls = 'e') as e_near
+  from parts w join parts x on x.doc_id = w.doc_id and abs(x.s - w.s) <= {SCOPE} where not w.strong group by all),
+linked as (select * from near where case kind when 'ident' then s_near when 'token' then i_near or e_near else i_near and s_near end),
+every as (select doc_id, rank, kind, s, e, true as strong from parts where strong union all select doc_id, rank, kind, s, e, false from linked)
+select d.doc_id, (count(*) filter (where kind = 'assign'))::bigint as n_assign, (count(*) filter (where kind = 'access'))::bigint as n_access, (count(*) filter (where kind = 'hex'))::bigint as n_hex,
+  sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' order by s, rank) filter (where strong), '')) as base_sha256,
+  coalesce(string_agg(kind || ':' || s || ':' || e, ',' order by s, rank), '') as spans, (count(*) filter (where not strong))::bigint as n_linked
+from documents d left join every v on v.doc_id = d.doc_id group by d.doc_id
+"""
