@@ -166,16 +166,21 @@ def coverage_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.keyed_pairs(coverage_pairs(spark, sf_dir))
 
 
+def _gap(spark: SparkSession, sf_dir: str, run: str, other: str) -> DataFrame:
+    return coverage.gap(*(coverage.keyed_pairs(scanned(spark, sf_dir, r)) for r in (run, other)))
+
+
 def not_rescanned_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return two_runs(spark, sf_dir).not_rescanned
+    return _gap(spark, sf_dir, "baseline", "current")
 
 
 def newly_scanned_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return two_runs(spark, sf_dir).newly_scanned
+    return _gap(spark, sf_dir, "current", "baseline")
 
 
 def pair_list_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coverage.pair_list(two_runs(spark, sf_dir).not_rescanned)
+    """The report's cap of twenty pairs in a warning."""
+    return coverage.pair_list(not_rescanned_pairs(spark, sf_dir))
 
 
 def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
