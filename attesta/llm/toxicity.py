@@ -28,7 +28,7 @@ FOLDS, HELD_OUT = 5, 0
 #: Labelled rows to learn from at most; the lexicon's size at most.
 MAX_LABELS, MAX_STEMS = 20_000, 5_000
 #: A learnt stem is in so many toxic documents, and its share of them so many times its share of clean ones.
-MIN_TOXIC, MIN_ODDS = 5, 60.0
+MIN_TOXIC, MIN_ODDS = 3, 20.0
 STEMS = (4, 5, 6)
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
 #: Seeds of the grammar.
