@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attesta.plans.tables import shared_dir, written
+
+__all__ = ["LOWER", "NO_ID", "UPPER", "WHITE", "WORD", "apart", "ascii_lower", "keyed", "restored", "shared_dir", "table", "whole", "words", "written"]
+
 #: A word is a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -16,28 +17,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_ID = -(2**63)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh one in local mode where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='attesta-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors, goes when the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -60,3 +39,13 @@ def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(
         F.col(doc_id).alias("doc_id"), whole(text).alias("text"), F.coalesce(F.col(doc_id), F.lit(NO_ID)).alias("_id"), F.xxhash64(whole(text)).alias("_th")
     )
+
+
+def apart(docs: DataFrame) -> DataFrame:
+    """_row (all columns of docs), _id, _th and text: rows to work on beside columns of any name."""
+    return docs.select(F.struct("*").alias("_row"), F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.xxhash64(whole("text")).alias("_th"), whole("text").alias("text"))
+
+
+def restored(df: DataFrame, columns: list[str], new: dict[str, Column] | None = None) -> DataFrame:
+    """The columns of _row under their names, those in new replaced."""
+    return df.select(*((new or {}).get(c, F.col("_row").getField(c)).alias(c) for c in columns))

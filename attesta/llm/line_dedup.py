@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import WHITE, ascii_lower, keyed, written
+from attesta.llm.common import WHITE, apart, ascii_lower, keyed, restored, written
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -59,10 +59,10 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
 def rewrite(docs: DataFrame) -> DataFrame:
     """The documents with their kept text and its length, in the columns of docs."""
-    rows = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(-(2**63))), "_th": F.xxhash64(F.coalesce("text", F.lit("")))})
+    rows = apart(docs)
     gone = shared_lines(keyed(docs), MIN_CHARS, MIN_DOCS)
     df = rows.join(gone, ["_id", "_th"], "left").withColumn("_l", F.split("text", "\n", -1))
     df = df.withColumn("_stay", F.when(F.col("gone").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("_l") - 1), F.col("gone"))))
-    df = df.withColumn("_kept", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform("_stay", lambda i: F.element_at("_l", i + 1)), "\n")))
-    new = {"text": F.col("_kept"), "n_chars": F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length("_kept").cast("long"))}
-    return df.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
+    df = df.withColumn("_kept", F.when(F.col("gone").isNotNull(), F.array_join(F.transform("_stay", lambda i: F.element_at("_l", i + 1)), "\n")))
+    changed = lambda new, c: F.when(F.col("gone").isNull(), F.col(f"_row.{c}")).otherwise(new)
+    return restored(df, docs.columns, {"text": changed(F.col("_kept"), "text")} | ({"n_chars": changed(F.length("_kept").cast("long"), "n_chars")} if "n_chars" in docs.columns else {}))
