@@ -10,9 +10,12 @@ about 2e-8, at 0.8 of about 3e-6.
 
 Links. Documents with equal shingle sets are one class from the start. In each key the member that shares most with
 others is the hub, and members are compared with hubs only, so a group of near copies costs rows in proportion to its
-size. Where members of a key are still in different components, those outside the key's largest component are compared
-with all the others, unless their sketches rule a link out (ESTIMATE, 5 standard deviations below 0.85). Every link
-is confirmed on the full sets. Components come from alternating large-star and small-star steps.
+size. What the hubs leave apart is found in two ways. Let x not be linked with the hub h, and y add to h at least as
+many shingles as it lacks of h. If x and y are linked, they share more than (r + s a) / (1 + s) >= r of y's a added and r
+lacking shingles, so at least one that both add: such pairs are joined on (hub, added shingle). All other pairs of a key
+are compared by their sketches, unless those rule a link out (most_bits: five standard deviations), and a pair is taken
+from one of its keys only. Every link is confirmed on the full sets. Components come from alternating large-star and
+small-star steps.
 
 Defined cases: a null, empty or wordless text has no set and is its own component; fewer words than a shingle are one
 shingle; rows that share a doc_id are one document, linked with whatever any of its texts is linked with; repeated rows
@@ -29,13 +32,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import NO_ID, ascii_lower, whole, words, written
+from attesta.llm.common import NO_ID, apart, ascii_lower, restored, whole, words, written
 
 #: The operator's own defaults: words in a shingle, and the least similarity of a link in percent.
 SHINGLE = 5
 PERCENT = 80
 HASHES, CHUNKS, WIDTH = 512, 12, 6
 SKETCH = [f"b{i}" for i in range(HASHES // 64)]
+WHOLE = [f"c{i}" for i in range(CHUNKS)]
 
 
 def most_bits(percent: int) -> int:
@@ -108,11 +112,14 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             mixed = _mixed(mins * _MIX[2])
         symbols = (mixed[:, : CHUNKS * WIDTH] & np.uint64(0xFFFF)).astype("<u2")
+        with np.errstate(over="ignore"):
+            chunks = _placed(symbols).reshape(len(batch), CHUNKS, WIDTH).sum(axis=2, dtype=np.uint64).view(np.int64)
         bits = np.packbits((mixed >> np.uint64(63)).astype(np.uint8), axis=1).view(np.int64)
         yield pa.RecordBatch.from_pydict(
             {c: batch.column(c) for c in ("_id", "_th", "n", "s1", "s2")}
             | {"symbols": pa.array([s.tobytes() for s in symbols], pa.binary())}
             | {c: pa.array(bits[:, k], pa.int64()) for k, c in enumerate(SKETCH)}
+            | {c: pa.array(chunks[:, k], pa.int64()) for k, c in enumerate(WHOLE)}
         )
 
 
@@ -120,27 +127,42 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     """One row for each row of docs (_id, _th, text): n, the set's 128-bit hash, symbols and sketch."""
     df = with_shingles(docs.select("_id", "_th", "text"), "text", "s", size).withColumn("_o", F.sort_array("s"))
     df = df.select("_id", "_th", F.size("s").cast("long").alias("n"), F.xxhash64(F.lit(1), "_o").alias("s1"), F.xxhash64(F.lit(2), "_o").alias("s2"), "s")
-    return df.mapInArrow(_signed, "_id long, _th long, n long, s1 long, s2 long, symbols binary, " + ", ".join(f"{c} long" for c in SKETCH))
+    return df.mapInArrow(_signed, "_id long, _th long, n long, s1 long, s2 long, symbols binary, " + ", ".join(f"{c} long" for c in SKETCH + WHOLE))
+
+
+def _placed(symbols: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each symbol and its place; sums of them stand for chunks."""
+    place = np.arange(CHUNKS * WIDTH, dtype=np.uint64)
+    return _mixed((symbols.astype(np.uint64) + (place << np.uint64(16)) + np.uint64(1)) * _MIX[2])
 
 
 def _chunk_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """cid, symbols -> (key, cid) for every chunk and every symbol of it left out."""
+    """cid, symbols -> (key, cid, place) for every chunk and every symbol of it left out; place numbers them."""
     place = np.arange(CHUNKS * WIDTH, dtype=np.uint64)
     for batch in batches:
-        raw = np.frombuffer(b"".join(batch.column("symbols").to_pylist()), dtype="<u2").reshape(len(batch), -1).astype(np.uint64)
+        raw = np.frombuffer(b"".join(batch.column("symbols").to_pylist()), dtype="<u2").reshape(len(batch), -1)
         with np.errstate(over="ignore"):
-            each = _mixed((raw + (place << np.uint64(16)) + np.uint64(1)) * _MIX[2])
-            rest = each.reshape(len(batch), CHUNKS, WIDTH).sum(axis=2, keepdims=True) - each.reshape(len(batch), CHUNKS, WIDTH)
+            each = _placed(raw).reshape(len(batch), CHUNKS, WIDTH)
+            rest = each.sum(axis=2, keepdims=True, dtype=np.uint64) - each
             keys = _mixed(rest.reshape(len(batch), -1) + place * _MIX[2]).view(np.int64)
         cid = np.repeat(batch.column("cid").to_numpy(), CHUNKS * WIDTH)
-        yield pa.RecordBatch.from_pydict({"key": pa.array(keys.ravel(), pa.int64()), "cid": pa.array(cid, pa.int64())})
+        yield pa.RecordBatch.from_pydict({"key": pa.array(keys.ravel(), pa.int64()), "cid": pa.array(cid, pa.int64()), "place": pa.array(np.tile(place.astype(np.int32), len(batch)), pa.int32())})
 
 
 def shared_keys(classes: DataFrame) -> DataFrame:
-    """(key, cid, members) for the keys that at least two classes share."""
-    rows = classes.select("cid", "symbols").mapInArrow(_chunk_keys, "key long, cid long")
+    """(key, cid, place, members) for the keys that at least two classes share."""
+    rows = classes.select("cid", "symbols").mapInArrow(_chunk_keys, "key long, cid long, place int")
     counts = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    return rows.join(counts, "key").distinct()
+    # one plan for every size: neither side of these joins is small where it matters
+    return rows.join(counts.hint("merge"), "key").distinct()
+
+
+def first_meeting(a: str, b: str, place: str) -> Column:
+    """Whether this key is the one that a pair is taken from: the first chunk in which they agree wholly, if there is one."""
+    first = F.lit(-1)
+    for k in reversed(range(CHUNKS)):
+        first = F.when(F.col(f"{a}{WHOLE[k]}") == F.col(f"{b}{WHOLE[k]}"), k * WIDTH).otherwise(first)
+    return F.when(first >= 0, F.col(place) == first).otherwise(True)
 
 
 def alike(a: str, b: str, percent: int) -> Column:
@@ -154,12 +176,17 @@ def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*(F.col(c).alias(f"{prefix}{c}") for c in df.columns))
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def compared(pairs: DataFrame, texts: DataFrame, size: int, percent: int, added: bool = False) -> DataFrame:
+    """pairs (a, b, ...) with linked (the full sets are similar enough) and, if asked for, what a has beyond b: added, grows.
+
+    Written, as a filter on linked would be pushed down to the words and evaluate them for every shingle.
+    """
     left, right = texts.select(F.col("cid").alias("a"), F.col("text").alias("ta")), texts.select(F.col("cid").alias("b"), F.col("text").alias("tb"))
     df = pairs.join(left, "a").join(right, "b")
     df = with_shingles(with_shingles(df, "ta", "sa", size), "tb", "sb", size).withColumn("both", F.size(F.array_intersect("sa", "sb")))
-    return df.where(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b").distinct()
+    linked = 100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))
+    more = [F.array_except("sa", "sb").alias("added"), (F.size("sa") >= F.size("sb")).alias("grows")] if added else []
+    return written(df.select("a", "b", linked.alias("linked"), *more), "compared")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -180,29 +207,52 @@ def components(edges: DataFrame) -> DataFrame:
     return now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
 
 
+def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+
+def _plausible(pairs: DataFrame, slim: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that alike() lets pass."""
+    return pairs.join(_prefixed(slim, "x_"), F.col("a") == F.col("x_cid")).join(_prefixed(slim, "y_"), F.col("b") == F.col("y_cid")).where(alike("x_", "y_", percent)).select("a", "b")
+
+
 def class_links(classes: DataFrame, texts_of: DataFrame, size: int, percent: int) -> DataFrame:
     """node, root for the classes that are linked with others; classes (cid, n, symbols, sketch), texts_of (cid, text)."""
     keys = written(shared_keys(classes), "keys")
     slim = written(classes.drop("symbols").join(keys.select("cid").distinct(), "cid", "left_semi"), "sketches")
-    texts = written(texts_of.join(slim.select("cid"), "cid", "left_semi"), "texts")
+    texts = written(texts_of.join(slim.select("cid").hint("merge"), "cid", "left_semi"), "texts")
     shared = keys.join(keys.groupBy("cid").agg(F.sum("members").alias("rank")), "cid")
     hubs = shared.groupBy("key").agg(F.max(F.struct("rank", (-F.col("cid")).alias("no"))).alias("top")).select("key", (-F.col("top.no")).alias("hub"))
-    pairs = keys.join(hubs, "key").where("cid <> hub").select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct()
-    pairs = pairs.join(_prefixed(slim, "x_"), F.col("a") == F.col("x_cid")).join(_prefixed(slim, "y_"), F.col("b") == F.col("y_cid")).where(alike("x_", "y_", percent)).select("a", "b")
-    pairs = written(pairs, "hub_pairs")
-    links = written(confirmed(pairs, texts, size, percent), "hub_links")
+    hubs = written(hubs, "hubs")
+    pairs = written(_plausible(keys.join(hubs, "key").where("cid <> hub").select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct(), slim, percent), "hub_pairs")
+    edits = compared(pairs, texts, size, percent, added=True)
+    links = edits.where("linked").select("a", "b")
     roots = written(components(links), "roots")
 
-    # what the hubs have left apart
-    placed = keys.join(roots, keys["cid"] == roots["node"], "left").select("key", "cid", F.coalesce("root", "cid").alias("root"))
+    # keys whose members, but for the hub, are in several components
+    placed = keys.join(hubs, "key").where("cid <> hub").join(roots, F.col("cid") == F.col("node"), "left").select("key", "cid", "place", "hub", F.coalesce("root", "cid").alias("root"))
     parts = placed.groupBy("key", "root").agg(F.count("*").alias("k"))
     open_keys = parts.groupBy("key").agg(F.max(F.struct("k", "root")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("top.root").alias("main"))
-    members = written(placed.join(open_keys, "key").join(slim, "cid"), "open_members")
+    flags = edits.select(F.col("a").alias("cid"), F.col("b").alias("hub"), "linked", "grows")
+    members = written(placed.join(open_keys, "key").join(flags, ["cid", "hub"], "left"), "open_members")
+
+    # by a shingle that both add to their hub
+    tokens = members.select("hub", F.col("cid").alias("a"), "root").distinct().join(edits.select("a", F.col("b").alias("hub"), F.explode("added").alias("token")), ["hub", "a"])
+    tokens = written(tokens, "added_shingles")
+    x, y = _prefixed(tokens, "x_"), _prefixed(tokens, "y_")
+    both_add = x.join(y, (F.col("x_hub") == F.col("y_hub")) & (F.col("x_token") == F.col("y_token")) & (F.col("x_root") < F.col("y_root")))
+    both_add = _plausible(_ordered(both_add, "x_a", "y_a"), slim, percent)
+
+    # by sketches, where that doesn't hold
+    members = written(members.join(slim, "cid"), "open_sketches")
     x, y = _prefixed(members.where("root <> main"), "x_"), _prefixed(members, "y_")
     apart = (F.col("x_key") == F.col("y_key")) & (F.col("x_root") != F.col("y_root")) & ((F.col("y_root") == F.col("y_main")) | (F.col("x_cid") < F.col("y_cid")))
-    more = x.join(y, apart & alike("x_", "y_", percent)).select(F.least("x_cid", "y_cid").alias("a"), F.greatest("x_cid", "y_cid").alias("b")).distinct()
-    more = written(more.join(pairs, ["a", "b"], "left_anti"), "more_pairs")
-    return components(links.union(confirmed(more, texts, size, percent)))
+    known = F.col("x_linked").isNotNull() & F.col("y_linked").isNotNull()
+    must_add = F.when(F.col("x_linked"), F.col("x_grows")).when(F.col("y_linked"), F.col("y_grows")).otherwise(F.col("x_grows") | F.col("y_grows"))
+    by_sketch = x.join(y, apart & ~F.coalesce(known & must_add, F.lit(False)) & first_meeting("x_", "y_", "x_place") & alike("x_", "y_", percent))
+    more = both_add.unionByName(_ordered(by_sketch, "x_cid", "y_cid")).distinct()
+    more = written(more.join(written(_ordered(pairs, "a", "b"), "known"), ["a", "b"], "left_anti"), "more_pairs")
+    return components(links.union(compared(more, texts, size, percent).where("linked").select("a", "b")))
 
 
 def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -212,8 +262,8 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     # equal sets collapse on the map side
     firsts = signed.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("_id").alias("cid"))
     firsts = written(firsts, "classes")
-    own = signed.where("n > 0").select("_id", "s1", "s2", "n", "symbols", *SKETCH).join(firsts.withColumnRenamed("cid", "_id"), ["_id", "s1", "s2", "n"], "left_semi")
-    classes = own.dropDuplicates(["_id", "s1", "s2"]).select(F.col("_id").alias("cid"), "n", "symbols", *SKETCH)
+    own = signed.where("n > 0").select("_id", "s1", "s2", "n", "symbols", *SKETCH, *WHOLE).join(firsts.withColumnRenamed("cid", "_id"), ["_id", "s1", "s2", "n"], "left_semi")
+    classes = own.dropDuplicates(["_id", "s1", "s2"]).select(F.col("_id").alias("cid"), "n", "symbols", *SKETCH, *WHOLE)
     roots = written(class_links(classes, rows.select(F.col("_id").alias("cid"), "text"), size, percent), "all_roots")
     named = firsts.join(roots, firsts["cid"] == roots["node"], "left").select("s1", "s2", "n", F.coalesce("root", "cid").alias("root"))
     out = signed.select("_id", "_th", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left").withColumn("c", F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("_id")))
@@ -229,5 +279,4 @@ def near_dedup(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
 def keep_first(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The documents of the smallest doc_id of each group, in the columns of docs."""
     gone = written(near_groups(docs, size, percent).where(~F.col("kept")).select("_id", "_th").distinct(), "near_copies")
-    rows = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(NO_ID)), "_th": F.xxhash64(whole("text"))})
-    return rows.join(gone, ["_id", "_th"], "left_anti").select(*docs.columns)
+    return restored(apart(docs).join(gone.hint("merge"), ["_id", "_th"], "left_anti"), docs.columns)
