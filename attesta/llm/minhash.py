@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import NO_ID, apart, ascii_lower, restored, whole, words, written
+from attesta.llm.common import NO_ID, apart, ascii_lower, restored, small_batches, whole, words, written
 
 #: The operator's own defaults: words in a shingle, and the least similarity of a link in percent.
 SHINGLE = 5
@@ -40,6 +40,8 @@ PERCENT = 80
 HASHES, CHUNKS, WIDTH = 512, 12, 6
 SKETCH = [f"b{i}" for i in range(HASHES // 64)]
 WHOLE = [f"c{i}" for i in range(CHUNKS)]
+#: Rows that a worker takes up at a time, and rows of shingles in an Arrow batch.
+SLICE, BATCH_ROWS = 256, 1_000
 
 
 def most_bits(percent: int) -> int:
@@ -101,26 +103,27 @@ def _multipliers_once() -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """_id, s (list of long) -> _id, n, s1, s2, symbols (binary), sketch words."""
-    for batch in batches:
-        lists = batch.column("s")
-        offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-        mins = np.zeros((len(batch), HASHES), dtype=np.uint64)
-        for i in range(len(batch)):
-            if offsets[i + 1] > offsets[i]:
-                mins[i] = minima(values[offsets[i] : offsets[i + 1]])
-        with np.errstate(over="ignore"):
-            mixed = _mixed(mins * _MIX[2])
-        symbols = (mixed[:, : CHUNKS * WIDTH] & np.uint64(0xFFFF)).astype("<u2")
-        with np.errstate(over="ignore"):
-            chunks = _placed(symbols).reshape(len(batch), CHUNKS, WIDTH).sum(axis=2, dtype=np.uint64).view(np.int64)
-        bits = np.packbits((mixed >> np.uint64(63)).astype(np.uint8), axis=1).view(np.int64)
-        yield pa.RecordBatch.from_pydict(
-            {c: batch.column(c) for c in ("_id", "_th", "n", "s1", "s2")}
-            | {"symbols": pa.array([s.tobytes() for s in symbols], pa.binary())}
-            | {c: pa.array(bits[:, k], pa.int64()) for k, c in enumerate(SKETCH)}
-            | {c: pa.array(chunks[:, k], pa.int64()) for k, c in enumerate(WHOLE)}
-        )
+    """_id, s (list of long) -> _id, n, s1, s2, symbols (binary), sketch words and chunk sums; SLICE rows at a time."""
+    for whole_batch in batches:
+        for at in range(0, len(whole_batch), SLICE):
+            batch = whole_batch.slice(at, SLICE)
+            lists = batch.column("s")
+            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            mins = np.zeros((len(batch), HASHES), dtype=np.uint64)
+            for i in range(len(batch)):
+                if offsets[i + 1] > offsets[i]:
+                    mins[i] = minima(values[offsets[i] : offsets[i + 1]])
+            with np.errstate(over="ignore"):
+                mixed = _mixed(mins * _MIX[2])
+                symbols = (mixed[:, : CHUNKS * WIDTH] & np.uint64(0xFFFF)).astype("<u2")
+                chunks = _placed(symbols).reshape(len(batch), CHUNKS, WIDTH).sum(axis=2, dtype=np.uint64).view(np.int64)
+            bits = np.packbits((mixed >> np.uint64(63)).astype(np.uint8), axis=1).view(np.int64)
+            yield pa.RecordBatch.from_pydict(
+                {c: batch.column(c) for c in ("_id", "_th", "n", "s1", "s2")}
+                | {"symbols": pa.array([s.tobytes() for s in symbols], pa.binary())}
+                | {c: pa.array(bits[:, k], pa.int64()) for k, c in enumerate(SKETCH)}
+                | {c: pa.array(chunks[:, k], pa.int64()) for k, c in enumerate(WHOLE)}
+            )
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
@@ -258,7 +261,8 @@ def class_links(classes: DataFrame, texts_of: DataFrame, size: int, percent: int
 def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, _id, _th, n_shingles, component_id and kept, one row for each row of docs (doc_id, text)."""
     rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.xxhash64(whole("text")).alias("_th"), whole("text").alias("text"))
-    signed = written(signatures(rows, size), "signatures")
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        signed = written(signatures(rows, size), "signatures")
     # equal sets collapse on the map side
     firsts = signed.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("_id").alias("cid"))
     firsts = written(firsts, "classes")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import WHITE, whole, words, written
+from attesta.llm.common import WHITE, apart, restored, whole, words, written
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -117,10 +117,12 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", h
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with the columns of docs.
 
-    The host verdicts come from slim rows; text is read again and passes the same measures, so it's never shuffled for
-    them unless the table of rejected hosts is too large to broadcast.
+    Texts are measured twice, for the hosts and for themselves, as a second pass costs less than a shuffle of all texts;
+    only the rejected hosts are joined. Failed documents go by a generator that makes no row of them: a filter on
+    base_failed would be pushed into the projections of measured() and evaluate the words again for every window.
     """
     stats = measured(docs.select("text", F.col("source").alias("host"))).select("host", "base_failed")
-    bad = written(host_verdicts(stats, "host").where("host_rejected").select(F.col("host").alias("_host")), "rejected_hosts")
-    kept = measured(docs).where(~F.col("base_failed"))
-    return kept.join(bad, F.col("source").eqNullSafe(F.col("_host")), "left_anti").select(*docs.columns)
+    bad = written(host_verdicts(stats, "host").where("host_rejected").select(F.col("host").alias("bad_host")), "rejected_hosts")
+    rows = measured(apart(docs).withColumn("host", F.col("_row.source"))).select("_row", "host", "base_failed")
+    kept = rows.select("_row", "host", F.explode(F.when(F.col("base_failed"), F.expr("cast(array() as array<int>)")).otherwise(F.array(F.lit(1)))))
+    return restored(kept.join(bad, F.col("host").eqNullSafe(F.col("bad_host")), "left_anti"), docs.columns)
