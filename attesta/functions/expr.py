@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from itertools import chain
 
 from pyspark.sql import Column
@@ -14,6 +14,8 @@ from attesta import schemas
 STIG_PHRASE = "security technical implementation guide"
 STIG_WORDS = ("stig", "scap", "benchmark", "manual", "disa")
 PLACEHOLDER_TITLES = ("unknown stig", "nessus compliance")
+#: White space of any script.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def _col(c: Column | str) -> Column:
@@ -22,12 +24,12 @@ def _col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Without white space of any script at either end."""
-    return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
+    return F.btrim(_col(c), F.lit(SPACES))
 
 
 def casefold(c: Column | str) -> Column:
     """Lower case, with sharp s as ss; the other full foldings of Unicode are left as lower() has them."""
-    return F.lower(F.regexp_replace(_col(c), "[ßẞ]", "ss"))
+    return F.lower(F.replace(F.replace(_col(c), F.lit("ß"), F.lit("ss")), F.lit("ẞ"), F.lit("ss")))
 
 
 def blank_to_null(c: Column | str) -> Column:
@@ -83,14 +85,22 @@ def host_key(c: Column | str) -> Column:
     return casefold(strip(c))
 
 
-def stig_key(c: Column | str) -> Column:
-    """A title's key: words without editions, versions and filler; blank for blanks and placeholders."""
-    text = casefold(strip(F.regexp_replace(_col(c), r"(?U)\s+", " ")))
-    bare = F.regexp_replace(F.regexp_replace(text, r"\.audit$", ""), STIG_PHRASE, " ")
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _title_words(text: Column) -> Column:
+    bare = F.replace(F.regexp_replace(text, r"\.audit$", ""), F.lit(STIG_PHRASE), F.lit(" "))
     kept = F.filter(F.split(bare, "[^a-z0-9]+"), lambda t: (t != "") & ~t.isin(*STIG_WORDS) & ~t.rlike(r"^v\d+r\d+$"))
     return F.when(text.isin("", *PLACEHOLDER_TITLES), "").otherwise(first_filled(F.array_join(kept, " "), text))
 
 
+def stig_key(c: Column | str) -> Column:
+    """A title's key: words without editions, versions and filler; blank for blanks and placeholders."""
+    return _bound(casefold(F.trim(F.regexp_replace(_col(c), r"(?U)[\s\x1c-\x1f]+", " "))), _title_words)
+
+
 def rule_stem(c: Column | str) -> Column:
     """A rule id without its namespace prefix and its revision."""
     return F.regexp_replace(F.regexp_replace(strip(c), r"^xccdf_[^_]+_rule_", ""), r"r\d+_rule$", "")

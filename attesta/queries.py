@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions import expr
 from attesta.operators import activity, coverage, dedupe, delta, matching, rollups
+from attesta.plans.tables import written
 
 ORDER = ["l_orderkey", "l_linenumber", "rule_id", "l_quantity", "l_extendedprice", "server"]
 
@@ -40,12 +41,15 @@ def rule_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(RAW, lineitem=table(spark, sf_dir, "lineitem"), part=table(spark, sf_dir, "part"))
 
 
+def _actionable(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumn("status", expr.xccdf_status("raw_status")).where(F.col("status").isNotNull())
+    return rollups.actionable(rows).withColumn("ord", F.struct(*ORDER))
+
+
 def findings(spark: SparkSession, sf_dir: str, run: str | None = None) -> DataFrame:
     """Actionable findings of one run or both, with ord."""
     rows = rule_results(spark, sf_dir)
-    rows = rows if run is None else rows.where(F.col("run") == run)
-    rows = rows.withColumn("status", expr.xccdf_status("raw_status")).where(F.col("status").isNotNull())
-    return rollups.actionable(rows).withColumn("ord", F.struct(*ORDER))
+    return _actionable(rows if run is None else rows.where(F.col("run") == run))
 
 
 def scanned(spark: SparkSession, sf_dir: str, run: str) -> DataFrame:
@@ -53,8 +57,10 @@ def scanned(spark: SparkSession, sf_dir: str, run: str) -> DataFrame:
 
 
 def two_runs(spark: SparkSession, sf_dir: str, with_warnings: bool = False) -> delta.Delta:
-    base, curr = (findings(spark, sf_dir, run) for run in ("baseline", "current"))
-    return delta.compute_delta(base, curr, scanned(spark, sf_dir, "baseline"), scanned(spark, sf_dir, "current"), ORDER, with_warnings)
+    """Both runs compared; the derived relation is written once, as parsed scan sets are."""
+    rows = written(rule_results(spark, sf_dir), "rule_results")
+    base, curr = (rows.where(F.col("run") == run) for run in ("baseline", "current"))
+    return delta.compute_delta(_actionable(base), _actionable(curr), coverage.coverage_of_findings(base), coverage.coverage_of_findings(curr), ORDER, with_warnings)
 
 
 def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
