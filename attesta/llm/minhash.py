@@ -10,9 +10,11 @@ about 2e-8, at 0.8 of about 3e-6.
 
 Links. Documents with equal shingle sets are one class from the start. In each key the member that shares most with
 others is the hub, and members are compared with hubs only, so a group of near copies costs rows in proportion to its
-size. What the hubs leave apart is found in two ways. Let x not be linked with the hub h, and y add to h at least as
-many shingles as it lacks of h. If x and y are linked, they share more than (r + s a) / (1 + s) >= r of y's a added and r
-lacking shingles, so at least one that both add: such pairs are joined on (hub, added shingle). All other pairs of a key
+size. What the hubs leave apart is found in two ways. Let x and y add a and a' shingles to their hub of n, and lack r and
+r' of it. At a similarity of s or more they share at least (r + s a - (1 - s) n + r' + s a') / (1 + s) of what they add or
+lack. If a' >= r', the part of y is r' or more, and they share no more than r' of what they lack: so they share
+need = (r + s a - (1 - s) n) / (1 + s) added shingles, which is above 0 if x isn't linked with the hub. Such pairs are joined
+on (hub, added shingle), where x may leave out its need - 1 most frequent ones. All other pairs of a key
 are compared by their sketches, unless those rule a link out (most_bits: five standard deviations), and a pair is taken
 from one of its keys only. Every link is confirmed on the full sets. Components come from alternating large-star and
 small-star steps.
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.llm.common import NO_ID, apart, ascii_lower, restored, small_batches, whole, words, written
@@ -180,7 +182,7 @@ def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
 
 
 def compared(pairs: DataFrame, texts: DataFrame, size: int, percent: int, added: bool = False) -> DataFrame:
-    """pairs (a, b, ...) with linked (the full sets are similar enough) and, if asked for, what a has beyond b: added, grows.
+    """pairs (a, b, ...) with linked (the full sets are similar enough) and, if asked for, what a has beyond b: added, grows, need.
 
     Written, as a filter on linked would be pushed down to the words and evaluate them for every shingle.
     """
@@ -188,7 +190,10 @@ def compared(pairs: DataFrame, texts: DataFrame, size: int, percent: int, added:
     df = pairs.join(left, "a").join(right, "b")
     df = with_shingles(with_shingles(df, "ta", "sa", size), "tb", "sb", size).withColumn("both", F.size(F.array_intersect("sa", "sb")))
     linked = 100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))
-    more = [F.array_except("sa", "sb").alias("added"), (F.size("sa") >= F.size("sb")).alias("grows")] if added else []
+    more = []
+    if added:
+        beyond = 100 * (F.size("sb") - F.col("both")) + percent * (F.size("sa") - F.col("both")) - (100 - percent) * F.size("sb")
+        more = [F.array_except("sa", "sb").alias("added"), (F.size("sa") >= F.size("sb")).alias("grows"), F.ceil(beyond / (100 + percent)).alias("need")]
     return written(df.select("a", "b", linked.alias("linked"), *more), "compared")
 
 
@@ -239,11 +244,16 @@ def class_links(classes: DataFrame, texts_of: DataFrame, size: int, percent: int
     flags = edits.select(F.col("a").alias("cid"), F.col("b").alias("hub"), "linked", "grows")
     members = written(placed.join(open_keys, "key").join(flags, ["cid", "hub"], "left"), "open_members")
 
-    # by a shingle that both add to their hub
-    tokens = members.select("hub", F.col("cid").alias("a"), "root").distinct().join(edits.select("a", F.col("b").alias("hub"), F.explode("added").alias("token")), ["hub", "a"])
+    # by a shingle that both add to their hub; an unlinked one leaves out the most frequent that it can do without
+    tokens = members.select("hub", F.col("cid").alias("a"), "root").distinct().join(edits.select("a", F.col("b").alias("hub"), "linked", "grows", "need", F.size("added").alias("n_added"), F.explode("added").alias("token")), ["hub", "a"])
     tokens = written(tokens, "added_shingles")
-    x, y = _prefixed(tokens, "x_"), _prefixed(tokens, "y_")
-    both_add = x.join(y, (F.col("x_hub") == F.col("y_hub")) & (F.col("x_token") == F.col("y_token")) & (F.col("x_root") < F.col("y_root")))
+    common = tokens.groupBy("hub", "token").agg(F.count("*").alias("df")).where("df > 1")
+    rank = F.row_number().over(Window.partitionBy("hub", "a").orderBy(F.desc("df"), "token"))
+    tokens = tokens.join(common, ["hub", "token"]).withColumn("kept", F.col("linked") | (rank >= F.col("need")))
+    x, y = _prefixed(tokens.where("kept and not linked"), "x_"), _prefixed(tokens.where("grows"), "y_")
+    # where both are unlinked and grow, either's need holds, and both leave theirs out
+    trimmed = F.col("y_kept") | ~F.col("x_grows")
+    both_add = x.join(y, (F.col("x_hub") == F.col("y_hub")) & (F.col("x_token") == F.col("y_token")) & (F.col("x_root") != F.col("y_root")) & trimmed)
     both_add = _plausible(_ordered(both_add, "x_a", "y_a"), slim, percent)
 
     # by sketches, where that doesn't hold
