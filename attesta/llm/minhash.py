@@ -250,10 +250,13 @@ def class_links(classes: DataFrame, texts_of: DataFrame, size: int, percent: int
     common = tokens.groupBy("hub", "token").agg(F.count("*").alias("df")).where("df > 1")
     rank = F.row_number().over(Window.partitionBy("hub", "a").orderBy(F.desc("df"), "token"))
     tokens = tokens.join(common, ["hub", "token"]).withColumn("kept", F.col("linked") | (rank >= F.col("need")))
+    tokens = tokens.withColumn("all_kept", F.collect_list(F.when(F.col("kept"), F.col("token"))).over(Window.partitionBy("hub", "a")))
     x, y = _prefixed(tokens.where("kept and not linked"), "x_"), _prefixed(tokens.where("grows"), "y_")
     # where both are unlinked and grow, either's need holds, and both leave theirs out
     trimmed = F.col("y_kept") | ~F.col("x_grows")
-    both_add = x.join(y, (F.col("x_hub") == F.col("y_hub")) & (F.col("x_token") == F.col("y_token")) & (F.col("x_root") != F.col("y_root")) & trimmed)
+    # such a pair, and one with a linked y, comes from the smallest shingle that both have kept
+    once = ~F.col("x_grows") | (F.array_min(F.array_intersect("x_all_kept", "y_all_kept")) == F.col("x_token"))
+    both_add = x.join(y, (F.col("x_hub") == F.col("y_hub")) & (F.col("x_token") == F.col("y_token")) & (F.col("x_root") != F.col("y_root")) & trimmed & once)
     both_add = _plausible(_ordered(both_add, "x_a", "y_a"), slim, percent)
 
     # by sketches, where that doesn't hold
