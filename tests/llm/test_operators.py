@@ -205,6 +205,28 @@ def edited(text, n, seed):
     return " ".join(ws)
 
 
+def test_hamming_search_allows_errors_in_blocks(spark):
+    r = random.Random(5)
+    base = [r.getrandbits(128) for _ in range(30)]
+    spread = [b ^ sum(1 << i for i in r.sample(range(128), k)) for b in base for k in (1, 8, 17, 19, 20, 21, 24)]
+    # two or three errors in each block, and all errors in one half
+    spread += [b ^ sum(1 << lo + i for lo, _, _ in simhash.blocks(20) for i in range(k)) for b in base for k in (2, 3)] + [b ^ ((1 << 20) - 1) << 50 for b in base]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    pair = lambda x: (signed(x & (2**64 - 1)), signed(x >> 64))
+    rows = sorted({*base, *spread})
+    q, x = (spark.createDataFrame([pair(f) for f in some], "f1 long, f2 long") for some in (base, rows))
+    for radius in (7, 17, 20):
+        got = [tuple(p) for p in simhash.within_radius(q, x, radius).collect()]
+        assert sorted(got) == sorted((*pair(a), *pair(b)) for a in base for b in rows if (a ^ b).bit_count() <= radius)
+
+
+def test_simhash_finds_edited_copies(spark):
+    # up to 4 words of 200: a 5-word Jaccard of 0.8 and more
+    rows = [(50 * b + i, edited(words(200, b), i, 100 * b + i)) for b in range(1, 13) for i in range(5)]
+    got = [r["n_near"] for r in simhash.simhash(docs(spark, rows)).collect() if r["doc_id"] % 50 == 0]
+    assert len(got) == 12 and sum(got) >= 0.95 * len(rows) and max(got) <= 5
+
+
 @pytest.mark.parametrize(("size", "percent"), [(3, 85), (5, 80)])
 def test_near_groups(spark, size, percent):
     base = [words(80, i) for i in range(3)]
