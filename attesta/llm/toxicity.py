@@ -1,7 +1,8 @@
 """Toxicity by a weighted grammar over clauses.
 
-Small transducers each read a clause as word classes and rewrite a weight: a target nearby raises it, a negation or
-reported speech lowers it, a threat counts only with a target. Their composition is one table over product states, so a
+Small transducers each read a clause as word classes and rewrite a weight: a target before it raises it, a negation or
+reported speech lowers it, a threat counts only with a target. A threat without a target before it is held open, and counts
+when one follows within reach; such threats are part of a clause's total, not of the largest clause score. Their composition is one table over product states, so a
 clause is scored in one walk. Insults are seed words and word stems learnt from the labels: stems that many toxic
 documents have and hardly any clean one. A logistic function of a document's clause scores gives the result; it is fitted
 on at most MAX_LABELS labelled rows (a fixed sample by hash).
@@ -41,6 +42,8 @@ SEEDS = {
 }
 TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;\n]")
 FEATURES = 5
+#: Tokens between a target and what it belongs to at most, counting the latter.
+REACH = 5
 
 
 class Countdown:
@@ -94,10 +97,12 @@ def compose(parts: list[Countdown]) -> tuple[list[list[int]], list[list[float]]]
 
 #: class: (weight out of reach, weight within reach)
 GRAMMAR = compose([
-    Countdown(TARGET, 5, {INSULT: (1.0, 1.25), THREAT: (0.0, 1.0)}),
+    Countdown(TARGET, REACH, {INSULT: (1.0, 1.25), THREAT: (0.0, 1.0)}),
     Countdown(NEGATION, 3, {INSULT: (1.0, 0.5), THREAT: (1.0, 0.25)}),
     Latch(REPORT, {INSULT: (1.0, 0.6), THREAT: (1.0, 0.4)}),
 ])
+#: The same states; the weight of a threat that still waits for its target.
+HELD = compose([Countdown(TARGET, REACH, {THREAT: (1.0, 0.0)}), Countdown(NEGATION, 3, {THREAT: (1.0, 0.25)}), Latch(REPORT, {THREAT: (1.0, 0.4)})])[1]
 
 
 def stems_of(word: str) -> list[str]:
@@ -135,6 +140,7 @@ def clause_features(text: str, lexicon: Lexicon) -> tuple[float, ...]:
         return (0.0,) * FEATURES
     follow, gain = GRAMMAR
     state, last, score, total, most, matched, distinct = 0, -1, 0.0, 0.0, 0.0, 0, set()
+    ahead, held = 0.0, []
     marks = np.flatnonzero(classes).tolist()
     for i in [*marks, len(words)]:
         for _ in range(min(i - last - 1, 5)):
@@ -145,9 +151,19 @@ def clause_features(text: str, lexicon: Lexicon) -> tuple[float, ...]:
             score += got
             if got:
                 distinct.add(words[i])
+            elif cls == THREAT:
+                held.append((i, HELD[state][cls]))
+        elif cls == TARGET and held:
+            for at, weight in held:
+                if i - at <= REACH:
+                    ahead += weight
+                    distinct.add(words[at])
+            held.clear()
         state, last = follow[state][cls], i
         if cls == END:
-            total, most, matched, score = total + score, max(most, score), matched + (score > 0), 0.0
+            total, most, matched = total + score + ahead, max(most, score), matched + (score + ahead > 0)
+            score, ahead = 0.0, 0.0
+            held.clear()
     return np.log1p(total), most, np.log1p(matched), np.log1p(100 * total / (len(words) + 20)), np.log1p(len(distinct))
 
 

@@ -359,6 +359,22 @@ def test_grammar():
     assert score("what a blorgful day") == score("what a stupid day")
 
 
+def test_threats_before_their_target():
+    total = lambda t: round(float(np.expm1(toxicity.clause_features(t, toxicity.Lexicon({}))[0])), 9)
+    assert total("i will kill you") == total("you i will kill") == total("you i will kill you") == 1
+    assert total("i will hurt them") == 1 and total("kill or hurt you") == 2 and total("hurt you. hurt you") == 2
+    assert total("kill a b c d you") == 1 and total("kill a b c d e you") == total("kill. you") == total("kill the lights") == 0
+    assert 0 < total("he said kill you") < 1 and 0 < total("never kill you") < 1
+    assert all(f > 0 for k, f in enumerate(toxicity.clause_features("i will kill you", toxicity.Lexicon({}))) if k != 1)
+
+
+def test_threats_count_without_labelled_ones(spark):
+    made = corpus()
+    rows = [(d, t) for d, t, _, _ in made] + [(1000, "i will kill you. we hurt them. they stab her"), (1001, "i will see you. we meet them. they call her")]
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs(spark, rows), labels(spark, [(d, q, x) for d, _, q, x in made])).collect()}
+    assert got[1000] > 0.5 > got[1001]
+
+
 def test_trees_learn_an_interaction():
     r = np.random.default_rng(0)
     x = r.random((2000, 3))
