@@ -120,11 +120,14 @@ class Lexicon(dict):
         self.fixed = {w: c for c, ws in SEEDS.items() for w in ws.split()} | dict.fromkeys(".!?;\n", END)
         self.update(self.fixed)
 
-    def __missing__(self, word: str) -> int:
+    def trim(self) -> None:
+        """Forget the words beyond the limit; between texts only, as a text's weights are read after its classes."""
         if len(self) > self.LIMIT:
             self.clear()
             self.update(self.fixed)
             self.weight.clear()
+
+    def __missing__(self, word: str) -> int:
         found = max((self.learnt.get(s, 0.0) for s in stems_of(word)), default=0.0)
         self[word] = INSULT if found else OTHER
         if found:
@@ -134,6 +137,7 @@ class Lexicon(dict):
 
 def clause_features(text: str, lexicon: Lexicon) -> tuple[float, ...]:
     """log of the total, largest clause score, log of matched clauses, log of the total per 100 words, log of distinct insults."""
+    lexicon.trim()
     words = TOKEN.findall(text.lower())
     classes = np.frombuffer(bytes(map(lexicon.__getitem__, words)), dtype=np.uint8)
     if not len(classes) or not ((classes == INSULT) | (classes == THREAT)).any():

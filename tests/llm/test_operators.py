@@ -375,6 +375,18 @@ def test_threats_count_without_labelled_ones(spark):
     assert got[1000] > 0.5 > got[1001]
 
 
+def test_scores_do_not_depend_on_words_seen_before(monkeypatch):
+    text = "blorg " + words(50, 1)
+    fresh = toxicity.clause_features(text, toxicity.Lexicon({"blorg": 0.5}))
+    lexicon = toxicity.Lexicon({"blorg": 0.5})
+    monkeypatch.setattr(toxicity.Lexicon, "LIMIT", len(lexicon) + 40)
+    for seed in range(2, 6):
+        toxicity.clause_features(words(30, seed), lexicon)
+        assert toxicity.clause_features(text, lexicon) == fresh
+    lexicon.trim()
+    assert len(lexicon) == len(lexicon.fixed)
+
+
 def test_trees_learn_an_interaction():
     r = np.random.default_rng(0)
     x = r.random((2000, 3))
