@@ -359,6 +359,16 @@ def test_grammar():
     assert score("what a blorgful day") == score("what a stupid day")
 
 
+@pytest.mark.parametrize("mark", ["7", ",", "{"], ids=["digits", "commas", "other_marks"])
+def test_trees_see_digits_commas_and_marks(spark, mark):
+    # the same texts with one letter replaced: all other statistics agree
+    rows = [(2 * i + bad, t.replace("a", mark) if bad else t) for i in range(60) for t in [words(40, i)] for bad in (0, 1)]
+    names = [f"s_{n}" for n in quality_gbdt.NAMES]
+    got = quality_gbdt.statistics(docs(spark, rows)).select("doc_id", *names).toPandas()
+    x, y = got[names].to_numpy(), 1.0 - got["doc_id"].to_numpy() % 2
+    assert ((quality_gbdt.grow(x, y).scores(x) > 0.5) == y).all()
+
+
 def test_threats_before_their_target():
     total = lambda t: round(float(np.expm1(toxicity.clause_features(t, toxicity.Lexicon({}))[0])), 9)
     assert total("i will kill you") == total("you i will kill") == total("you i will kill you") == 1
