@@ -271,6 +271,15 @@ def class_links(classes: DataFrame, texts_of: DataFrame, size: int, percent: int
     return components(links.union(compared(more, texts, size, percent).where("linked").select("a", "b")))
 
 
+def document_links(signed: DataFrame, firsts: DataFrame) -> DataFrame:
+    """a, b: the classes that rows of one document fall into, each with the smallest of them."""
+    sets = signed.where("n > 0").select("_id", F.struct("s1", "s2", "n").alias("set"))
+    several = sets.groupBy("_id").agg(F.min("set").alias("x"), F.max("set").alias("y")).where("x <> y").select("_id")
+    own = sets.join(several.hint("merge"), "_id").select("_id", "set.*").join(firsts, ["s1", "s2", "n"]).select("_id", "cid")
+    least = own.groupBy("_id").agg(F.min("cid").alias("a"))
+    return own.join(least, "_id").select("a", F.col("cid").alias("b")).where("a <> b").distinct()
+
+
 def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, _id, _th, n_shingles, component_id and kept, one row for each row of docs (doc_id, text)."""
     rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.xxhash64(whole("text")).alias("_th"), whole("text").alias("text"))
@@ -282,6 +291,9 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     own = signed.where("n > 0").select("_id", "s1", "s2", "n", "symbols", *SKETCH, *WHOLE).join(firsts.withColumnRenamed("cid", "_id"), ["_id", "s1", "s2", "n"], "left_semi")
     classes = own.dropDuplicates(["_id", "s1", "s2"]).select(F.col("_id").alias("cid"), "n", "symbols", *SKETCH, *WHOLE)
     roots = written(class_links(classes, rows.select(F.col("_id").alias("cid"), "text"), size, percent), "all_roots")
+    joint = written(document_links(signed, firsts), "document_links")
+    if not joint.isEmpty():
+        roots = written(components(roots.toDF("a", "b").union(joint)), "joint_roots")
     named = firsts.join(roots, firsts["cid"] == roots["node"], "left").select("s1", "s2", "n", F.coalesce("root", "cid").alias("root"))
     out = signed.select("_id", "_th", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left").withColumn("c", F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("_id")))
     plain = lambda c: F.nullif(F.col(c), F.lit(NO_ID))

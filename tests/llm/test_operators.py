@@ -246,6 +246,13 @@ def test_near_groups_of_odd_rows(spark):
     assert {r["component_id"] for r in got if r["doc_id"] in (6, 7)} == {6} and {r["doc_id"] for r in got if r["n_shingles"] == 0} == {1, 2, 3}
 
 
+def test_texts_of_one_document_join_their_groups(spark):
+    a, b, c = (words(80, i) for i in (70, 71, 72))
+    rows = [(3, b), (11, a), (11, b), (20, edited(a, 1, 5)), (30, c), (31, c), (40, words(80, 73))]
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_groups(docs(spark, rows)).collect()}
+    assert got == {(3, 3, True), (11, 3, False), (20, 3, False), (30, 30, True), (31, 30, False), (40, 40, True)}
+
+
 @pytest.mark.parametrize("edges", [[], [(1, 2)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 30)], [(2, 1), (4, 3), (3, 2), (9, 8), (8, 8)], [(i, (i * 7) % 61) for i in range(61)]])
 def test_components(spark, edges):
     root = {n: n for e in edges for n in e}
