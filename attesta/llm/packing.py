@@ -1,21 +1,28 @@
 """Packing of tokenized documents into windows by multiway differencing.
 
-Each task tokenizes the rows of its own input partition and packs them in groups of GROUP to 2 * GROUP documents, so
-nothing is shuffled and a hot source or a long document needs no care. Full windows are cut from a document's front;
-the rest is halved again and again down to PIECE tokens (small items are what makes sums level), and the pieces of a
-group are dealt into k windows by Karmarkar-Karp differencing: the two partial partitions with the largest imbalance are merged, the fullest window of one
-with the emptiest of the other, until one is left. k starts at the fewest windows that could hold the tokens and rises
-while any window exceeds the capacity.
+Each task tokenizes the rows of its own input partition, so nothing is shuffled and a hot source or a long document needs
+no care. Full windows are cut from a document's front and leave at once; only the rests, each shorter than a window, are
+held until GROUP of them are there. The rests of a group are dealt into k windows by Karmarkar-Karp differencing: the two
+partial partitions with the largest imbalance are merged, the fullest window of one with the emptiest of the other, until
+one is left. What a window then holds beyond the capacity is cut off and dealt once more, with the windows as items. k
+starts at the fewest windows that could hold the tokens and rises when such a cut leaves no less to deal than the one
+before. So a rest is cut only where the balance needs it.
+
+Ids are those of the `tokenizers` library with add_special_tokens=False: the characters of an added token in a text (such
+as <|endoftext|>) give that token's id. Texts with such characters are encoded by the library itself, all others by a
+faster encoder of the same vocabulary.
 
 Defined cases: a null or empty text has the end id alone; repeated rows are each packed; ids of any doc_id (null too)
-pass through; an empty table gives an empty result.
+pass through; a text of any length is encoded whole; other columns of any name play no part; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 import heapq
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +32,8 @@ from pyspark.sql import DataFrame
 from attesta.llm import tokens
 
 CAPACITY = 1024
-#: No piece after the first is cut below this many tokens.
-PIECE = 16
-GROUP = 256
+#: Rests that are dealt together; rows that a worker hands over at a time.
+GROUP, ROWS = 512, 4096
 END = 0
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -62,82 +68,94 @@ def deal(sizes: list[int], k: int) -> list[list[int]]:
     return heap[0][3] if heap else []
 
 
-def windows(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
-    """deal() with the fewest windows, counted up from the total, that keep each within the capacity."""
-    if not sizes:
-        return []
-    k = max(1, -(-sum(sizes) // capacity))
-    while True:
-        dealt = [w for w in deal(sizes, k) if w]
-        if max(sum(sizes[i] for i in w) for w in dealt) <= capacity:
-            return dealt
-        k += 1
-
-
-def cuts(n: int, capacity: int = CAPACITY, piece: int = PIECE) -> tuple[int, list[int]]:
-    """The number of full windows of a document of n tokens, and the lengths of the pieces after them."""
-    full, rest = divmod(n, capacity)
-    parts = []
-    while rest >= 2 * piece:
-        parts.append(rest - rest // 2)
-        rest //= 2
-    return full, parts + [rest] * (rest > 0)
-
-
-def _grouped(rows: Iterable, size: int) -> Iterator[list]:
-    held: list = []
-    for row in rows:
-        held.append(row)
-        if len(held) >= 2 * size:
-            yield held[:size]
-            held = held[size:]
-    if held:
-        yield held
-
-
-def packed(docs: Iterable[tuple[int | None, np.ndarray]], first: int, capacity: int, piece: int, group: int) -> Iterator[list[tuple]]:
-    """Rows of SCHEMA for documents given as (doc_id, ids with the end id), a list for each group."""
-    at = first
-    for held in _grouped(docs, group):
-        out, loose = [], []
-        for doc_id, ids in held:
-            full, rest = cuts(len(ids), capacity, piece)
-            for i in range(full):
-                part = ids[i * capacity : (i + 1) * capacity]
-                out.append((doc_id, i * capacity, capacity, zlib.crc32(part.tobytes()), len(ids), at, 0))
-                at += 1
-            start = full * capacity
-            for n in rest:
-                loose.append((doc_id, start, n, zlib.crc32(ids[start : start + n].tobytes()), len(ids)))
-                start += n
-        for window in windows([x[2] for x in loose], capacity):
+#: (item, first token of the item, tokens)
+Piece = tuple[int, int, int]
+
+
+def trimmed(window: list[Piece], capacity: int) -> tuple[list[Piece], list[Piece]]:
+    """A window within the capacity, and what was taken from it: whole pieces from the largest on, then the end of one."""
+    over, stay, gone = sum(p[2] for p in window) - capacity, sorted(window, key=lambda p: p[2]), []
+    while over > 0:
+        item, start, n = stay.pop()
+        taken = min(n, over)
+        gone.append((item, start + n - taken, taken))
+        if taken < n:
+            stay.append((item, start, n - taken))
+        over -= taken
+    return stay, gone
+
+
+def windows(sizes: list[int], capacity: int = CAPACITY) -> list[list[Piece]]:
+    """Pieces that cover items of these sizes (each within the capacity) in windows within the capacity."""
+    k, left = max(1, -(-sum(sizes) // capacity)), None
+    units: list[list[Piece]] = [[(i, 0, n)] for i, n in enumerate(sizes)]
+    while units:
+        dealt = ([p for u in w for p in units[u]] for w in deal([sum(p[2] for p in u) for u in units], k))
+        kept, loose = [], []
+        for window in dealt:
+            if window:
+                stay, gone = trimmed(window, capacity)
+                kept.append(stay)
+                loose += gone
+        if not loose:
+            return kept
+        now = sum(p[2] for p in loose)
+        k, left, units = k + (left is not None and now >= left), now, kept + [[p] for p in loose]
+    return []
+
+
+class Packer:
+    """Rows of SCHEMA for documents that come one by one; holds at most `group` rests."""
+
+    def __init__(self, first: int, capacity: int, group: int):
+        self.at, self.capacity, self.group, self.rests = first, capacity, group, []
+
+    def add(self, doc_id: int | None, ids: np.ndarray) -> Iterator[tuple]:
+        """The document's full windows, and those of a group of rests that it completes."""
+        n, size = len(ids), self.capacity
+        full = n - n % size
+        for start in range(0, full, size):
+            yield doc_id, start, size, zlib.crc32(ids[start : start + size].tobytes()), n, self.at, 0
+            self.at += 1
+        if full < n:
+            self.rests.append((doc_id, full, ids[full:].copy(), n))
+            if len(self.rests) >= self.group:
+                yield from self.flush()
+
+    def flush(self) -> Iterator[tuple]:
+        for window in windows([len(r[2]) for r in self.rests], self.capacity):
             offset = 0
-            for i in sorted(window):
-                out.append((*loose[i], at, offset))
-                offset += loose[i][2]
-            at += 1
-        yield out
+            for item, start, n in sorted(window):
+                doc_id, before, ids, total = self.rests[item]
+                yield doc_id, before + start, n, zlib.crc32(ids[start : start + n].tobytes()), total, self.at, offset
+                offset += n
+            self.at += 1
+        self.rests.clear()
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, piece: int = PIECE, group: int = GROUP) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """The pieces of all documents (doc_id, text) with their windows; sequence ids are unique, not dense."""
     spark = docs.sparkSession
-    ranks: Broadcast = tokens.shared(spark, tokens.ranks_of_json(path or tokens.default_path("byte_bpe_50k.json")))
+    source = path or tokens.default_path("byte_bpe_50k.json")
+    ranks: Broadcast = tokens.shared(spark, tokens.ranks_of_json(source))
+    # a file of fixed size, as the vocabulary
+    spec: Broadcast = spark.sparkContext.broadcast(tokens.spec_of_json(source))
     names = [f.partition(" ")[0] for f in SCHEMA.split(", ")]
     schema = pa.schema([(n, pa.int64()) for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoding(ranks).encode_ordinary
+        encode = tokens.library_ids(ranks, spec)
+        packer = Packer(TaskContext.get().partitionId() << 40, capacity, group)
 
-        def rows() -> Iterator[tuple[int | None, np.ndarray]]:
+        def rows() -> Iterator[tuple]:
             for batch in batches:
                 ids, texts = batch.column(0).to_pylist(), batch.column(1)
                 for i, doc_id in enumerate(ids):
-                    yield doc_id, np.array([*encode(texts[i].as_py() or ""), END], dtype="<u4")
+                    yield from packer.add(doc_id, np.array([*encode(texts[i].as_py() or ""), END], dtype="<u4"))
+            yield from packer.flush()
 
-        first = TaskContext.get().partitionId() << 40
-        for out in packed(rows(), first, capacity, piece, group):
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema)
+        todo = rows()
+        while part := list(islice(todo, ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*part, strict=True)], schema=schema)
 
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, SCHEMA)

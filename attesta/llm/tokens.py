@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import base64
 import json
+import re
+from collections.abc import Callable
 from functools import cache
 
 from pyspark import Broadcast
@@ -44,6 +46,11 @@ def ranks_of_json(path: str) -> list[bytes]:
     return [bytes(letters[c] for c in token) for _, token in vocab]
 
 
+def spec_of_json(path: str) -> str:
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
 def shared(spark: SparkSession, tokens: list[bytes]) -> Broadcast:
     """At most a few MB: the vocabulary is a file of fixed size."""
     return spark.sparkContext.broadcast(tokens)
@@ -67,3 +74,24 @@ def encoding(tokens: Broadcast):  # noqa: ANN201
     key = zlib.crc32(b"\0".join(value))
     _held[key] = value
     return _encoding(key, len(value))
+
+
+def library_ids(tokens: Broadcast, spec: Broadcast) -> Callable[[str], list[int]]:
+    """text -> the ids that the `tokenizers` library gives with add_special_tokens=False, added tokens in the text included."""
+    added = [t["content"] for t in json.loads(spec.value).get("added_tokens", []) if t["content"]]
+    plain = encoding(tokens).encode_ordinary
+    if not added:
+        return plain
+    held = re.compile("|".join(map(re.escape, added))).search
+    library: list = []
+
+    def encode(text: str) -> list[int]:
+        if held(text) is None:
+            return plain(text)
+        if not library:
+            from tokenizers import Tokenizer
+
+            library.append(Tokenizer.from_str(spec.value))
+        return library[0].encode(text, add_special_tokens=False).ids
+
+    return encode

@@ -270,7 +270,6 @@ def test_packing(spark):
     import public_tokenizers
 
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     rows = [(i, t) for i, (_, t) in enumerate(ODD)] + [(100 + i, words(r, i)) for i, r in enumerate([1, 200, 900, 3000] * 40)] + [(900, "a<|endoftext|>b  \x85  c")]
     got = packing.pack(docs(spark, rows).repartition(2)).collect()
     pieces, sequences = {}, {}
@@ -305,8 +304,29 @@ def test_packing_of_odd_rows(spark):
 @given(st.lists(st.integers(1, 1024), min_size=1, max_size=60))
 def test_windows(sizes):
     dealt = packing.windows(sizes)
-    assert sorted(i for w in dealt for i in w) == list(range(len(sizes)))
-    assert max(sum(sizes[i] for i in w) for w in dealt) <= packing.CAPACITY
+    assert max(sum(n for *_, n in w) for w in dealt) <= packing.CAPACITY
+    parts = {}
+    for i, start, n in sorted(p for w in dealt for p in w):
+        assert start == parts.get(i, 0) and n > 0
+        parts[i] = start + n
+    assert parts == dict(enumerate(sizes))
+
+
+def test_windows_are_full_and_cuts_are_few():
+    r = random.Random(6)
+    sizes = [r.randint(1, 1023) for _ in range(512)]
+    dealt = packing.windows(sizes)
+    assert len(dealt) <= -(-sum(sizes) // packing.CAPACITY) + 1 and sum(map(len, dealt)) < 1.5 * len(sizes)
+
+
+def test_packing_holds_rests_only():
+    packer, most = packing.Packer(0, 1024, 512), 0
+    for d in range(500):
+        out = list(packer.add(d, np.arange(200_000, dtype="<u4")))
+        most = max(most, sum(r[2].nbytes for r in packer.rests))
+        assert [(r[1], r[2]) for r in out] == [(1024 * i, 1024) for i in range(195)]
+    assert most <= 500 * 4 * 1024 and len(packer.rests) == 500
+    assert sum(r[2] for r in packer.flush()) == 500 * (200_000 - 195 * 1024) and not packer.rests
 
 
 def test_differencing_levels():
