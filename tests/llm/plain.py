@@ -81,3 +81,57 @@ def maximal(convs):
         if not any(len(o) > len(said) and o[: len(said)] == said for o in convs.values()):
             out.setdefault(tuple(said), []).append(c)
     return {min(cs): len(cs) for cs in out.values()}
+
+
+def stems(train):
+    """Stems of (text, toxic) pairs by their counts in documents."""
+    import math
+
+    from attesta.llm import toxicity as t
+
+    seen = [{x for w in t.TOKEN.findall((text or "").lower()) if w[0].isalpha() for x in [w + "$", *(w[:n] for n in t.STEMS if len(w) >= n)]} for text, _ in train]
+    sizes = [sum(y == v for _, y in train) for v in (0, 1)]
+    out = {}
+    for stem in set().union(*seen):
+        clean, toxic = (sum(stem in s for s, (_, y) in zip(seen, train, strict=True) if y == v) for v in (0, 1))
+        odds = ((toxic + 0.5) / (sizes[1] + 1)) / ((clean + 0.5) / (sizes[0] + 1))
+        if toxic >= t.MIN_TOXIC and odds >= t.MIN_ODDS:
+            out[stem] = min(1.0, math.log(odds) / 6)
+    return out
+
+
+def clauses(text, learnt):
+    """The score of each clause with a word: every insult and threat is weighed by what stands around it."""
+    from attesta.llm import toxicity as t
+
+    def kind(word):
+        return next((c for c, ws in t.SEEDS.items() if word in ws.split()), None) or (t.INSULT if learning(word) else t.OTHER)
+
+    def learning(word):
+        return max((v for k, v in learnt.items() if word + "$" == k or (len(k) in t.STEMS and word.startswith(k))), default=0.0)
+
+    out = []
+    for clause in re.split(r"[.!?;\n]", (text or "").lower()):
+        words = re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)?", clause)
+        if not words:
+            continue
+        ks, total = [kind(w) for w in words], 0.0
+        for i, k in enumerate(ks):
+            aimed = any(x == t.TARGET for x in ks[max(0, i - 5) : i + 6])
+            denied, told = t.NEGATION in ks[max(0, i - 3) : i], t.REPORT in ks[:i]
+            if k == t.INSULT:
+                seed = any(words[i] in ws.split() for ws in t.SEEDS.values())
+                total += (1.0 if seed else learning(words[i])) * (1.25 if aimed else 1) * (0.5 if denied else 1) * (0.6 if told else 1)
+            elif k == t.THREAT and aimed:
+                total += (0.25 if denied else 1) * (0.4 if told else 1)
+        out.append(total)
+    return out
+
+
+def toxic_score(text, learnt, w):
+    import math
+
+    scores = clauses(text, learnt)
+    hit = sorted(s for s in scores if s > 0)
+    f = [math.log1p(sum(hit)), hit[-1], math.log1p(len(hit)), math.log1p(100 * sum(hit) / (len(scores) + 5)), math.log1p(sum(hit[-3:]))] if hit else [0.0] * 5
+    return 1 / (1 + math.exp(-(w[0] + sum(a * b for a, b in zip(w[1:], f, strict=True)))))

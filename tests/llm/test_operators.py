@@ -382,7 +382,7 @@ def test_grammar():
     assert score("you idiot") > score("an idiot") > score("not an idiot") > 0
     assert score("he said you idiot") < score("you idiot")
     assert score("he said hello. you idiot") == score("you idiot")
-    assert score("i will hurt you") == 0 and score("you i will hurt") > 0
+    assert score("i will hurt you") == score("you i will hurt") > 0 and score("what an idiot you are") == score("you idiot")
     assert score("what a blorgful day") == score("what a stupid day")
 
 
@@ -402,7 +402,43 @@ def test_threats_before_their_target():
     assert total("i will hurt them") == 1 and total("kill or hurt you") == 2 and total("hurt you. hurt you") == 2
     assert total("kill a b c d you") == 1 and total("kill a b c d e you") == total("kill. you") == total("kill the lights") == 0
     assert 0 < total("he said kill you") < 1 and 0 < total("never kill you") < 1
-    assert all(f > 0 for k, f in enumerate(toxicity.clause_features("i will kill you", toxicity.Lexicon({}))) if k != 1)
+    assert all(f > 0 for f in toxicity.clause_features("i will kill you", toxicity.Lexicon({})))
+
+
+GRAMMAR_WORDS = [*(w for ws in toxicity.SEEDS.values() for w in ws.split()[:3]), "blorg", "blorgest", "tree", "house", "lamp", "is", "a", ".", "!", "\n"]
+
+
+@pytest.mark.parametrize("limit", [10, 500_000])
+def test_clause_scores_against_plain_version(monkeypatch, limit):
+    monkeypatch.setattr(toxicity.Lexicon, "LIMIT", limit)
+    r, learnt = random.Random(9), {"blorg": 0.5, "blorgest$": 0.75}
+    lexicon = toxicity.Lexicon(learnt)
+    for n in range(300):
+        text = " ".join(r.choices(GRAMMAR_WORDS, k=r.randint(0, 60)))
+        scores, clauses = toxicity.clause_scores(text, lexicon)
+        want = plain.clauses(text, learnt)
+        assert len(want) == clauses, n
+        assert np.allclose(scores, [w for w in want if w > 0]), text
+
+
+def test_toxicity_against_plain_version(spark):
+    made = corpus(150)
+    rows = [(d, t) for d, t, _, _ in made] + [(None, None), (900, ""), (901, "i will kill you"), (901, "i will kill you"), (902, " ".join(GRAMMAR_WORDS * 300))]
+    lab = labels(spark, [(d, q, x) for d, _, q, x in made])
+    learnt, w = toxicity.learn(docs(spark, rows), lab)
+    assert learnt == plain.stems([(t, x) for d, t, _, x in made if zlib.crc32(str(d).encode()) % 5])
+    want = [(d, plain.toxic_score(t, learnt, w)) for d, t in rows]
+    got = rows_of(toxicity.toxicity(docs(spark, rows), lab).select("doc_id", "score"))
+    assert np.allclose([s for _, s in some(got)], [s for _, s in some(want)]) and [d for d, _ in some(got)] == [d for d, _ in some(want)]
+
+
+def test_one_training_row_for_each_document(spark):
+    made = corpus(40)
+    rows = [(d, t) for d, t, _, _ in made] + [made[3][:2]] * 500 + [(5, "another text")]
+    lab = labels(spark, [(d, q, x) for d, _, q, x in made])
+    got = toxicity.labelled(docs(spark, rows), lab, "toxic", 5, 0, 20_000).collect()
+    assert len(got) == len({r["doc_id"] for r in got}) == sum(zlib.crc32(str(d).encode()) % 5 > 0 for d, *_ in made)
+    assert toxicity.labelled(docs(spark, rows), lab, "toxic", 5, 0, 7).count() == 7
 
 
 def test_threats_count_without_labelled_ones(spark):
