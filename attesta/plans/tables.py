@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,12 +22,47 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(where, True)
+    fs.cancelDeleteOnExit(where)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors, goes when the driver ends."""
+    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors, goes when the driver ends.
+
+    Within scope() it goes when the scope ends, unless its name is among those that the scope keeps.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    held = _open.get()
+    if held is not None:
+        held.append((name, where.toString()))
     return spark.read.schema(df.schema).parquet(path)
+
+
+_open: ContextVar[list[tuple[str, str]] | None] = ContextVar("open", default=None)
+
+
+@contextmanager
+def scope(spark: SparkSession, keep: tuple[str, ...] = ()) -> Iterator[None]:
+    """Drops the tables that written() makes inside when it ends, but for those named in keep, which go on to the scope around it.
+
+    What leaves the scope may read kept tables only.
+    """
+    outer = _open.get()
+    token = _open.set([])
+    try:
+        yield
+    finally:
+        made = _open.get() or []
+        _open.reset(token)
+        for name, path in made:
+            if name not in keep:
+                _drop(spark, path)
+            elif outer is not None:
+                outer.append((name, path))
