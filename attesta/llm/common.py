@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.plans.tables import shared_dir, written
+from attesta.plans.tables import scope, shared_dir, written
 
-__all__ = ["LOWER", "NO_ID", "UPPER", "WHITE", "WORD", "apart", "ascii_lower", "keyed", "restored", "shared_dir", "small_batches", "table", "whole", "words", "written"]
+__all__ = ["LOWER", "NO_ID", "UPPER", "WHITE", "WORD", "apart", "ascii_lower", "keyed", "restored", "scope", "shared_dir", "table", "whole", "words", "written"]
 
 #: A word is a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -53,14 +50,3 @@ def restored(df: DataFrame, columns: list[str], new: dict[str, Column] | None =
     """The columns of _row under their names, those in new replaced."""
     return df.select(*((new or {}).get(c, F.col("_row").getField(c)).alias(c) for c in columns))
 
-
-@contextmanager
-def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of at most so many rows for what runs inside; long lists make the usual 10,000 rows too large."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)

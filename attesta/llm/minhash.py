@@ -8,20 +8,21 @@ CHUNKS * (ERRORS + 1) - 1 symbols differ in at most ERRORS = 1 symbols of some c
 symbol left out, and every such pair shares a key. At a similarity of 0.85 a pair misses all keys with a probability of
 about 2e-8, at 0.8 of about 3e-6.
 
-Links. Documents with equal shingle sets are one class from the start. In each key the member that shares most with
-others is the hub, and members are compared with hubs only, so a group of near copies costs rows in proportion to its
-size. What the hubs leave apart is found in two ways. Let x and y add a and a' shingles to their hub of n, and lack r and
-r' of it. At a similarity of s or more they share at least (r + s a - (1 - s) n + r' + s a') / (1 + s) of what they add or
-lack. If a' >= r', the part of y is r' or more, and they share no more than r' of what they lack: so they share
-need = (r + s a - (1 - s) n) / (1 + s) added shingles, which is above 0 if x isn't linked with the hub. Such pairs are joined
-on (hub, added shingle), where x may leave out its need - 1 most frequent ones. All other pairs of a key
-are compared by their sketches, unless those rule a link out (most_bits: five standard deviations), and a pair is taken
-from one of its keys only. Every link is confirmed on the full sets. Components come from alternating large-star and
-small-star steps.
+Links. Documents with equal shingle sets are one class from the start, and each class is read from one row. In each key the
+member that shares most with others is the hub, and members are compared with hubs only, so a group of near copies costs
+rows in proportion to its size. Keys whose other members are then in several components stay open. In an open key the
+smallest set is the base, and every member is compared with it. Let x add a shingles to a base of n and lack r of it, and
+let y add a' and lack r'; as y is no smaller than the base, a' >= r'. At a similarity of s or more, x and y share at least
+(r + s a - (1 - s) n + r' + s a') / (1 + s) of what they add or lack, and no more than r' of what they lack: so they share
+need = (r + s a - (1 - s) n) / (1 + s) added shingles or more, which is above 0 unless x is linked with the base. So all
+pairs left are found by a join on (base, added shingle) in which each side leaves out its need - 1 most frequent ones:
+pages of one template that differ enough share none of what is left, and don't meet. Every link is confirmed on the full
+sets. Components come from alternating large-star and small-star steps.
 
 Defined cases: a null, empty or wordless text has no set and is its own component; fewer words than a shingle are one
-shingle; rows that share a doc_id are one document, linked with whatever any of its texts is linked with; repeated rows
-share a component; a null doc_id counts as the smallest; an empty table gives an empty result.
+shingle; a text of any length is used whole; rows that share a doc_id are one document, linked with whatever any of its
+texts is linked with; repeated rows share a component and are each returned; a null doc_id counts as the smallest; other
+columns of any name pass through keep_first and play no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,16 +35,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attesta.llm.common import NO_ID, apart, ascii_lower, restored, small_batches, whole, words, written
+from attesta.llm.common import NO_ID, apart, ascii_lower, restored, scope, whole, words, written
 
 #: The operator's own defaults: words in a shingle, and the least similarity of a link in percent.
 SHINGLE = 5
 PERCENT = 80
 HASHES, CHUNKS, WIDTH = 512, 12, 6
 SKETCH = [f"b{i}" for i in range(HASHES // 64)]
-WHOLE = [f"c{i}" for i in range(CHUNKS)]
-#: Rows that a worker takes up at a time, and rows of shingles in an Arrow batch.
-SLICE, BATCH_ROWS = 256, 1_000
+#: Rows that a worker takes up at a time.
+SLICE = 256
+#: Smallest kept shingles of a member that tell from which of its shingles a pair is taken.
+FIRST = 16
 
 
 def most_bits(percent: int) -> int:
@@ -52,20 +54,12 @@ def most_bits(percent: int) -> int:
     return math.ceil(HASHES * p + 5 * math.sqrt(HASHES * p * (1 - p)))
 
 
-def shingles(text: Column, size: int) -> tuple[Column, Column]:
-    """(words, function of the word array): the distinct hashed shingles; the words need a column of their own."""
-    return words(ascii_lower(text)), _shingled("_w", size)
-
-
-def _shingled(w: str, size: int) -> Column:
-    n = F.size(w)
-    many = F.transform(F.sequence(F.lit(1), n - (size - 1)), lambda i: F.xxhash64(*(F.element_at(w, i + k) for k in range(size))))
-    return F.array_distinct(F.when(n >= size, many).when(n > 0, F.array(F.xxhash64(F.col(w)))).otherwise(F.expr("cast(array() as array<bigint>)")))
-
-
 def with_shingles(df: DataFrame, text: str, out: str, size: int) -> DataFrame:
-    w, _ = shingles(F.col(text), size)
-    return df.withColumn("_w", w).withColumn(out, _shingled("_w", size)).drop("_w")
+    """Adds the distinct hashed shingles of a text; its words have a column of their own, so that they are found once."""
+    n = F.size("_w")
+    many = F.transform(F.sequence(F.lit(1), n - (size - 1)), lambda i: F.xxhash64(*(F.element_at("_w", i + k) for k in range(size))))
+    found = F.array_distinct(F.when(n >= size, many).when(n > 0, F.array(F.xxhash64(F.col("_w")))).otherwise(F.expr("cast(array() as array<bigint>)")))
+    return df.withColumn("_w", words(ascii_lower(F.col(text)))).withColumn(out, found).drop("_w")
 
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
@@ -105,7 +99,7 @@ def _multipliers_once() -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """_id, s (list of long) -> _id, n, s1, s2, symbols (binary), sketch words and chunk sums; SLICE rows at a time."""
+    """_id, s (list of long) -> _id, n, s1, s2, symbols (binary) and sketch words; SLICE rows at a time."""
     for whole_batch in batches:
         for at in range(0, len(whole_batch), SLICE):
             batch = whole_batch.slice(at, SLICE)
@@ -118,13 +112,11 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             with np.errstate(over="ignore"):
                 mixed = _mixed(mins * _MIX[2])
                 symbols = (mixed[:, : CHUNKS * WIDTH] & np.uint64(0xFFFF)).astype("<u2")
-                chunks = _placed(symbols).reshape(len(batch), CHUNKS, WIDTH).sum(axis=2, dtype=np.uint64).view(np.int64)
             bits = np.packbits((mixed >> np.uint64(63)).astype(np.uint8), axis=1).view(np.int64)
             yield pa.RecordBatch.from_pydict(
                 {c: batch.column(c) for c in ("_id", "_th", "n", "s1", "s2")}
                 | {"symbols": pa.array([s.tobytes() for s in symbols], pa.binary())}
                 | {c: pa.array(bits[:, k], pa.int64()) for k, c in enumerate(SKETCH)}
-                | {c: pa.array(chunks[:, k], pa.int64()) for k, c in enumerate(WHOLE)}
             )
 
 
@@ -132,7 +124,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     """One row for each row of docs (_id, _th, text): n, the set's 128-bit hash, symbols and sketch."""
     df = with_shingles(docs.select("_id", "_th", "text"), "text", "s", size).withColumn("_o", F.sort_array("s"))
     df = df.select("_id", "_th", F.size("s").cast("long").alias("n"), F.xxhash64(F.lit(1), "_o").alias("s1"), F.xxhash64(F.lit(2), "_o").alias("s2"), "s")
-    return df.mapInArrow(_signed, "_id long, _th long, n long, s1 long, s2 long, symbols binary, " + ", ".join(f"{c} long" for c in SKETCH + WHOLE))
+    return df.mapInArrow(_signed, "_id long, _th long, n long, s1 long, s2 long, symbols binary, " + ", ".join(f"{c} long" for c in SKETCH))
 
 
 def _placed(symbols: np.ndarray) -> np.ndarray:
@@ -142,7 +134,7 @@ def _placed(symbols: np.ndarray) -> np.ndarray:
 
 
 def _chunk_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """cid, symbols -> (key, cid, place) for every chunk and every symbol of it left out; place numbers them."""
+    """cid, symbols -> (key, cid) for every chunk and every symbol of it left out."""
     place = np.arange(CHUNKS * WIDTH, dtype=np.uint64)
     for batch in batches:
         raw = np.frombuffer(b"".join(batch.column("symbols").to_pylist()), dtype="<u2").reshape(len(batch), -1)
@@ -151,25 +143,17 @@ def _chunk_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rest = each.sum(axis=2, keepdims=True, dtype=np.uint64) - each
             keys = _mixed(rest.reshape(len(batch), -1) + place * _MIX[2]).view(np.int64)
         cid = np.repeat(batch.column("cid").to_numpy(), CHUNKS * WIDTH)
-        yield pa.RecordBatch.from_pydict({"key": pa.array(keys.ravel(), pa.int64()), "cid": pa.array(cid, pa.int64()), "place": pa.array(np.tile(place.astype(np.int32), len(batch)), pa.int32())})
+        yield pa.RecordBatch.from_pydict({"key": pa.array(keys.ravel(), pa.int64()), "cid": pa.array(cid, pa.int64())})
 
 
 def shared_keys(classes: DataFrame) -> DataFrame:
-    """(key, cid, place, members) for the keys that at least two classes share."""
-    rows = classes.select("cid", "symbols").mapInArrow(_chunk_keys, "key long, cid long, place int")
+    """(key, cid, members) for the keys that at least two classes share."""
+    rows = classes.select("cid", "symbols").mapInArrow(_chunk_keys, "key long, cid long")
     counts = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     # one plan for every size: neither side of these joins is small where it matters
     return rows.join(counts.hint("merge"), "key").distinct()
 
 
-def first_meeting(a: str, b: str, place: str) -> Column:
-    """Whether this key is the one that a pair is taken from: the first chunk in which they agree wholly, if there is one."""
-    first = F.lit(-1)
-    for k in reversed(range(CHUNKS)):
-        first = F.when(F.col(f"{a}{WHOLE[k]}") == F.col(f"{b}{WHOLE[k]}"), k * WIDTH).otherwise(first)
-    return F.when(first >= 0, F.col(place) == first).otherwise(True)
-
-
 def alike(a: str, b: str, percent: int) -> Column:
     """The filter before confirmation: sizes and sketches (columns {a}n, {a}b0, ...) allow the similarity asked for."""
     na, nb = F.col(f"{a}n"), F.col(f"{b}n")
@@ -181,8 +165,8 @@ def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*(F.col(c).alias(f"{prefix}{c}") for c in df.columns))
 
 
-def compared(pairs: DataFrame, texts: DataFrame, size: int, percent: int, added: bool = False) -> DataFrame:
-    """pairs (a, b, ...) with linked (the full sets are similar enough) and, if asked for, what a has beyond b: added, grows, need.
+def compared(pairs: DataFrame, texts: DataFrame, size: int, percent: int, name: str, added: bool = False) -> DataFrame:
+    """pairs (a, b, ...) with linked (the full sets are similar enough) and, if asked for, what a has beyond b: added, need.
 
     Written, as a filter on linked would be pushed down to the words and evaluate them for every shingle.
     """
@@ -193,12 +177,12 @@ def compared(pairs: DataFrame, texts: DataFrame, size: int, percent: int, added:
     more = []
     if added:
         beyond = 100 * (F.size("sb") - F.col("both")) + percent * (F.size("sa") - F.col("both")) - (100 - percent) * F.size("sb")
-        more = [F.array_except("sa", "sb").alias("added"), (F.size("sa") >= F.size("sb")).alias("grows"), F.ceil(beyond / (100 + percent)).alias("need")]
-    return written(df.select("a", "b", linked.alias("linked"), *more), "compared")
+        more = [F.array_except("sa", "sb").alias("added"), F.ceil(beyond / (100 + percent)).alias("need")]
+    return written(df.select(*pairs.columns, linked.alias("linked"), *more), name)
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (the smallest node reachable) for the nodes of edges (a, b); large-star and small-star in turn."""
+    """node, root (the smallest node reachable) for the nodes of edges (a, b), but for the roots; large-star and small-star in turn."""
     now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     mark = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
     seen = mark(now)
@@ -224,78 +208,83 @@ def _plausible(pairs: DataFrame, slim: DataFrame, percent: int) -> DataFrame:
     return pairs.join(_prefixed(slim, "x_"), F.col("a") == F.col("x_cid")).join(_prefixed(slim, "y_"), F.col("b") == F.col("y_cid")).where(alike("x_", "y_", percent)).select("a", "b")
 
 
-def class_links(classes: DataFrame, texts_of: DataFrame, size: int, percent: int) -> DataFrame:
-    """node, root for the classes that are linked with others; classes (cid, n, symbols, sketch), texts_of (cid, text)."""
-    keys = written(shared_keys(classes), "keys")
-    slim = written(classes.drop("symbols").join(keys.select("cid").distinct(), "cid", "left_semi"), "sketches")
-    texts = written(texts_of.join(slim.select("cid").hint("merge"), "cid", "left_semi"), "texts")
-    shared = keys.join(keys.groupBy("cid").agg(F.sum("members").alias("rank")), "cid")
-    hubs = shared.groupBy("key").agg(F.max(F.struct("rank", (-F.col("cid")).alias("no"))).alias("top")).select("key", (-F.col("top.no")).alias("hub"))
-    hubs = written(hubs, "hubs")
-    pairs = written(_plausible(keys.join(hubs, "key").where("cid <> hub").select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct(), slim, percent), "hub_pairs")
-    edits = compared(pairs, texts, size, percent, added=True)
-    links = edits.where("linked").select("a", "b")
-    roots = written(components(links), "roots")
-
-    # keys whose members, but for the hub, are in several components
-    placed = keys.join(hubs, "key").where("cid <> hub").join(roots, F.col("cid") == F.col("node"), "left").select("key", "cid", "place", "hub", F.coalesce("root", "cid").alias("root"))
-    parts = placed.groupBy("key", "root").agg(F.count("*").alias("k"))
-    open_keys = parts.groupBy("key").agg(F.max(F.struct("k", "root")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("top.root").alias("main"))
-    flags = edits.select(F.col("a").alias("cid"), F.col("b").alias("hub"), "linked", "grows")
-    members = written(placed.join(open_keys, "key").join(flags, ["cid", "hub"], "left"), "open_members")
-
-    # by a shingle that both add to their hub; an unlinked one leaves out the most frequent that it can do without
-    tokens = members.select("hub", F.col("cid").alias("a"), "root").distinct().join(edits.select("a", F.col("b").alias("hub"), "linked", "grows", "need", F.size("added").alias("n_added"), F.explode("added").alias("token")), ["hub", "a"])
-    tokens = written(tokens, "added_shingles")
-    common = tokens.groupBy("hub", "token").agg(F.count("*").alias("df")).where("df > 1")
-    rank = F.row_number().over(Window.partitionBy("hub", "a").orderBy(F.desc("df"), "token"))
-    tokens = tokens.join(common, ["hub", "token"]).withColumn("kept", F.col("linked") | (rank >= F.col("need")))
-    tokens = tokens.withColumn("all_kept", F.collect_list(F.when(F.col("kept"), F.col("token"))).over(Window.partitionBy("hub", "a")))
-    x, y = _prefixed(tokens.where("kept and not linked"), "x_"), _prefixed(tokens.where("grows"), "y_")
-    # where both are unlinked and grow, either's need holds, and both leave theirs out
-    trimmed = F.col("y_kept") | ~F.col("x_grows")
-    # such a pair, and one with a linked y, comes from the smallest shingle that both have kept
-    once = ~F.col("x_grows") | (F.array_min(F.array_intersect("x_all_kept", "y_all_kept")) == F.col("x_token"))
-    both_add = x.join(y, (F.col("x_hub") == F.col("y_hub")) & (F.col("x_token") == F.col("y_token")) & (F.col("x_root") != F.col("y_root")) & trimmed & once)
-    both_add = _plausible(_ordered(both_add, "x_a", "y_a"), slim, percent)
-
-    # by sketches, where that doesn't hold
-    members = written(members.join(slim, "cid"), "open_sketches")
-    x, y = _prefixed(members.where("root <> main"), "x_"), _prefixed(members, "y_")
-    apart = (F.col("x_key") == F.col("y_key")) & (F.col("x_root") != F.col("y_root")) & ((F.col("y_root") == F.col("y_main")) | (F.col("x_cid") < F.col("y_cid")))
-    known = F.col("x_linked").isNotNull() & F.col("y_linked").isNotNull()
-    must_add = F.when(F.col("x_linked"), F.col("x_grows")).when(F.col("y_linked"), F.col("y_grows")).otherwise(F.col("x_grows") | F.col("y_grows"))
-    by_sketch = x.join(y, apart & ~F.coalesce(known & must_add, F.lit(False)) & first_meeting("x_", "y_", "x_place") & alike("x_", "y_", percent))
-    more = both_add.unionByName(_ordered(by_sketch, "x_cid", "y_cid")).distinct()
-    more = written(more.join(written(_ordered(pairs, "a", "b"), "known"), ["a", "b"], "left_anti"), "more_pairs")
-    return components(links.union(compared(more, texts, size, percent).where("linked").select("a", "b")))
-
-
-def document_links(signed: DataFrame, firsts: DataFrame) -> DataFrame:
+def spokes(keys: DataFrame, hubs: DataFrame, roots: DataFrame, sizes: DataFrame) -> DataFrame:
+    """a, b, root: the members of open keys (but for hubs) with the base of their key, and the components that they are in."""
+    placed = keys.join(hubs, "key").where("cid <> hub").join(roots, F.col("cid") == F.col("node"), "left").select("key", "cid", F.coalesce("root", "cid").alias("root"))
+    still = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    placed = written(placed.join(still, "key").join(sizes, "cid"), "open_members")
+    bases = placed.groupBy("key").agg(F.min(F.struct("n", "cid")).alias("base")).select("key", F.col("base.cid").alias("b"))
+    return placed.join(bases, "key").where("cid <> b").select(F.col("cid").alias("a"), "b", "root").distinct()
+
+
+def beside_base(edits: DataFrame) -> DataFrame:
+    """a, b: pairs of different components that share enough of what they add to their base; edits as compared() gives them."""
+    added = edits.select(F.col("b").alias("base"), F.col("a").alias("cid"), "root", "need", F.explode("added").alias("token"))
+    # shingles that several components add; counts and extremes combine on the map side
+    common = added.groupBy("base", "token").agg(F.count("*").alias("df"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("base", "token", "df")
+    main = edits.groupBy("b", "root").agg(F.count("*").alias("k")).groupBy("b").agg(F.max(F.struct("k", "root")).alias("top")).select(F.col("b").alias("base"), F.col("top.root").alias("main"))
+    own = Window.partitionBy("base", "cid")
+    kept = added.join(common, ["base", "token"]).withColumn("rank", F.row_number().over(own.orderBy(F.desc("df"), "token"))).where("rank >= need")
+    kept = kept.withColumn("no", F.row_number().over(own.orderBy("token"))).withColumn("first", F.sort_array(F.collect_list(F.when(F.col("no") <= FIRST, F.col("token"))).over(own)))
+    kept = written(kept.select("base", "token", "cid", "root", "first").join(main, "base"), "added_shingles")
+    x, y = _prefixed(kept.where("root <> main"), "x_"), _prefixed(kept, "y_")
+    met = (F.col("x_base") == F.col("y_base")) & (F.col("x_token") == F.col("y_token")) & (F.col("x_root") != F.col("y_root"))
+    one_way = (F.col("y_root") == F.col("y_main")) | (F.col("x_cid") < F.col("y_cid"))
+    # from the smallest shared shingle where both lists hold it; further repeats go by distinct
+    least = F.array_min(F.array_intersect("x_first", "y_first"))
+    return _ordered(x.join(y, met & one_way & F.coalesce(least == F.col("x_token"), F.lit(True))), "x_cid", "y_cid")
+
+
+def class_links(classes: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """node, root for the classes that are linked with others; classes as near_groups() makes them, rows (_id, _th, text)."""
+    with scope(rows.sparkSession, keep=("roots",)):
+        keys = written(shared_keys(classes), "keys")
+        slim = written(classes.select("cid", "_id", "_th", "n", *SKETCH).join(keys.select("cid").distinct(), "cid", "left_semi"), "sketches")
+        # one text for each class, however often its row repeats
+        texts = rows.join(slim.select("cid", "_id", "_th").hint("merge"), ["_id", "_th"]).dropDuplicates(["_id", "_th", "cid"]).select("cid", "text")
+        texts = written(texts, "texts")
+        shared = keys.join(keys.groupBy("cid").agg(F.sum("members").alias("rank")), "cid")
+        hubs = shared.groupBy("key").agg(F.max(F.struct("rank", (-F.col("cid")).alias("no"))).alias("top")).select("key", (-F.col("top.no")).alias("hub"))
+        hubs = written(hubs, "hubs")
+        pairs = written(_plausible(keys.join(hubs, "key").where("cid <> hub").select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct(), slim, percent), "hub_pairs")
+        links = compared(pairs, texts, size, percent, "with_hubs").where("linked").select("a", "b")
+        roots = written(components(links), "hub_roots")
+        edits = compared(written(spokes(keys, hubs, roots, slim.select("cid", "n")), "spokes"), texts, size, percent, "with_bases", added=True)
+        known = _ordered(pairs, "a", "b").union(_ordered(edits, "a", "b")).distinct()
+        more = _plausible(beside_base(edits), slim, percent).join(written(known, "known"), ["a", "b"], "left_anti")
+        last = compared(written(more, "more_pairs"), texts, size, percent, "beside_bases")
+        links = links.union(edits.where("linked").select("a", "b")).union(last.where("linked").select("a", "b"))
+        return written(components(links), "roots")
+
+
+def document_links(signed: DataFrame, classes: DataFrame) -> DataFrame:
     """a, b: the classes that rows of one document fall into, each with the smallest of them."""
     sets = signed.where("n > 0").select("_id", F.struct("s1", "s2", "n").alias("set"))
     several = sets.groupBy("_id").agg(F.min("set").alias("x"), F.max("set").alias("y")).where("x <> y").select("_id")
-    own = sets.join(several.hint("merge"), "_id").select("_id", "set.*").join(firsts, ["s1", "s2", "n"]).select("_id", "cid")
+    own = sets.join(several.hint("merge"), "_id").select("_id", "set.*").join(classes.select("s1", "s2", "n", "cid"), ["s1", "s2", "n"]).select("_id", "cid")
     least = own.groupBy("_id").agg(F.min("cid").alias("a"))
     return own.join(least, "_id").select("a", F.col("cid").alias("b")).where("a <> b").distinct()
 
 
 def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, _id, _th, n_shingles, component_id and kept, one row for each row of docs (doc_id, text)."""
-    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.xxhash64(whole("text")).alias("_th"), whole("text").alias("text"))
-    with small_batches(docs.sparkSession, BATCH_ROWS):
+    with scope(docs.sparkSession, keep=("signatures", "names")):
+        rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.xxhash64(whole("text")).alias("_th"), whole("text").alias("text"))
         signed = written(signatures(rows, size), "signatures")
-    # equal sets collapse on the map side
-    firsts = signed.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("_id").alias("cid"))
-    firsts = written(firsts, "classes")
-    own = signed.where("n > 0").select("_id", "s1", "s2", "n", "symbols", *SKETCH, *WHOLE).join(firsts.withColumnRenamed("cid", "_id"), ["_id", "s1", "s2", "n"], "left_semi")
-    classes = own.dropDuplicates(["_id", "s1", "s2"]).select(F.col("_id").alias("cid"), "n", "symbols", *SKETCH, *WHOLE)
-    roots = written(class_links(classes, rows.select(F.col("_id").alias("cid"), "text"), size, percent), "all_roots")
-    joint = written(document_links(signed, firsts), "document_links")
-    if not joint.isEmpty():
-        roots = written(components(roots.toDF("a", "b").union(joint)), "joint_roots")
-    named = firsts.join(roots, firsts["cid"] == roots["node"], "left").select("s1", "s2", "n", F.coalesce("root", "cid").alias("root"))
-    out = signed.select("_id", "_th", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left").withColumn("c", F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("_id")))
+        # equal sets collapse on the map side; a written number names each
+        first = F.min(F.struct("_id", "_th", "symbols", *SKETCH)).alias("f")
+        classes = signed.where("n > 0").groupBy("s1", "s2", "n").agg(first).select(F.monotonically_increasing_id().alias("cid"), "s1", "s2", "n", "f.*")
+        classes = written(classes, "classes")
+        roots = class_links(classes, rows.select("_id", "_th", "text"), size, percent)
+        joint = written(document_links(signed, classes), "document_links")
+        if not joint.isEmpty():
+            roots = written(components(roots.toDF("a", "b").union(joint)), "joint_roots")
+        nodes = roots.union(roots.select("root", "root").distinct())
+        linked = classes.select("cid", "_id").join(nodes, F.col("cid") == F.col("node"))
+        least = linked.groupBy("root").agg(F.min("_id").alias("c"))
+        names = classes.select("s1", "s2", "n", "cid", "_id").join(linked.join(least, "root").select("cid", "c"), "cid", "left")
+        names = written(names.select("s1", "s2", "n", F.coalesce("c", "_id").alias("root")), "names")
+    out = signed.select("_id", "_th", "n", "s1", "s2").join(names, ["s1", "s2", "n"], "left").withColumn("c", F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("_id")))
     plain = lambda c: F.nullif(F.col(c), F.lit(NO_ID))
     return out.select(plain("_id").alias("doc_id"), "_id", "_th", F.col("n").alias("n_shingles"), plain("c").alias("component_id"), (F.col("_id") == F.col("c")).alias("kept"))
 

@@ -467,3 +467,37 @@ def test_trees_learn_an_interaction():
     trees = quality_gbdt.grow(x, y)
     assert ((trees.scores(x) > 0.5) == y).mean() > 0.97
     assert quality_gbdt.grow(x, np.ones(2000)).scores(x[:3]).round(2).tolist() == [1.0] * 3
+
+
+def counted(monkeypatch):
+    """Rows that each comparison reads, by its name."""
+    seen, compared = {}, minhash.compared
+
+    def counting(pairs, texts, size, percent, name, added=False):
+        out = compared(pairs, texts, size, percent, name, added)
+        seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(minhash, "compared", counting)
+    return seen
+
+
+def test_repeated_rows_are_compared_once(spark, monkeypatch):
+    seen = counted(monkeypatch)
+    a = words(200, 1)
+    rows = [(1, a)] * 30 + [(2, edited(a, 2, 3))] * 30
+    got = rows_of(minhash.near_dedup(docs(spark, rows), 3, 85).select("doc_id", "component_id"))
+    assert sorted(got) == [(1, 1)] * 30 + [(2, 1)] * 30 and sum(seen.values()) == 1
+
+
+def test_template_pages_do_not_meet(spark, monkeypatch):
+    # 200 shared words, 40 of their own: a similarity of about 0.7 and no links
+    seen, totals = counted(monkeypatch), []
+    template = words(200, 1)
+    for n in (60, 120):
+        seen.clear()
+        got = minhash.near_dedup(docs(spark, [(i, f"{template} {words(40, 100 + i)}") for i in range(n)]), 3, 85)
+        assert got.where("kept").count() == n
+        totals.append(sum(seen.values()))
+        assert seen["beside_bases"] <= n
+    assert totals[1] <= 3 * totals[0]
