@@ -10,14 +10,16 @@ about 2e-8, at 0.8 of about 3e-6.
 
 Links. Documents with equal shingle sets are one class from the start, and each class is read from one row. In each key the
 member that shares most with others is the hub, and members are compared with hubs only, so a group of near copies costs
-rows in proportion to its size. Keys whose other members are then in several components stay open. In an open key the
-smallest set is the base, and every member is compared with it. Let x add a shingles to a base of n and lack r of it, and
-let y add a' and lack r'; as y is no smaller than the base, a' >= r'. At a similarity of s or more, x and y share at least
-(r + s a - (1 - s) n + r' + s a') / (1 + s) of what they add or lack, and no more than r' of what they lack: so they share
-need = (r + s a - (1 - s) n) / (1 + s) added shingles or more, which is above 0 unless x is linked with the base. So all
-pairs left are found by a join on (base, added shingle) in which each side leaves out its need - 1 most frequent ones:
-pages of one template that differ enough share none of what is left, and don't meet. Every link is confirmed on the full
-sets. Components come from alternating large-star and small-star steps.
+rows in proportion to its size. Keys whose other members are then in several components stay open, and each of their members is compared with
+the hub of the key. Let x add a shingles to a hub of n and lack r of it, and y add a' and lack r'. At a similarity of s or
+more they share (r + s a - (1 - s) n + r' + s a') / (1 + s) or more of what they add or lack. They share no more than r' of
+what they lack and a' of what they add, so with need = (r + s a - (1 - s) n) / (1 + s), which is above 0 unless x is
+linked with the hub, they share at least need - s (r' - a') / (1 + s) added shingles, and at least
+need + (r' - a') / (1 + s) lacking ones. One of the two is above 0. So all pairs left are found by a join on
+(hub, added shingle), or (hub, lacking shingle) where no added one need be shared, in which both sides leave out as many
+of their most frequent shingles as they share for sure, less one: pages of one template that differ enough share none of
+what is left, and don't meet. Every link is confirmed on the full sets. Components come from alternating large-star and
+small-star steps.
 
 Defined cases: a null, empty or wordless text has no set and is its own component; fewer words than a shingle are one
 shingle; a text of any length is used whole; rows that share a doc_id are one document, linked with whatever any of its
@@ -44,7 +46,7 @@ HASHES, CHUNKS, WIDTH = 512, 12, 6
 SKETCH = [f"b{i}" for i in range(HASHES // 64)]
 #: Rows that a worker takes up at a time.
 SLICE = 256
-#: Smallest kept shingles of a member that tell from which of its shingles a pair is taken.
+#: Rarest shingles of a member that tell from which of its shingles a pair is taken.
 FIRST = 16
 
 
@@ -166,7 +168,7 @@ def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
 
 
 def compared(pairs: DataFrame, texts: DataFrame, size: int, percent: int, name: str, added: bool = False) -> DataFrame:
-    """pairs (a, b, ...) with linked (the full sets are similar enough) and, if asked for, what a has beyond b: added, need.
+    """pairs (a, b, ...) with linked (the full sets are similar enough) and, if asked for, how a differs from b: added, lacking, need, less.
 
     Written, as a filter on linked would be pushed down to the words and evaluate them for every shingle.
     """
@@ -176,8 +178,9 @@ def compared(pairs: DataFrame, texts: DataFrame, size: int, percent: int, name:
     linked = 100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))
     more = []
     if added:
-        beyond = 100 * (F.size("sb") - F.col("both")) + percent * (F.size("sa") - F.col("both")) - (100 - percent) * F.size("sb")
-        more = [F.array_except("sa", "sb").alias("added"), F.ceil(beyond / (100 + percent)).alias("need")]
+        gone, new = F.size("sb") - F.col("both"), F.size("sa") - F.col("both")
+        need = (100 * gone + percent * new - (100 - percent) * F.size("sb")) / (100 + percent)
+        more = [F.array_except("sa", "sb").alias("added"), F.array_except("sb", "sa").alias("lacking"), need.alias("need"), (gone - new).alias("less")]
     return written(df.select(*pairs.columns, linked.alias("linked"), *more), name)
 
 
@@ -208,31 +211,35 @@ def _plausible(pairs: DataFrame, slim: DataFrame, percent: int) -> DataFrame:
     return pairs.join(_prefixed(slim, "x_"), F.col("a") == F.col("x_cid")).join(_prefixed(slim, "y_"), F.col("b") == F.col("y_cid")).where(alike("x_", "y_", percent)).select("a", "b")
 
 
-def spokes(keys: DataFrame, hubs: DataFrame, roots: DataFrame, sizes: DataFrame) -> DataFrame:
-    """a, b, root: the members of open keys (but for hubs) with the base of their key, and the components that they are in."""
-    placed = keys.join(hubs, "key").where("cid <> hub").join(roots, F.col("cid") == F.col("node"), "left").select("key", "cid", F.coalesce("root", "cid").alias("root"))
+def spokes(keys: DataFrame, hubs: DataFrame, roots: DataFrame) -> DataFrame:
+    """a, b, root: the members of open keys with the hub of their key, and the components that they are in."""
+    placed = keys.join(hubs, "key").where("cid <> hub").join(roots, F.col("cid") == F.col("node"), "left").select("key", "cid", "hub", F.coalesce("root", "cid").alias("root"))
     still = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    placed = written(placed.join(still, "key").join(sizes, "cid"), "open_members")
-    bases = placed.groupBy("key").agg(F.min(F.struct("n", "cid")).alias("base")).select("key", F.col("base.cid").alias("b"))
-    return placed.join(bases, "key").where("cid <> b").select(F.col("cid").alias("a"), "b", "root").distinct()
-
-
-def beside_base(edits: DataFrame) -> DataFrame:
-    """a, b: pairs of different components that share enough of what they add to their base; edits as compared() gives them."""
-    added = edits.select(F.col("b").alias("base"), F.col("a").alias("cid"), "root", "need", F.explode("added").alias("token"))
-    # shingles that several components add; counts and extremes combine on the map side
-    common = added.groupBy("base", "token").agg(F.count("*").alias("df"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("base", "token", "df")
-    main = edits.groupBy("b", "root").agg(F.count("*").alias("k")).groupBy("b").agg(F.max(F.struct("k", "root")).alias("top")).select(F.col("b").alias("base"), F.col("top.root").alias("main"))
-    own = Window.partitionBy("base", "cid")
-    kept = added.join(common, ["base", "token"]).withColumn("rank", F.row_number().over(own.orderBy(F.desc("df"), "token"))).where("rank >= need")
-    kept = kept.withColumn("no", F.row_number().over(own.orderBy("token"))).withColumn("first", F.sort_array(F.collect_list(F.when(F.col("no") <= FIRST, F.col("token"))).over(own)))
-    kept = written(kept.select("base", "token", "cid", "root", "first").join(main, "base"), "added_shingles")
-    x, y = _prefixed(kept.where("root <> main"), "x_"), _prefixed(kept, "y_")
-    met = (F.col("x_base") == F.col("y_base")) & (F.col("x_token") == F.col("y_token")) & (F.col("x_root") != F.col("y_root"))
-    one_way = (F.col("y_root") == F.col("y_main")) | (F.col("x_cid") < F.col("y_cid"))
-    # from the smallest shared shingle where both lists hold it; further repeats go by distinct
-    least = F.array_min(F.array_intersect("x_first", "y_first"))
-    return _ordered(x.join(y, met & one_way & F.coalesce(least == F.col("x_token"), F.lit(True))), "x_cid", "y_cid")
+    return placed.join(still, "key").select(F.col("cid").alias("a"), F.col("hub").alias("b"), "root").distinct()
+
+
+def beside_hubs(edits: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of different components that may share enough of how they differ from their hub; edits as compared() gives them."""
+    rows = edits.select("b", "a", "root", "linked", "need", "less", F.explode(F.array(F.struct(F.lit(True).alias("adds"), F.col("added").alias("l")), F.struct(F.lit(False).alias("adds"), F.col("lacking").alias("l")))).alias("part"))
+    rows = rows.select(F.col("b").alias("hub"), F.col("a").alias("cid"), "root", "linked", "need", "less", "part.adds", F.explode("part.l").alias("token"))
+    # shingles of several components; counts and extremes combine on the map side
+    key = ["hub", "adds", "token"]
+    common = rows.groupBy(*key).agg(F.count("*").alias("df"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select(*key, "df")
+    rows = rows.join(common, key)
+    own = Window.partitionBy("hub", "adds", "cid")
+    rows = rows.withColumn("no", F.row_number().over(own.orderBy("df", "token"))).withColumn("rank", F.count("*").over(own) - F.col("no") + 1)
+    rarest = F.sort_array(F.collect_list(F.when(F.col("no") <= FIRST, F.struct("no", "token"))).over(own))
+    rows = written(rows.withColumn("first", F.transform(rarest, lambda r: r["token"])).drop("df", "no"), "edit_shingles")
+    x, y = _prefixed(rows.where("not linked"), "x_"), _prefixed(rows, "y_")
+    met = (F.col("x_hub") == F.col("y_hub")) & (F.col("x_adds") == F.col("y_adds")) & (F.col("x_token") == F.col("y_token")) & (F.col("x_root") != F.col("y_root"))
+    once = F.col("y_linked") | (F.col("x_cid") < F.col("y_cid"))
+    shared = lambda f: F.greatest(F.col("x_need") + f * F.col("y_less"), F.col("y_need") + f * F.col("x_less")) - 1e-9
+    adding, lacking = shared(-percent / (100 + percent)), shared(100 / (100 + percent))
+    least = F.when(F.col("x_adds"), F.when(adding > 0, adding)).otherwise(F.when(adding <= 0, lacking))
+    far = (F.col("x_rank") >= least) & (F.col("y_rank") >= least)
+    # from the rarest shared shingle where both lists hold it; further repeats go by distinct
+    rarest = F.get(F.array_intersect("x_first", "y_first"), 0)
+    return _ordered(x.join(y, met & once & far & F.coalesce(rarest == F.col("x_token"), F.lit(True))), "x_cid", "y_cid")
 
 
 def class_links(classes: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
@@ -249,10 +256,10 @@ def class_links(classes: DataFrame, rows: DataFrame, size: int, percent: int) ->
         pairs = written(_plausible(keys.join(hubs, "key").where("cid <> hub").select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct(), slim, percent), "hub_pairs")
         links = compared(pairs, texts, size, percent, "with_hubs").where("linked").select("a", "b")
         roots = written(components(links), "hub_roots")
-        edits = compared(written(spokes(keys, hubs, roots, slim.select("cid", "n")), "spokes"), texts, size, percent, "with_bases", added=True)
+        edits = compared(written(spokes(keys, hubs, roots), "spokes"), texts, size, percent, "open_members", added=True)
         known = _ordered(pairs, "a", "b").union(_ordered(edits, "a", "b")).distinct()
-        more = _plausible(beside_base(edits), slim, percent).join(written(known, "known"), ["a", "b"], "left_anti")
-        last = compared(written(more, "more_pairs"), texts, size, percent, "beside_bases")
+        more = _plausible(beside_hubs(edits, percent), slim, percent).join(written(known, "known"), ["a", "b"], "left_anti")
+        last = compared(written(more, "more_pairs"), texts, size, percent, "beside_hubs")
         links = links.union(edits.where("linked").select("a", "b")).union(last.where("linked").select("a", "b"))
         return written(components(links), "roots")
 

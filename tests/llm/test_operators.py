@@ -499,5 +499,5 @@ def test_template_pages_do_not_meet(spark, monkeypatch):
         got = minhash.near_dedup(docs(spark, [(i, f"{template} {words(40, 100 + i)}") for i in range(n)]), 3, 85)
         assert got.where("kept").count() == n
         totals.append(sum(seen.values()))
-        assert seen["beside_bases"] <= n
+        assert seen["beside_hubs"] <= n
     assert totals[1] <= 3 * totals[0]
