@@ -5,6 +5,8 @@ from __future__ import annotations
 import argparse
 import sys
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 from attesta.plans import pipeline
@@ -24,7 +26,7 @@ def _parser() -> argparse.ArgumentParser:
     for p in (report, delta):
         p.add_argument("--benchmarks", nargs="+", default=[])
         p.add_argument("--output")
-        p.add_argument("--verbose", action="store_true")
+        p.add_argument("--verbose", action="store_true", help="tell of each file read, and every warning")
     return top
 
 
@@ -42,36 +44,32 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     args = _parser().parse_args(_arguments(list(sys.argv[1:] if argv is None else argv)))
     spark = spark or SparkSession.builder.appName("attesta").getOrCreate()
     say = lambda ws: [print(f"warning: {w}", file=sys.stderr) for w in ws]
+    read = (lambda done, total: print(f"read {done} of {total} files", file=sys.stderr)) if args.verbose else None
     try:
+        for paths in (args.results,) if args.command == "report" else (args.baseline, args.current, args.benchmarks):
+            found = scanset.resolve(spark, paths, (*scanset.RESULT_SUFFIXES, ".zip"))
+            gone = scanset.missing(spark, found)
+            if gone or (paths and not found):
+                raise pipeline.PipelineError(f"No such file: {', '.join(gone or paths)}", [])
         if args.command == "report":
-            parsed = pipeline.parse(spark, args.results, args.benchmarks)
-            say(parsed.told())
+            parsed = pipeline.parse(spark, args.results, args.benchmarks, progress=read)
+            say(parsed.told(args.verbose))
             path = args.output or pipeline.report_name()
-            xlsx.write_report(parsed.findings, path, pipeline.ORDER)
+            say(xlsx.write_report(parsed.findings, path, pipeline.ORDER))
         else:
-            for paths in (args.baseline, args.current, args.benchmarks):
-                found = scanset.resolve(spark, paths, (*scanset.RESULT_SUFFIXES, ".zip"))
-                gone = [p for p in found if not _exists(spark, p)]
-                if gone or (paths and not found):
-                    raise pipeline.PipelineError(f"No such file: {', '.join(gone or paths)}", [])
-            runs = [pipeline.parse(spark, p, args.benchmarks, allow_empty=True) for p in (args.baseline, args.current)]
+            runs = [pipeline.parse(spark, p, args.benchmarks, allow_empty=True, progress=read) for p in (args.baseline, args.current)]
             result = pipeline.compare(*runs)
-            told = pipeline.merge_warnings(*(r.told() for r in runs)) + [r["message"] for r in result.warnings.orderBy("phase", "ord").collect()]
+            told = pipeline.merge_warnings(*(r.told(args.verbose) for r in runs)) + [r["message"] for r in result.warnings.orderBy("phase", "ord").collect()]
             say(told)
             path = args.output or pipeline.report_name("delta")
-            xlsx.write_delta(result, path, told)
-    except (pipeline.PipelineError, ValueError) as e:
+            say(xlsx.write_delta(result, path, told))
+    except (pipeline.PipelineError, ValueError, OSError, PySparkException, Py4JJavaError) as e:
         say(getattr(e, "warnings", []))
-        print(f"error: {e}", file=sys.stderr)
+        print(f"error: {str(e).strip().partition(chr(10))[0]}", file=sys.stderr)
         return 1
     print(path)
     return 0
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-
-
 if __name__ == "__main__":
     raise SystemExit(main())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from functools import cache
 from itertools import chain
 
 from pyspark.sql import Column
@@ -27,9 +28,20 @@ def strip(c: Column | str) -> Column:
     return F.btrim(_col(c), F.lit(SPACES))
 
 
+@cache
+def _foldings() -> tuple[str, str, dict[str, str]]:
+    """Characters that fold to one other (from, to), and those that fold to several."""
+    changed = [(c, c.casefold()) for c in map(chr, range(0x110000)) if not "\ud800" <= c <= "\udfff" and c != c.casefold()]
+    single = [(a, b) for a, b in changed if len(b) == 1]
+    return "".join(a for a, _ in single), "".join(b for _, b in single), {a: b for a, b in changed if len(b) > 1}
+
+
 def casefold(c: Column | str) -> Column:
-    """Lower case, with sharp s as ss; the other full foldings of Unicode are left as lower() has them."""
-    return F.lower(F.replace(F.replace(_col(c), F.lit("ß"), F.lit("ss")), F.lit("ẞ"), F.lit("ss")))
+    """Unicode's full case folding; text in ASCII takes the short way."""
+    before, after, longer = _foldings()
+    many = F.create_map(*map(F.lit, chain.from_iterable(longer.items())))
+    spelled = F.array_join(F.transform(F.split(F.translate(_col(c), before, after), ""), lambda x: F.coalesce(many[x], x)), "")
+    return F.when(_col(c).rlike(r"[^\x00-\x7F]"), spelled).otherwise(F.lower(_col(c)))
 
 
 def blank_to_null(c: Column | str) -> Column:

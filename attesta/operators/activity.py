@@ -17,8 +17,9 @@ LEGAL = {"pending": ("queued", "running", "cancelled", "error"), "queued": ("run
 def rate_limited(events: DataFrame, client: str, ts: str, order: str, most: int = 10, seconds: int = 60) -> DataFrame:
     """order and accepted: a client's event passes if fewer than `most` accepted ones lie in the `seconds` before it.
 
-    What is accepted depends on what was, so frames can't say it. Each client's rows are walked in order with the last
-    accepted times (at most `most` of them) as the only state; batches of sorted rows stream through.
+    What is accepted depends on what was, so frames can't say it, and a walk in order must. After a gap longer than the
+    window nothing is held, so the walks between gaps are dealt out on their own: a busy client is one task only as long as it
+    pauses for no longer than the window. A walk holds the last accepted times, at most `most` of them.
     """
     window = pd.Timedelta(seconds=seconds)
 
@@ -26,7 +27,7 @@ def rate_limited(events: DataFrame, client: str, ts: str, order: str, most: int
         now, held = None, deque()
         for batch in batches:
             out = []
-            for who, at in zip(batch["client"], batch["ts"], strict=True):
+            for who, at in zip(zip(batch["client"], batch["spell"], strict=True), batch["ts"], strict=True):
                 if who != now:
                     now, held = who, deque()
                 while held and at - held[0] > window:
@@ -37,7 +38,10 @@ def rate_limited(events: DataFrame, client: str, ts: str, order: str, most: int
             yield pd.DataFrame({"order_id": batch["order_id"], "client": batch["client"], "accepted": out})
 
     rows = events.select(F.col(order).alias("order_id"), F.col(client).alias("client"), F.col(ts).cast("timestamp_ntz").alias("ts"))
-    rows = rows.repartition("client").sortWithinPartitions("client", "ts", "order_id")
+    own = Window.partitionBy("client").orderBy("ts", "order_id")
+    pause = F.coalesce((F.col("ts") - F.lag("ts").over(own) > F.expr(f"interval {seconds} seconds")).cast("long"), F.lit(0))
+    rows = rows.withColumn("pause", pause).withColumn("spell", F.sum("pause").over(own)).drop("pause")
+    rows = rows.repartition("client", "spell").sortWithinPartitions("client", "spell", "ts", "order_id")
     kinds = dict(rows.dtypes)
     return rows.mapInPandas(walk, f"order_id {kinds['order_id']}, client {kinds['client']}, accepted boolean")
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from attesta.functions import expr
 
+UNTITLED = "(untitled)"
+
 
 def coverage_of_findings(findings: DataFrame) -> DataFrame:
     return findings.select("server", "stig_title").distinct()
@@ -40,11 +42,11 @@ def gap(pairs: DataFrame, other: DataFrame) -> DataFrame:
 
 def pair_list(pairs: DataFrame, most: int = 20) -> DataFrame:
     """n and text: the first pairs as HOST / TITLE, and how many more there are. Only the first of them are gathered."""
-    spelled = F.concat_ws(" / ", "server", F.coalesce(expr.blank_to_null("stig_title"), F.lit("(no STIG title)")))
+    spelled = F.concat_ws(" / ", "server", F.coalesce(expr.blank_to_null("stig_title"), F.lit(UNTITLED)))
     first = pairs.orderBy("host_key", "stig_key", "server", "stig_title").limit(most)
     shown = first.agg(F.sort_array(F.collect_list(F.struct("host_key", "stig_key", "server", "stig_title", spelled.alias("text")))).alias("l"))
     total = pairs.agg(F.count("*").alias("n"))
-    more = F.when(F.col("n") > most, F.concat(F.lit("; … and "), (F.col("n") - most).cast("string"), F.lit(" more (see the Coverage block)"))).otherwise("")
+    more = F.when(F.col("n") > most, F.concat(F.lit("; and "), (F.col("n") - most).cast("string"), F.lit(" more"))).otherwise("")
     # one row on either side
     return total.join(F.broadcast(shown), F.lit(True), "left").select("n", F.concat(F.array_join(F.transform("l", lambda x: x["text"]), "; "), more).alias("text"))
 

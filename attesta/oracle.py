@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from attesta.operators import delta
 from attesta.queries import RAW
 
 _RAW = RAW.replace("timestamp_ntz", "timestamp").format(lineitem="lineitem", part="part")
@@ -69,8 +70,8 @@ _GAPS = {
     side: f"select host_key, stig_key, m[1] as server, m[2] as stig_title from pairs p where run = '{side}' and (stig_key = '' or not exists (select 1 from pairs q where q.run = '{other}' and q.host_key = p.host_key and q.stig_key = p.stig_key))"
     for side, other in (("baseline", "current"), ("current", "baseline"))
 }
-_LIST = """select count(*)::bigint as n, string_agg(server || ' / ' || coalesce(nullif(stig_title, ''), '(no STIG title)'), '; ' order by host_key, stig_key, server, stig_title) filter (where k <= 20)
-  || case when count(*) > 20 then '; … and ' || (count(*) - 20) || ' more (see the Coverage block)' else '' end as text
+_LIST = """select count(*)::bigint as n, string_agg(server || ' / ' || coalesce(nullif(stig_title, ''), '(untitled)'), '; ' order by host_key, stig_key, server, stig_title) filter (where k <= 20)
+  || case when count(*) > 20 then '; and ' || (count(*) - 20) || ' more' else '' end as text
 from (select *, row_number() over (order by host_key, stig_key, server, stig_title) as k from ({gap}))"""
 _CATS = "count_if(severity = 'CAT I')::bigint as cat_i, count_if(severity = 'CAT II')::bigint as cat_ii, count_if(severity = 'CAT III')::bigint as cat_iii"
 _RAW_SEVERITY = "case p_size % 4 when 0 then 'High' when 1 then 'medium' when 2 then 'LOW' else 'critical' end"
@@ -93,14 +94,79 @@ def _token(key: str) -> str:
 
 
 _LOOKUP = f"rules as (select p_partkey as rule_id, 'V-' || p_partkey as vuln_id, {_SIZES} as severity, p_type as check_text, p_name as fix_text from part where p_partkey % 10 <> 0)"
-_COPIES = " || ' — keeping the first; the scan set may contain overlapping result files.'"
 
 
 def _copy(label: str) -> str:
-    return f"'{label}: duplicate finding for ' || server || ' / ' || coalesce(nullif(vuln_id, ''), rule_id)" + _COPIES
+    return f"'{label} run: ' || server || ' has ' || coalesce(nullif(vuln_id, ''), rule_id) || ' more than once, the first counts'"
+
+
+_ID = "'SV-' || l_partkey || 'r' || l_linenumber || '_rule'"
+_LINES = f"""lines as (select *, {_ID} as rule_id, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) as k,
+    case l_returnflag || l_linestatus when 'RF' then 'fail' when 'RO' then 'notchecked' when 'AF' then 'error' when 'AO' then 'unknown' when 'NF' then 'pass' else 'notapplicable' end as raw_status
+  from lineitem)"""
+_SCANS = f"""{_LINES},
+results as (select l_suppkey as file_ord, k - 1 as row_ord, rule_id, raw_status as status, l_partkey, l_linenumber from lines where l_linenumber < 6),
+scans as (select s_suppkey as file_ord, s_suppkey || '.xml' as source_file, case when s_suppkey % 6 = 4 then s_suppkey::text else s_name end as hostname,
+    case s_suppkey % 4 when 0 then '10.0.0.1' when 1 then '::1' when 2 then '10.0.0.2' else 'N/A' end as ip_address, case s_suppkey % 3 when 1 then './dir/BENCH_' || s_nationkey || '.xml' else '' end as benchmark_href,
+    case s_suppkey % 3 when 0 then 'xccdf_bench_' || s_nationkey else '' end as benchmark_id,
+    case when s_suppkey % 6 = 5 and s_suppkey % 5 in (1, 3) then 'Unknown' else ['OpenSCAP', 'SCC', 'Nessus', 'Evaluate-STIG', 'Unknown'][s_suppkey % 5 + 1] end as scanner,
+    (select count(*) from results r where r.file_ord = s_suppkey)::bigint as n_rules, case when s_suppkey % 3 < 2 then s_nationkey end as nation
+  from supplier)"""
+_MARKS = """rules as (select p_partkey % 25 as nation, row_number() over (partition by p_partkey % 25 order by p_partkey) - 1 as row_ord, 'SV-' || p_partkey || 'r1_rule' as rule_id, case when p_size % 7 = 0 then '' else 'V-' || p_partkey end as vuln_id,
+    ['CAT I', 'CAT II', 'CAT III', 'Unknown'][p_size % 4 + 1] as severity, case when p_size % 5 = 0 then '' else p_type end as check_text, p_name as fix_text from part),
+marks as (select n_nationkey as nation, n_regionkey, 'xccdf_bench_' || n_nationkey as benchmark_id, n_name || ' STIG' as title from nation)"""
+_CKLB = """cklb as (select case when s_suppkey % 4 = 3 then 'Unknown STIG' else s_name || ' STIG' end as stig_title, 'V-' || l_partkey as vuln_id, case when l_linenumber = 3 then 'x' else '' end || rule_id as rule_id,
+    case when l_linenumber % 3 = 1 then 'CAT III' else ['CAT I', 'CAT II', 'CAT III', 'Unknown'][l_linenumber % 4 + 1] end as severity, ['Open', 'Not Reviewed', 'Not A Finding', 'Unknown', 'Error', 'Not Applicable'][l_orderkey % 7 + 1] as status,
+    case when s_suppkey % 3 = 2 then s_suppkey::text else s_name end as server, case when s_suppkey % 2 = 0 then '10.2.2.2' else 'N/A' end as ip_address, 'c' as check_text, raw_status as fix_text, 1::bigint as kind_rank, s_suppkey + 1000000 as file_ord, k as row_ord
+  from lines join supplier on s_suppkey = l_suppkey where l_linenumber < 7 and l_orderkey % 7 < 6)"""
+_NESSUS = """nessus as (select case when l_linenumber = 2 then 'Named' else 'plugin' end as stig_title, 'V-' || l_partkey as vuln_id, case l_linenumber % 3 when 0 then rule_id when 1 then 'ST-' || l_partkey else 'check ' || l_partkey end as rule_id,
+    ['CAT I', 'CAT II', 'CAT III', 'Unknown'][l_linenumber % 4 + 1] as severity, ['Open', 'Not A Finding', 'Not Reviewed', 'Error', 'Unknown'][l_orderkey % 5 + 1] as status,
+    case when s_suppkey % 4 < 3 then s_name when s_suppkey % 8 = 3 then s_suppkey::text else 'n' || s_suppkey end as server, case when s_suppkey % 3 > 0 then '10.3.3.3' when s_suppkey % 8 = 3 then 'N/A' else 'n' || s_suppkey end as ip_address,
+    'i' || case when l_linenumber = 1 then chr(10) || chr(10) || 'Scan output: v' else '' end as check_text, raw_status as fix_text, 1::bigint as kind_rank, s_suppkey + 2000000 as file_ord, row_number() over (partition by l_suppkey order by k) as row_ord
+  from lines join supplier on s_suppkey = l_suppkey where l_partkey % 5 <> 0)"""
+_FIELDS = "stig_title, vuln_id, rule_id, severity, status, server, ip_address, check_text, fix_text"
+_SET = f"""with {_SCANS}, {_MARKS}, {_CKLB}, {_NESSUS},
+found as (select s.source_file, s.nation, coalesce(m.title, '') as stig_title, coalesce(u.vuln_id, '') as vuln_id, r.rule_id, coalesce(u.severity, '') as severity, {_STATUS.replace("raw_status", "r.status")} as status, s.hostname as server, s.ip_address,
+    coalesce(u.check_text, '') as check_text, coalesce(u.fix_text, '') as fix_text, 0::bigint as kind_rank, r.file_ord, r.row_ord, u.rule_id is not null as matched
+  from results r join scans s using (file_ord) left join marks m on m.nation = s.nation left join rules u on u.nation = s.nation and u.rule_id = r.rule_id),
+own as (select * from cklb union all by name select * from nessus),
+every as (select {_FIELDS}, kind_rank, file_ord, row_ord from found where status is not null union all select {_FIELDS}, kind_rank, file_ord, row_ord from own),
+findings as (select * from every where status in ('Open', 'Not Reviewed', 'Error', 'Unknown'))"""
+_WIDTHS = ", ".join(
+    f"least(greatest(max(least(length({c}), {w})), {h}) + 2, {w})::bigint as {c}"
+    for c, h, w in (("stig_title", 10, 50), ("vuln_id", 7, 12), ("rule_id", 7, 40), ("severity", 8, 10), ("status", 6, 14), ("server", 6, 30), ("ip_address", 10, 18), ("check_text", 10, 80), ("fix_text", 8, 80))
+)
 
 
 SQL: dict[str, str] = {
+    "host_keys": "select s_suppkey, lower(case when s_suppkey % 2 = 0 then upper(s_name) else s_name end) || case s_suppkey % 3 when 0 then 'strasse' when 1 then 'οδοσ' else 'film' end as host_key from supplier",
+    "xccdf_scans": f"with {_SCANS} select * exclude (nation) from scans",
+    "xccdf_rule_results": f"with {_SCANS} select file_ord, row_ord, rule_id, status from results",
+    "benchmark_rules": f"with {_MARKS} select nation * 1000000 as bm_ord, row_ord, rule_id, vuln_id, severity, check_text, fix_text, benchmark_id, title from rules join marks using (nation)",
+    "bundle_benchmarks": f"""with {_MARKS} select n_regionkey * 1000000 + row_number() over (partition by n_regionkey order by nation % 2, nation) - 1 as bm_ord, benchmark_id, title, (select nullif(count(*), 0) from rules r where r.nation = m.nation)::bigint as n_rules
+from marks m""",
+    "cklb_findings": f"with {_LINES}, {_CKLB} select * from cklb",
+    "nessus_findings": f"with {_LINES}, {_NESSUS} select * from nessus",
+    "odd_files": """select s_suppkey || ['.xml', '.xml', '.XML', '.xml', '.xml', '.xml', '.cklb', '.CKLB', '.nessus', '.nessus'][s_suppkey % 10 + 1] as source_file, case when s_suppkey % 10 in (0, 3, 6, 9) then 'failed' else 'parsed' end as outcome,
+  case when s_suppkey % 10 in (1, 2, 5) then 1 else 0 end::bigint as n_rows, case s_suppkey % 10 when 1 then s_suppkey::text when 2 then s_suppkey::text when 4 then s_suppkey::text when 5 then '<!ENTITY' else '' end as hostname from supplier""",
+    "scan_findings": f"{_SET} select * from findings",
+    "scan_coverage": f"{_SET} select hostname as server, coalesce(title, '') as stig_title from scans s left join marks m on m.nation = s.nation where n_rules > 0 union select server, stig_title from own",
+    "scan_warnings": f"""{_SET}, lacking as (select *, row_number() over (partition by file_ord order by row_ord) as k from found where status is not null and nation is not null and not matched)
+select file_ord, 0::bigint as row_ord, source_file || ' names a benchmark that isn''t there (href ''' || benchmark_href || ''', id ''' || benchmark_id || '''), so its rules have no texts' as message, 'log' as level from scans where nation is null
+union all select file_ord, 1::bigint, source_file || ': ' || count(*) || ' rules have no texts, as benchmark xccdf_bench_' || nation || ' lacks them: ' || string_agg(rule_id, ', ' order by row_ord) filter (where k <= 5) || case when count(*) > 5 then '...' else '' end, 'log'
+from lacking group by file_ord, source_file, nation""",
+    "scan_totals": f"""{_SET} select (select count(*) from supplier) * 3 as files, count(distinct server)::bigint as hosts, count(*)::bigint as findings, count_if(severity = 'CAT I')::bigint as cat1, count_if(severity = 'CAT II')::bigint as cat2, count_if(severity = 'CAT III')::bigint as cat3,
+  ((select count(*) from results) + (select count(*) from own))::bigint as total_rules from findings""",
+    "resolved_folders": "select distinct n_regionkey::bigint as n_regionkey, n_nationkey::bigint as n_nationkey from nation",
+    "findings_json": f"with {_FOUND} select {_FIELDS}, count(*)::bigint as n from findings where run = 'baseline' group by all",
+    "findings_parquet": f"with {_FOUND} select {_FIELDS}, count(*)::bigint as n from findings where run = 'current' group by all",
+    "report_workbook": f"with {_FOUND} select o + 1 as row, stig_title, vuln_id, rule_id, severity, status, server, ip_address, check_text, fix_text from (select * exclude (o), row_number() over (order by o) as o from findings)",
+    "delta_workbook": f"with {_DELTA} select row_number() over (order by host_key, vuln_id, rule_id, delta_status, run, o) + 1 as row, delta_status, stig_title, vuln_id, rule_id, severity, baseline_status, current_status, server, ip_address, check_text, fix_text from delta",
+    "column_widths": f"with {_FOUND} select {_WIDTHS} from findings",
+    "job_transitions": """with named as (select *, ['cancelled', 'complete', 'error', 'pending', 'queued', 'running'][event_id % 6 + 1] as status from events),
+moves as (select lag(status) over (partition by user_id order by ts, event_id) as previous, status from named)
+select previous, status, previous is null or (previous = 'pending' and status in ('queued', 'running', 'cancelled', 'error')) or (previous = 'queued' and status in ('running', 'cancelled', 'error')) or (previous = 'running' and status in ('complete', 'error', 'cancelled')) as legal,
+  count(*)::bigint as n from moves group by all""",
     "report_findings": f"""with raw as ({_RAW}), {_LOOKUP},
 results as (select *, {_STATUS} as status from raw)
 select run, server, stig_title, status, l_partkey as rule_id, ip_address, l_orderkey, l_linenumber, coalesce(u.vuln_id, '') as vuln_id, coalesce(u.severity, '') as severity,
@@ -125,7 +191,6 @@ steps as (
 best as (select s_suppkey, arg_min(row(n_nationkey, n_name), row(step, n_nationkey)) as hit from steps where step is not null group by s_suppkey)
 select s.s_suppkey, coalesce(hit[1], -1)::bigint as bm_ord, coalesce(hit[2], '') as title from supplier s left join best using (s_suppkey)""",
     "benchmark_last_wins": "select o_custkey as rule_id, arg_max(o_orderpriority, o_orderkey) as vuln_id, arg_max(o_orderstatus, o_orderkey) as severity from orders group by o_custkey",
-    "host_keys": "select s_suppkey, lower(case when s_suppkey % 2 = 0 then upper(s_name) else s_name end) || 'strasse' as host_key from supplier",
     "stig_keys": f"""with titles as (select p_partkey, case p_partkey % 8 when 0 then p_type || '  Security Technical Implementation Guide V' || p_size || 'R' || p_size when 1 then p_brand || '_STIG.audit'
   when 2 then 'Unknown  STIG' when 3 then 'STIG Manual' when 4 then ' ' when 5 then 'DISA ' || upper(p_type) || ' Benchmark' when 6 then 'Nessus Compliance' else p_name || ' - SCAP (v' || p_size || 'r1)' end as title from part)
 select p_partkey, {_title("title")} as stig_key from titles""",
@@ -144,7 +209,6 @@ select {_copy("baseline")} as message, count(*)::bigint as n from numbered where
     "delta_summary": f"""with {_DELTA}, spine as (select * from (values (0, 'New'), (1, 'Resolved'), (2, 'Persisting'), (3, 'Not re-scanned'), (4, 'Newly scanned')) s(ord, delta_status)),
 counts as (select delta_status, {_CATS}, count(*)::bigint as total from delta group by delta_status)
 select ord::bigint as ord, delta_status, coalesce(cat_i, 0) as cat_i, coalesce(cat_ii, 0) as cat_ii, coalesce(cat_iii, 0) as cat_iii, coalesce(total, 0) as total from spine left join counts using (delta_status)""",
-    "delta_ordered_top": f"with {_DELTA} select server, vuln_id, rule_id, delta_status, case run when 'baseline' then 'b' else 'c' end as run, l_orderkey, l_linenumber from delta order by host_key, vuln_id, rule_id, delta_status, 5, o limit 100",
     "summary_by_severity": f"""with {_FOUND}, spine as (select * from (values (0, 'CAT I'), (1, 'CAT II'), (2, 'CAT III')) s(ord, severity))
 select s.ord::bigint as ord, s.severity, count_if(status = 'Open')::bigint as open, count_if(status = 'Not Reviewed')::bigint as not_reviewed, count_if(status = 'Error')::bigint as error, count_if(status = 'Unknown')::bigint as unknown, count(status)::bigint as total
 from spine s left join findings f on f.severity = s.severity group by all""",
@@ -155,17 +219,9 @@ select server, ip_address, first, cat_i, cat_ii, cat_iii, (cat_i + cat_ii + cat_
     "blank_vuln_rate": f"with {_FOUND} select avg(case when vuln_id = '' then 1.0::double else 0.0::double end) as rate from findings",
     "reference_tokens": f"""with refs as (select p_partkey, 'CAT|' || case when p_size % 2 = 0 then 'II' else 'I' end || ',CCI|CCI-' || p_size || ', CCI |second,Rule-ID|SV-' || p_size || 'r1_rule,STIG-ID| x' || p_size || ' |y,CAT|III' as ref from part)
 select p_partkey, {_token("CAT")} as cat, {_token("CCI")} as cci, {_token("Rule-ID")} as rule_id, {_token("STIG-ID")} as stig_id, {_token("Vuln-ID")} as vuln_id from refs""",
-    "json_checklist_explode": """with docs as (select l_orderkey, to_json(list({'group_id': 'V-' || l_partkey, 'status': case when l_linenumber % 2 = 0 then 'open' else 'odd' end, 'severity': case when l_quantity > 25 then 'high' else 'low' end})) as doc from lineitem group by l_orderkey),
-rules as (select l_orderkey, unnest(from_json(doc, '["json"]')) as r from docs)
-select l_orderkey, r->>'group_id' as group_id, case r->>'status' when 'open' then 'Open' else 'Unknown' end as status, case r->>'severity' when 'high' then 'CAT I' else 'CAT III' end as severity from rules""",
-    "event_props": "select event_id, (props->>'k')::bigint as k from events",
-    "xml_roundtrip": "select s_suppkey, s_name as name from supplier",
-    "findings_json_roundtrip": f"with {_FOUND} select server, vuln_id, rule_id, status, count(*)::bigint as n from findings where run = 'baseline' group by all",
     "cell_sanitise": "select p_partkey, case p_partkey % 9 when 0 then '''=' when 1 then '''+' when 2 then '''-' when 3 then '''@' when 4 then '''|' when 5 then '''' || chr(9) when 6 then '''' || chr(13) when 7 then 'x' else '' end || p_name as cell from part",
     "formula_quote": "select p_partkey, '\"a\"\"' || replace(p_name, '\"', '\"\"') || '\"\"\"\"\"' as quoted from part",
     "upload_checks": "select s_suppkey, s_suppkey % 6 in (0, 3) and s_suppkey * 10000000 <= 200 * 1024 * 1024 as accepted from supplier",
-    "column_widths": f"""with {_FOUND} select least(greatest(max(least(length(stig_title), 50)), 10) + 2, 50)::bigint as stig_title, least(greatest(max(least(length(rule_id), 40)), 7) + 2, 40)::bigint as rule_id,
-  least(greatest(max(least(length(server), 30)), 6) + 2, 30)::bigint as server from findings""",
     "zero_rule_scans": "select p_partkey as file_ord, p_name as source_file from part where p_partkey not in (select l_partkey from lineitem where l_quantity > 45)",
     "rate_limited_events": """with recursive ordered as (select event_id, user_id, ts, row_number() over (partition by user_id order by ts, event_id) as k from events),
 walk as (
@@ -175,7 +231,6 @@ walk as (
     case when len(list_filter(w.held, lambda t: t >= o.ts - interval 1 day)) < 2 then list_append(list_filter(w.held, lambda t: t >= o.ts - interval 1 day), o.ts) else w.held end
   from walk w join ordered o on o.user_id = w.user_id and o.k = w.k + 1)
 select event_id, user_id, accepted from walk""",
-    "job_transitions": "with moves as (select lag(event_type) over (partition by user_id order by ts, event_id) as previous, event_type from events) select previous, event_type, count(*)::bigint as n from moves group by all",
     "expired_events": "select event_id, ts from events where ts < (select max(ts) from events) - interval 8 hours",
 }
 for _n in ("1", "2"):
@@ -197,9 +252,9 @@ untitled as (
   union all select host_key, server, 3 from findings where stig_key = '' and run = 'baseline' union all select host_key, server, 4 from findings where stig_key = '' and run = 'current'),
 blank as (select host_key, coalesce(any_value(b), any_value(c), arg_min(u.server, row(rank, u.server))) as name from untitled u left join sides using (host_key) group by host_key),
 told as ({_PHASES}
-  union all select 6, 'Baseline and current scans have different Vuln-ID coverage on hosts common to both runs (' || round_even(b * 100, 0)::int || '% vs ' || round_even(c * 100, 0)::int || '% of findings missing a Vuln-ID) — this usually means --benchmarks was supplied for only one run. Resolved/New counts on those hosts may be unreliable.'
+  union all select 6, '{delta.UNEVEN}' || round_even(b * 100, 0)::int || '%, ' || round_even(c * 100, 0)::int || '%'
   from rates where b <> c and exists (select 1 from delta where delta_status in ('New', 'Resolved'))
-  union all select 8, n || ' baseline host/STIG pair(s) were not re-scanned in the current set — their findings are tagged ''Not re-scanned'', never Resolved, since resolution cannot be inferred for a scan nobody re-ran: ' || text from ({_NOT}) where n > 0
-  union all select 9, n || ' current host/STIG pair(s) have no baseline scan — their findings are tagged ''Newly scanned'', never New, since there is nothing to compare them against: ' || text from ({_NEW}) where n > 0
-  union all select 10, count(*) || ' host(s) have scans with no STIG title (the scan could not be matched to a benchmark), so their findings cannot be verified as re-scanned and are tagged Not re-scanned / Newly scanned; supply --benchmarks for both sets: ' || string_agg(name, ', ' order by host_key, name) from blank having count(*) > 0)
+  union all select 8, n || '{delta.NOT_RESCANNED}' || text from ({_NOT}) where n > 0
+  union all select 9, n || '{delta.NEWLY_SCANNED}' || text from ({_NEW}) where n > 0
+  union all select 10, count(*) || '{delta.UNTITLED}' || string_agg(name, ', ' order by host_key, name) from blank having count(*) > 0)
 select phase::int as phase, message, count(*)::bigint as n from told group by all"""

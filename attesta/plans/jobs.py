@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import threading
+import time
 from collections.abc import Callable
 from typing import Any
 
@@ -19,18 +20,27 @@ class IllegalTransition(ValueError):
     """The job is in a status from which there is no way to the one asked for."""
 
 
+class Cancelled(RuntimeError):
+    """The job was cancelled while it ran."""
+
+
+class Conflict(RuntimeError):
+    """Other writers were faster each time."""
+
+
 class JobStore:
     """Job records by id; every change happens under one lock, and a terminal job changes no more."""
 
-    def __init__(self) -> None:
+    def __init__(self, clock: Callable[[], float] = time.time) -> None:
         self._jobs: dict[str, dict[str, Any]] = {}
         self._lock = threading.Lock()
+        self._clock = clock
 
     def create(self, job_id: str, **fields: Any) -> dict[str, Any]:
         with self._lock:
             if job_id in self._jobs:
                 raise ValueError(f"there is a job {job_id}")
-            self._jobs[job_id] = {"status": "pending", "version": 1, **fields}
+            self._jobs[job_id] = {"status": "pending", "version": 1, "touched": self._clock(), **fields}
             return dict(self._jobs[job_id])
 
     def get(self, job_id: str) -> dict[str, Any] | None:
@@ -42,7 +52,7 @@ class JobStore:
             job = self._jobs[job_id]
             if status not in LEGAL.get(job["status"], ()):
                 raise IllegalTransition(f"{job['status']} -> {status}")
-            job.update(fields, status=status, version=job["version"] + 1)
+            job.update(fields, status=status, version=job["version"] + 1, touched=self._clock())
             return dict(job)
 
     def update(self, job_id: str, statuses: tuple[str, ...], expected: dict[str, Any] | None = None, **fields: Any) -> bool:
@@ -53,16 +63,61 @@ class JobStore:
             job = self._jobs.get(job_id)
             if job is None or job["status"] not in statuses or any(job.get(k) != v for k, v in (expected or {}).items()):
                 return False
-            job.update(fields, version=job["version"] + 1)
+            job.update(fields, version=job["version"] + 1, touched=self._clock())
             return True
 
 
+    def changed(self, job_id: str, change: Callable[[dict[str, Any]], dict[str, Any] | None], tries: int = 5) -> dict[str, Any] | None:
+        """A conditional write: change(job) gives the fields to set (none: leave it), which are set if the job's version is still the same.
+
+        Another writer in between means another try on the newer version; after `tries` of them Conflict is raised.
+        """
+        for _ in range(tries):
+            job = self.get(job_id)
+            fields = None if job is None or job["status"] in TERMINAL else change(dict(job))
+            if fields is None:
+                return None
+            if "status" in fields:
+                raise ValueError("a status changes by transition() only")
+            with self._lock:
+                now = self._jobs.get(job_id)
+                if now is not None and now["version"] == job["version"]:
+                    now.update(fields, version=now["version"] + 1, touched=self._clock())
+                    return dict(now)
+        raise Conflict(f"job {job_id} changed {tries} times meanwhile")
+
+    def sweep(self, idle_hours: float = 8, drop: Callable[[dict[str, Any]], None] | None = None) -> list[str]:
+        """Removes the jobs that nothing has touched for so long; drop(job) removes what they have written. Their ids."""
+        with self._lock:
+            before = self._clock() - 3600 * idle_hours
+            old = [(i, j) for i, j in self._jobs.items() if j["touched"] < before]
+            for i, _ in old:
+                del self._jobs[i]
+        for _, job in old:
+            if drop is not None:
+                drop(job)
+        return [i for i, _ in old]
+
+
 class Jobs:
     """Parse and export under a store; errors become fields of the job, a cancelled job's Spark work is interrupted."""
 
     def __init__(self, spark: SparkSession, store: JobStore | None = None):
         self.spark, self.store = spark, store or JobStore()
 
+    def _check(self, job_id: str) -> None:
+        if self.store.get(job_id)["status"] == "cancelled":
+            raise Cancelled(job_id)
+
+    def _drop(self, job: dict[str, Any]) -> None:
+        for path in filter(None, (job.get("findings"), job.get("report"))):
+            where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+    def sweep(self, idle_hours: float = 8) -> list[str]:
+        """Removes idle jobs with their findings and reports."""
+        return self.store.sweep(idle_hours, self._drop)
+
     def _guarded(self, job_id: str, work: Callable[[], dict[str, Any]]) -> bool:
         self.spark.addTag(f"job-{job_id}")
         try:
@@ -85,7 +140,9 @@ class Jobs:
             self.store.transition(job_id, "running", phase="parsing")
 
         def work() -> dict[str, Any]:
-            parsed = pipeline.parse(self.spark, results, benchmarks)
+            # who cancels a job interrupts its Spark work; between units it is told from the store
+            parsed = pipeline.parse(self.spark, results, benchmarks, progress=lambda done, total: self.store.update(job_id, ("running",), files_done=done, files=total))
+            self._check(job_id)
             jsonfile.write(parsed.findings.orderBy(*pipeline.ORDER), target)
             summary = rollups.run_summary(parsed.findings, parsed.source_files).first().asDict()
             return {"phase": "parsed", "findings": target, "summary": summary, "warnings": parsed.told()}
@@ -102,8 +159,9 @@ class Jobs:
 
         def work() -> dict[str, Any]:
             rows = jsonfile.read(self.spark, job["findings"]).withColumn("row_ord", F.monotonically_increasing_id())
-            xlsx.write_report(rows, target, ["row_ord"])
-            return {"report": target}
+            told = xlsx.write_report(rows, target, ["row_ord"])
+            self._check(job_id)
+            return {"report": target, "warnings": [*job.get("warnings", []), *told]}
 
         if not self._guarded(job_id, work):
             return False

@@ -22,6 +22,14 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder for a file or folder that goes when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}/{name}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -35,13 +43,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     Within scope() it goes when the scope ends, unless its name is among those that the scope keeps.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}/{name}"
+    path = place(spark, name)
     df.write.parquet(path)
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     held = _open.get()
     if held is not None:
-        held.append((name, where.toString()))
+        held.append((name, path.rpartition("/")[0]))
     return spark.read.schema(df.schema).parquet(path)
 
 

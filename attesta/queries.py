@@ -11,9 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attesta import samples, schemas
 from attesta.functions import expr
 from attesta.operators import activity, coverage, dedupe, delta, matching, rollups
-from attesta.plans.tables import written
+from attesta.plans import pipeline
+from attesta.plans.tables import place, written
+from attesta.sinks import jsonfile, parquet, xlsx
+from attesta.sources import scanset
 
 ORDER = ["l_orderkey", "l_linenumber", "rule_id", "l_quantity", "l_extendedprice", "server"]
 
@@ -58,9 +62,9 @@ def scanned(spark: SparkSession, sf_dir: str, run: str) -> DataFrame:
 
 def two_runs(spark: SparkSession, sf_dir: str, with_warnings: bool = False) -> delta.Delta:
     """Both runs compared; the derived relation is written once, as parsed scan sets are."""
-    rows = written(rule_results(spark, sf_dir), "rule_results")
+    rows = written(rule_results(spark, sf_dir).withColumn("row_no", F.monotonically_increasing_id()), "rule_results")
     base, curr = (rows.where(F.col("run") == run) for run in ("baseline", "current"))
-    return delta.compute_delta(_actionable(base), _actionable(curr), coverage.coverage_of_findings(base), coverage.coverage_of_findings(curr), ORDER, with_warnings)
+    return delta.compute_delta(_actionable(base), _actionable(curr), coverage.coverage_of_findings(base), coverage.coverage_of_findings(curr), ORDER, with_warnings, "row_no")
 
 
 def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +135,7 @@ def benchmark_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def host_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.concat(F.lit(" "), F.when(F.col("s_suppkey") % 2 == 0, F.upper("s_name")).otherwise(F.col("s_name")), F.lit("Straße\t"))
+    name = F.concat(F.lit(" "), F.when(F.col("s_suppkey") % 2 == 0, F.upper("s_name")).otherwise(F.col("s_name")), F.when(F.col("s_suppkey") % 3 == 0, "Straße\t").when(F.col("s_suppkey") % 3 == 1, "ΟΔΟΣ").otherwise("ﬁlm\xa0"))
     return table(spark, sf_dir, "supplier").select("s_suppkey", expr.host_key(name).alias("host_key"))
 
 
@@ -199,7 +203,7 @@ def dedupe_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def duplicate_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = dedupe.ranked_by_first(_keyed(spark, sf_dir), ["host_key", "vuln_key"], ORDER).where("copy_no > 1")
+    rows = dedupe.later_copies(_keyed(spark, sf_dir), ["host_key", "vuln_key"], ORDER)
     return rows.select(delta.duplicate_message(F.lit("baseline")).alias("message")).groupBy("message").agg(F.count("*").alias("n"))
 
 
@@ -209,7 +213,7 @@ def _inside(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairs(matched: DataFrame) -> DataFrame:
-    return delta.paired(matched).select(*(F.col(f"{p}_ord.{c}").alias(f"{p}_{c}") for p in "bc" for c in ("l_orderkey", "l_linenumber", "rule_id")), "b_status", "c_status")
+    return delta.paired(matched).select(*(F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in "bc" for c in ("l_orderkey", "l_linenumber", "rule_id", "status")))
 
 
 def delta_pass1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,8 +221,8 @@ def delta_pass1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def delta_pass2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = delta.match_pass(_inside(spark, sf_dir), "vuln_key", ORDER)
-    return _pairs(delta.match_pass(delta.left_over(first), "rule_key", ORDER))
+    rows = written(_inside(spark, sf_dir), "inside")
+    return _pairs(delta.match_pass(delta.left_over(rows, delta.match_pass(rows, "vuln_key", ORDER), "vuln_key"), "rule_key", ORDER))
 
 
 DELTA_COLUMNS = ("server", "stig_title", "vuln_id", "rule_id", "severity", "ip_address", "check_text", "fix_text", "delta_status", "baseline_status", "current_status", "run")
@@ -229,22 +233,17 @@ def delta_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def delta_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollups.delta_counts(two_runs(spark, sf_dir).findings)
+    return rollups.delta_counts(two_runs(spark, sf_dir).tags)
 
 
 def delta_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollups.delta_summary(two_runs(spark, sf_dir).findings)
+    return rollups.delta_summary(two_runs(spark, sf_dir).tags)
 
 
 def delta_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return two_runs(spark, sf_dir, with_warnings=True).warnings.groupBy("phase", "message").agg(F.count("*").alias("n"))
 
 
-def delta_ordered_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first hundred rows of the report's order."""
-    return delta.ordered(two_runs(spark, sf_dir).findings).limit(100).select("server", "vuln_id", "rule_id", "delta_status", "run", "ord.l_orderkey", "ord.l_linenumber")
-
-
 def summary_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.by_severity(findings(spark, sf_dir))
 
@@ -271,35 +270,108 @@ def reference_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", *(expr.reference_token(ref, k).alias(k.lower().replace("-", "_")) for k in ("CAT", "CCI", "Rule-ID", "STIG-ID", "Vuln-ID")))
 
 
-def json_checklist_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as checklists: one document for each order, read back through VARIANT."""
-    rule = F.struct(
-        F.concat(F.lit("V-"), F.col("l_partkey").cast("string")).alias("group_id"), F.when(F.col("l_linenumber") % 2 == 0, "open").otherwise("odd").alias("status"),
-        F.when(F.col("l_quantity") > 25, "high").otherwise("low").alias("severity"),
-    )
-    docs = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.to_json(F.struct(F.collect_list(rule).alias("rules"))).alias("doc"))
-    return spark.sql(
-        """select l_orderkey, try_variant_get(r.value, '$.group_id', 'string') as group_id, try_variant_get(r.value, '$.status', 'string') as raw, try_variant_get(r.value, '$.severity', 'string') as sev
-        from {docs}, lateral variant_explode(variant_get(try_parse_json(doc), '$.rules')) as r""",
-        docs=docs,
-    ).select("l_orderkey", "group_id", expr.cklb_status("raw").alias("status"), expr.severity("sev").alias("severity"))
+def _parts(files: DataFrame) -> scanset.ScanSet:
+    return scanset.split(scanset.parsed(files))
+
+
+def xccdf_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results files by what names their host, address, benchmark and scanner."""
+    return _parts(samples.xccdf_files(spark, sf_dir)).scans
+
+
+def xccdf_rule_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parts(samples.xccdf_files(spark, sf_dir)).results
+
+
+def benchmark_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = written(scanset.parsed(samples.benchmark_files(spark, sf_dir)), "records")
+    parts = scanset.split(rows)
+    return parts.rules.join(parts.benchmarks, "bm_ord")
+
+
+def bundle_benchmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmarks out of ZIPs, those in ZIPs within them too, with how many rules they have."""
+    rows = written(scanset.parsed(samples.bundle_files(spark, sf_dir)), "records")
+    parts = scanset.split(rows)
+    return parts.benchmarks.join(parts.rules.groupBy("bm_ord").agg(F.count("*").alias("n_rules")), "bm_ord", "left")
+
+
+def cklb_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parts(samples.cklb_files(spark, sf_dir)).self_contained
+
+
+def nessus_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parts(samples.nessus_files(spark, sf_dir)).self_contained
+
+
+def odd_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of files that are broken, empty, of another kind, or declare entities."""
+    rows = written(scanset.parsed(samples.odd_files(spark, sf_dir)), "records")
+    parts = scanset.split(rows)
+    return parts.files.join(parts.scans.select("file_ord", "hostname"), "file_ord", "left").select("source_file", "outcome", "n_rows", F.coalesce("hostname", F.lit("")).alias("hostname"))
+
+
+def scan_set(spark: SparkSession, sf_dir: str) -> pipeline.Parsed:
+    """A run of results files of all three kinds and their benchmarks, from files to findings."""
+    files = samples.xccdf_files(spark, sf_dir)
+    for more in (samples.cklb_files, samples.nessus_files, samples.benchmark_files):
+        files = files.unionByName(more(spark, sf_dir))
+    return pipeline.assembled(written(scanset.parsed(files), "records"))
+
+
+def scan_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_set(spark, sf_dir).findings.drop("row_no")
+
+
+def scan_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_set(spark, sf_dir).coverage
+
+
+def scan_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Warnings of matching: results without a benchmark, and rules that a benchmark lacks (the first five of a file are named)."""
+    return scan_set(spark, sf_dir).warnings.where("phase = 4").select("file_ord", "row_ord", "message", "level")
+
+
+def scan_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan_set(spark, sf_dir)
+    return rollups.run_summary(out.findings, out.source_files).withColumn("total_rules", F.lit(out.total_rules).cast("long"))
+
+
+def resolved_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations written in folders by region, found again by a pattern with folders behind **."""
+    top = place(spark, "nations")
+    table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey", "n_name").repartition("n_regionkey").write.partitionBy("n_regionkey", "n_nationkey").text(top)
+    found = scanset.resolve(spark, [f"{top}/**/n_nationkey=*/part-*.txt"], ())
+    paths = spark.createDataFrame([(p,) for p in found], "path string")
+    return paths.select(*(F.regexp_extract("path", rf"/{c}=(\d+)/", 1).cast("long").alias(c) for c in ("n_regionkey", "n_nationkey"))).distinct()
+
+
+def findings_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings written as JSON and read back."""
+    path = place(spark, "findings.json")
+    jsonfile.write(findings(spark, sf_dir, "baseline"), path)
+    return jsonfile.read(spark, path).groupBy(*schemas.FINDING_FIELDS).agg(F.count("*").alias("n"))
 
 
-def event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", F.expr("try_variant_get(try_parse_json(props), '$.k', 'bigint')").alias("k"))
+def findings_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings written as Parquet in folders by severity, and read back."""
+    path = place(spark, "findings.parquet")
+    parquet.write(findings(spark, sf_dir, "current").select(*schemas.FINDING_FIELDS), path, ["severity"])
+    return parquet.read(spark, path).groupBy(*schemas.FINDING_FIELDS).agg(F.count("*").alias("n"))
 
 
-def xml_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as XML and back by xpath on local names."""
-    doc = F.concat(F.lit("<t:target xmlns:t='urn:x'><t:name>"), F.col("s_name"), F.lit("</t:name></t:target>"))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.xpath_string(doc, F.lit("//*[local-name()='name']")).alias("name"))
+def report_workbook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings sheet of the report, row by row."""
+    path = place(spark, pipeline.report_name())
+    xlsx.write_report(findings(spark, sf_dir), path, ORDER)
+    return xlsx.sheet_rows(spark, path, xlsx.FINDING_COLUMNS)
 
 
-def findings_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = F.struct("server", "vuln_id", "rule_id", "status")
-    docs = findings(spark, sf_dir, "baseline").groupBy("server").agg(F.to_json(F.collect_list(kept)).alias("doc"))
-    back = docs.select(F.inline(F.from_json("doc", "array<struct<server:string,vuln_id:string,rule_id:string,status:string>>")))
-    return back.groupBy("server", "vuln_id", "rule_id", "status").agg(F.count("*").alias("n"))
+def delta_workbook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings sheet of the delta report, row by row, in its order."""
+    path = place(spark, pipeline.report_name("delta"))
+    xlsx.write_delta(two_runs(spark, sf_dir), path, [])
+    return xlsx.sheet_rows(spark, path, xlsx.DELTA_COLUMNS)
 
 
 def cell_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -318,7 +390,7 @@ def upload_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def column_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings(spark, sf_dir).agg(*(expr.cell_width(c, h, w).cast("long").alias(c) for c, h, w in (("stig_title", "STIG Title", 50), ("rule_id", "Rule ID", 40), ("server", "Server", 30))))
+    return findings(spark, sf_dir).agg(*(expr.cell_width(expr.sanitized(c), h, w).cast("long").alias(c) for h, c, w in xlsx.FINDING_COLUMNS))
 
 
 def zero_rule_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -332,8 +404,11 @@ def rate_limited_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def job_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = activity.transitions(table(spark, sf_dir, "events"), "user_id", "event_type", ["ts", "event_id"])
-    return rows.groupBy("previous", "event_type").agg(F.count("*").alias("n"))
+    """Events as the statuses of jobs, one job for each user: how often one follows another, and whether it may."""
+    names = sorted({*activity.LEGAL, *activity.TERMINAL})
+    events = table(spark, sf_dir, "events").withColumn("status", F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % len(names) + 1).cast("int")))
+    rows = activity.transitions(events, "user_id", "status", ["ts", "event_id"])
+    return rows.groupBy("previous", "status", activity.is_legal(F.col("previous"), F.col("status")).alias("legal")).agg(F.count("*").alias("n"))
 
 
 def expired_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -347,7 +422,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         report_findings, status_map, severity_map, severity_override, actionable_filter, rule_lookup_left, benchmark_cascade, benchmark_last_wins, host_keys, stig_keys, rule_stems,
         coverage_pairs, coverage_hosts, coverage_spelling, not_rescanned_pairs, newly_scanned_pairs, pair_list_capped, dedupe_first, duplicate_warnings, delta_pass1, delta_pass2, delta_findings,
-        delta_counts, delta_summary, delta_warnings, delta_ordered_top, summary_by_severity, summary_by_server, summary_by_stig, run_summary, blank_vuln_rate, reference_tokens,
-        json_checklist_explode, event_props, xml_roundtrip, findings_json_roundtrip, cell_sanitise, formula_quote, upload_checks, column_widths, zero_rule_scans, rate_limited_events, job_transitions, expired_events,
+        delta_counts, delta_summary, delta_warnings, summary_by_severity, summary_by_server, summary_by_stig, run_summary, blank_vuln_rate, reference_tokens,
+        xccdf_scans, xccdf_rule_results, benchmark_rules, bundle_benchmarks, cklb_findings, nessus_findings, odd_files, scan_findings, scan_coverage, scan_warnings, scan_totals, resolved_folders,
+        findings_json, findings_parquet, report_workbook, delta_workbook, cell_sanitise, formula_quote, upload_checks, column_widths, zero_rule_scans, rate_limited_events, job_transitions, expired_events,
     )
 }

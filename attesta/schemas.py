@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+#: Columns of findings, and the values of their enumerated columns.
 FINDING_FIELDS = ("stig_title", "vuln_id", "rule_id", "severity", "status", "server", "ip_address", "check_text", "fix_text")
 ORDER_FIELDS = ("kind_rank", "file_ord", "row_ord")
 

@@ -56,3 +56,9 @@ def test_cells(spark):
 def test_upload_names(spark):
     rows = spark.createDataFrame([("a.xml", 1), ("../a.xml", 1), ("a/b.xml", 1), ("A.CKLB", 1), ("a.exe", 1), ("a.xml", 300 * 2**20)], "n string, s long")
     assert [r[0] for r in rows.select(expr.is_accepted_upload("n", "s")).collect()] == [True, False, False, True, False, False]
+
+
+def test_casefold_as_unicode_has_it(spark):
+    words = ["Straße", "ẞ", "ﬁLM ﬃ", "ΟΔΟΣ ς", "İstanbul", "ŉ ǰ ΐ", "Ǆ ᾳ", "plain ASCII", "", "日本語", "𐐀"]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", expr.casefold("w").alias("f")).collect()
+    assert {r["w"]: r["f"] for r in got} == {w: w.casefold() for w in words}

@@ -35,7 +35,7 @@ def test_errors_become_fields(spark, tmp_path):
     run = jobs.Jobs(spark)
     run.store.create("j")
     assert not run.parse("j", [str(tmp_path / "x.xml")], [], str(tmp_path / "f"))
-    assert run.store.get("j")["status"] == "error" and run.store.get("j")["error"] == "No valid results files could be parsed."
+    assert run.store.get("j")["status"] == "error" and run.store.get("j")["error"] == "None of the results files could be read."
     run.store.create("k")
     assert run.cancel("k") == "cancelled" and not run.export("k", "")
 
@@ -52,3 +52,42 @@ def test_rate_limit_counts_accepted_only(spark):
     df = spark.createDataFrame(rows, "i long, c string, t string").selectExpr("i", "c", "cast(t as timestamp) as t")
     got = {r["order_id"]: r["accepted"] for r in activity.rate_limited(df, "c", "t", "i", most=2, seconds=60).collect()}
     assert got == {0: True, 1: True, 2: False, 3: False, 9: True, 10: True}
+
+
+def test_rate_limit_starts_anew_after_a_gap(spark):
+    rows = [(i, "a", f"2024-01-01 00:{m:02}:{s:02}") for i, (m, s) in enumerate((m, s) for m in range(0, 30, 3) for s in (0, 1, 2))]
+    df = spark.createDataFrame(rows, "i long, c string, t string").selectExpr("i", "c", "cast(t as timestamp) as t")
+    got = {r["order_id"]: r["accepted"] for r in activity.rate_limited(df, "c", "t", "i", most=2, seconds=60).collect()}
+    assert got == {i: i % 3 < 2 for i, *_ in rows}
+
+
+def test_conditional_writes():
+    store = jobs.JobStore()
+    store.create("a", n=0)
+
+    def meanwhile(job):
+        if job["n"] < 2:
+            store.update("a", ("pending",), n=job["n"] + 1)
+        return {"n": job["n"] + 10}
+
+    assert store.changed("a", meanwhile)["n"] == 12 and store.changed("none", dict) is None
+    with pytest.raises(jobs.Conflict):
+        store.changed("a", lambda job: store.update("a", ("pending",), n=job["n"] + 1) and {"x": 1}, tries=3)
+    with pytest.raises(ValueError, match="transition"):
+        store.changed("a", lambda _: {"status": "complete"})
+    store.transition("a", "cancelled")
+    assert store.changed("a", lambda _: {"n": 1}) is None
+
+
+def test_sweep(spark, tmp_path):
+    now = [0.0]
+    run = jobs.Jobs(spark, jobs.JobStore(lambda: now[0]))
+    (tmp_path / "x.xml").write_text(build.results())
+    run.store.create("old")
+    assert run.parse("old", [str(tmp_path / "x.xml")], [], str(tmp_path / "f"))
+    assert run.store.get("old")["files_done"] == run.store.get("old")["files"] == 1
+    now[0] = 5 * 3600
+    run.store.create("young")
+    assert run.sweep() == [] and (tmp_path / "f").exists()
+    now[0] = 9 * 3600
+    assert run.sweep() == ["old"] and not (tmp_path / "f").exists() and run.store.get("old") is None and run.store.get("young")
