@@ -1,5 +1,6 @@
 """DuckDB SQL that states the same results as the queries."""
 
+from attesta.llm.quality_rules import RULES
 from attesta.llm.secret_scan import KINDS, SCOPE
 
 SQL: dict[str, str] = {}
@@ -12,21 +13,22 @@ keyed as (select doc_id, i, array_to_string(ws[i:i + 4], ' ') as k from windows)
 twice as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, k) as c from keyed) where c > 1),
 covered as (select doc_id, count(distinct i + o) as n from twice, (select unnest(range(5)) as o) group by doc_id),
 lines as (select doc_id, unnest(string_split(text, chr(10))) as line from base),
-dups as (select doc_id, count(*) - count(distinct line) as n from lines where regexp_matches(line, '[^\x20\x09-\x0D]') group by doc_id),
+dups as (select doc_id, count(*) as lines, count(*) - count(distinct line) as n from lines where regexp_matches(line, '[^\x20\x09-\x0D]') group by doc_id),
 stats as (
   select b.doc_id, b.source, len(ws)::bigint as n_words,
     length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::bigint as word_chars,
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
-    coalesce(d.n, 0)::bigint as n_dup_lines, coalesce(c.n, 0)::bigint as n_repeat_words
+    coalesce(d.n, 0)::bigint as n_dup_lines, coalesce(d.lines, 0)::bigint as n_lines, coalesce(c.n, 0)::bigint as n_repeat_words
   from base b left join dups d using (doc_id) left join covered c using (doc_id)),
 judged as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from stats),
-hosts as (select source, count(*)::double as n, count_if(base_failed)::double as f from judged group by source),
-moments as (select sum(f) / sum(n) as m, sum(n * (f / n) * (f / n)) / sum(n) as r2, sum(n) as n, count(*) as k from hosts),
-spread as (select m, greatest(r2 - m * m - m * (1 - m) * k / n, 0) as v from moments),
-prior as (select m, case when v <= 0 then 1000 else least(1000, greatest(2, m * (1 - m) / nullif(v, 0) - 1)) end as w from spread),
-verdicts as (select source, n, f, (f + m * w) / (n + w) > 0.5 as rejected from hosts, prior)
-select j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and not rejected as kept, v.n::bigint as host_docs, v.f::bigint as host_failed
+""" + ",\n".join([
+    "hosts as (select source, count(*)::double as n, " + ", ".join(f"count_if({rule})::double as f_{r}" for r, rule in RULES.items()) + " from judged group by source)",
+    "moments as (select sum(n) as n, count(*) as k, " + ", ".join(f"sum(f_{r}) / sum(n) as m_{r}, sum(n * (f_{r} / n) * (f_{r} / n)) / sum(n) as r2_{r}" for r in RULES) + " from hosts)",
+    "spread as (select *, " + ", ".join(f"greatest(r2_{r} - m_{r} * m_{r} - m_{r} * (1 - m_{r}) * k / n, 0) as v_{r}" for r in RULES) + " from moments)",
+    "prior as (select *, " + ", ".join(f"case when v_{r} <= 0 then 1000 else least(1000, greatest(2, m_{r} * (1 - m_{r}) / nullif(v_{r}, 0) - 1)) end as w_{r}" for r in RULES) + " from spread)",
+    "verdicts as (select h.*, " + " or ".join(f"(f_{r} + m_{r} * w_{r}) / (h.n + w_{r}) > 0.5" for r in RULES) + " as rejected from hosts h, prior)",
+]) + """
+select j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not rejected as kept, v.n::bigint as host_docs, """ + ", ".join(f"v.f_{r}::bigint as host_{r}" for r in RULES) + """
 from judged j join verdicts v on j.source is not distinct from v.source
 """
 

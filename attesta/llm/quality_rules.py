@@ -1,11 +1,12 @@
 """Quality rules with host verdicts.
 
-Each document is measured on its own (whole text, one pass, no shuffle). Rule failures are then summed by host, each
-host's failure rate is shrunk towards the corpus by a beta prior fitted to all hosts, and hosts whose shrunk rate is
-too high are rejected with all their documents.
+Each document is measured on its own (whole text, one pass, no shuffle). The failures of each rule are then summed by
+host, the host's rate of each is shrunk towards the corpus by a beta prior of that rule, fitted to all hosts, and hosts
+with a shrunk rate that is too high are rejected with all their documents.
 
-Defined cases: a null or empty text has no words and fails; a null host is one host of its own; repeated rows are each
-measured and counted; an empty table gives an empty result; other columns of the input play no part.
+Defined cases: a null or empty text has no words and fails; a text of any length is measured whole; a null host is one host of
+its own; repeated rows are each measured and counted; ties don't arise, as a host's verdict is one of its counts; an empty
+table gives an empty result; other columns of the input, of any name, play no part (keep_good passes them through).
 """
 
 from __future__ import annotations
@@ -19,8 +20,16 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-#: A host goes if its shrunk failure rate is above this.
+#: A host goes if a shrunk failure rate of it is above this.
 MAX_HOST_RATE = 0.5
+#: What fails a document by each rule, in SQL over the measures; the first is the verdict on the document itself.
+RULES = {
+    "failed": "base_failed",
+    "short": f"n_words < {MIN_WORDS}",
+    "repeats": f"100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words",
+    "symbols": "10 * n_symbols > n_words",
+    "lines": "10 * n_dup_lines > 3 * n_lines",
+}
 #: Bounds for the prior's weight, in documents.
 MIN_PRIOR, MAX_PRIOR = 2.0, 1000.0
 
@@ -30,7 +39,7 @@ def _without(text: Column, chars: str) -> Column:
 
 
 def measured(docs: DataFrame, text: str = "text", keep: str = "") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed; the words as column `keep` if named.
+    """Adds n_words, word_chars, n_symbols, n_lines (with a word), n_dup_lines, n_repeat_words (long) and base_failed; the words as column `keep` if named.
 
     Repeated windows: sort (hash, position) of all windows, keep those beside an equal hash, and sum the gaps between
     their positions, so a text of n words takes n log n steps.
@@ -60,35 +69,35 @@ def measured(docs: DataFrame, text: str = "text", keep: str = "") -> DataFrame:
     covered = F.aggregate(
         F.transform("_p", lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get("_p", k + 1) - p, F.lit(WINDOW)))), F.lit(0).cast("long"), lambda a, x: a + x
     )
-    df = df.withColumns({"n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"), "n_repeat_words": F.coalesce(covered, F.lit(0).cast("long"))})
+    df = df.withColumns({"n_lines": F.size("_l").cast("long"), "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"), "n_repeat_words": F.coalesce(covered, F.lit(0).cast("long"))})
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     df = df.withColumn("base_failed", failed)
     return (df.withColumnRenamed("_w", keep) if keep else df).drop("_w", "_l", "_h", "_s", "_p")
 
 
 def host_verdicts(stats: DataFrame, host: str) -> DataFrame:
-    """Per host: host_docs, host_failed, host_rate (shrunk) and host_rejected.
+    """Per host: host_docs, for each of RULES host_<rule> (failures) and rate_<rule> (shrunk), and host_rejected.
 
-    Counts are summed on the map side, so a host with a third of all rows sends one row per task. The prior comes from
+    Counts are summed on the map side, so a host with a third of all rows sends one row per task. The priors come from
     one row of sums over the hosts: mean m of all documents, variance v of host rates about it (weighted by documents,
     less binomial noise), weight m(1-m)/v - 1 within bounds.
     """
-    hosts = stats.groupBy(host).agg(F.count("*").alias("host_docs"), F.sum(F.col("base_failed").cast("long")).alias("host_failed"))
-    rate = F.col("host_failed") / F.col("host_docs")
-    total = hosts.agg(
-        F.sum("host_docs").alias("_n"), F.sum("host_failed").alias("_f"), F.sum(F.col("host_docs") * rate * rate).alias("_q"), F.count("*").alias("_k")
-    ).select(
-        (F.col("_f") / F.nullif(F.col("_n"), F.lit(0))).alias("_m"), (F.col("_q") / F.nullif(F.col("_n"), F.lit(0))).alias("_r2"), F.col("_n"), F.col("_k")
-    )
-    spread = F.col("_m") * (1 - F.col("_m"))
-    v = F.greatest(F.col("_r2") - F.col("_m") * F.col("_m") - spread * F.col("_k") / F.col("_n"), F.lit(0.0))
-    weight = F.when(v <= 0, F.lit(MAX_PRIOR)).otherwise(F.least(F.lit(MAX_PRIOR), F.greatest(F.lit(MIN_PRIOR), spread / F.nullif(v, F.lit(0.0)) - 1)))
-    prior = total.select("_m", weight.alias("_w"))
-    shrunk = (F.col("host_failed") + F.col("_m") * F.col("_w")) / (F.col("host_docs") + F.col("_w"))
+    n = F.col("host_docs")
+    hosts = stats.groupBy(host).agg(F.count("*").alias("host_docs"), *(F.sum(F.expr(rule).cast("long")).alias(f"host_{r}") for r, rule in RULES.items()))
+    square = lambda r: F.sum(n * (F.col(f"host_{r}") / n) * (F.col(f"host_{r}") / n)).alias(f"q_{r}")
+    sums = hosts.agg(F.sum(n).alias("n"), F.count("*").alias("k"), *(F.sum(f"host_{r}").alias(f"f_{r}") for r in RULES), *map(square, RULES))
+    mean = sums.select("n", "k", *(f"q_{r}" for r in RULES), *((F.col(f"f_{r}") / F.nullif("n", F.lit(0))).alias(f"m_{r}") for r in RULES))
+
+    def weight(r: str) -> Column:
+        m = F.col(f"m_{r}")
+        v = F.greatest(F.col(f"q_{r}") / F.nullif("n", F.lit(0)) - m * m - m * (1 - m) * F.col("k") / F.col("n"), F.lit(0.0))
+        return F.when(v <= 0, F.lit(MAX_PRIOR)).otherwise(F.least(F.lit(MAX_PRIOR), F.greatest(F.lit(MIN_PRIOR), m * (1 - m) / F.nullif(v, F.lit(0.0)) - 1)))
+
+    prior = mean.select(*(f"m_{r}" for r in RULES), *(weight(r).alias(f"w_{r}") for r in RULES))
+    shrunk = {r: (F.col(f"host_{r}") + F.col(f"m_{r}") * F.col(f"w_{r}")) / (n + F.col(f"w_{r}")) for r in RULES}
     # the prior is a single row
-    return hosts.join(F.broadcast(prior), F.lit(True), "left").select(
-        host, "host_docs", "host_failed", shrunk.alias("host_rate"), (shrunk > MAX_HOST_RATE).alias("host_rejected")
-    )
+    rated = hosts.join(F.broadcast(prior), F.lit(True), "left").select(host, "host_docs", *(f"host_{r}" for r in RULES), *(c.alias(f"rate_{r}") for r, c in shrunk.items()))
+    return rated.withColumn("host_rejected", F.greatest(*(f"rate_{r}" for r in RULES)) > MAX_HOST_RATE)
 
 
 def judged(stats: DataFrame, host: str = "source") -> DataFrame:
@@ -106,11 +115,11 @@ def judged(stats: DataFrame, host: str = "source") -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """doc_id, the measures, base_failed, kept, host_docs and host_failed, one row for each row of docs."""
+    """doc_id, the measures, base_failed, kept, and of the host its documents and failures by rule; one row for each row of docs."""
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(host).alias("host"))
     stats = written(measured(slim).drop("text"), "stats")
     return judged(stats, "host").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_docs", "host_failed"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_docs", *(f"host_{r}" for r in RULES)
     )
 
 
@@ -121,7 +130,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     only the rejected hosts are joined. Failed documents go by a generator that makes no row of them: a filter on
     base_failed would be pushed into the projections of measured() and evaluate the words again for every window.
     """
-    stats = measured(docs.select("text", F.col("source").alias("host"))).select("host", "base_failed")
+    stats = measured(docs.select("text", F.col("source").alias("host"))).drop("text")
     bad = written(host_verdicts(stats, "host").where("host_rejected").select(F.col("host").alias("bad_host")), "rejected_hosts")
     rows = measured(apart(docs).withColumn("host", F.col("_row.source"))).select("_row", "host", "base_failed")
     kept = rows.select("_row", "host", F.explode(F.when(F.col("base_failed"), F.expr("cast(array() as array<int>)")).otherwise(F.array(F.lit(1)))))
