@@ -5,8 +5,10 @@ counted four bits to a long: 16-bit lanes, summed in chunks of CHUNK terms so th
 and summed over the chunks.
 
 Defined cases: a null text is empty; a text without words has fingerprint 0 and is unlike any other; a single word is
-its own term; rows that agree in doc_id and text are one row of the result; rows of one doc_id with different texts
-are each kept, in the order of their text's hash; a null doc_id comes first; the only row of a table is its own next.
+its own term; a text of any length is used whole; repeated rows (equal doc_id and text) are one document in the order, and
+each of them is returned; rows of one doc_id with different texts are each kept, in the order of their text's hash; a null
+doc_id comes first (-2**63 counts as null); the only document of a table is its own next; other columns of any name play no
+part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,13 +43,16 @@ def terms(w: str) -> Column:
 
 
 def fingerprints(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """keys, f1, f2 (the bits) and blank (no term), one row for each key; map tasks send one row for each key and chunk."""
-    df = df.select(*keys, words(F.col(text)).alias("_w")).select(*keys, F.posexplode_outer(terms("_w")).alias("_at", "_a"))
-    df = df.select(*keys, F.floor(F.col("_at") / CHUNK).cast("int").alias("_c"), "_a", F.xxhash64("_a").alias("_b"), F.col("_a").bitwiseAND(F.lit(3).cast("long")).alias("_v"))
+    """keys, f1, f2 (the bits), blank (no term) and copies, one row for each key; map tasks send one row for each row and chunk.
+
+    Repeats of a row are counted apart from one another, so no lane holds more than one text's chunk, and collapse in the end.
+    """
+    df = df.select(*keys, F.monotonically_increasing_id().alias("_r"), words(F.col(text)).alias("_w")).select(*keys, "_r", F.posexplode_outer(terms("_w")).alias("_at", "_a"))
+    df = df.select(*keys, "_r", F.floor(F.col("_at") / CHUNK).cast("int").alias("_c"), "_a", F.xxhash64("_a").alias("_b"), F.col("_a").bitwiseAND(F.lit(3).cast("long")).alias("_v"))
     lane = lambda h, k: F.sum(F.shiftrightunsigned(F.col(h), k).bitwiseAND(F.lit(LANES)) * F.col("_v"))
-    packed = df.groupBy(*keys, "_c").agg(F.sum("_v").alias("_v"), *(lane(h, k).alias(f"{h}{k}") for h in ("_a", "_b") for k in range(16)))
+    packed = df.groupBy(*keys, "_r", "_c").agg(F.sum("_v").alias("_v"), *(lane(h, k).alias(f"{h}{k}") for h in ("_a", "_b") for k in range(16)))
     count = lambda h, j: F.sum(F.shiftrightunsigned(F.col(f"{h}{j % 16}"), 16 * (j // 16)).bitwiseAND(F.lit(0xFFFF).cast("long")))
-    votes = packed.groupBy(*keys).agg(F.sum("_v").alias("_v"), *(count(h, j).alias(f"{h}{j}") for h in ("_a", "_b") for j in range(64)))
+    votes = packed.groupBy(*keys, "_r").agg(F.sum("_v").alias("_v"), *(count(h, j).alias(f"{h}{j}") for h in ("_a", "_b") for j in range(64)))
 
     def word(h: str) -> Column:
         bits = [F.when(2 * F.col(f"{h}{j}") > F.col("_v"), F.lit(1 << j if j < 63 else -(1 << 63))).otherwise(F.lit(0)) for j in range(64)]
@@ -55,7 +60,8 @@ def fingerprints(df: DataFrame, keys: list[str], text: str = "text") -> DataFram
             bits = [a.bitwiseOR(b) for a, b in zip(bits[::2], bits[1::2], strict=True)]
         return bits[0]
 
-    return votes.select(*keys, word("_a").alias("f1"), word("_b").alias("f2"), F.col("_v").isNull().alias("blank"))
+    one = votes.select(*keys, word("_a").alias("f1"), word("_b").alias("f2"), F.col("_v").isNull().alias("blank"))
+    return one.groupBy(*keys).agg(F.max("f1").alias("f1"), F.max("f2").alias("f2"), F.max("blank").alias("blank"), F.count("*").cast("int").alias("copies"))
 
 
 def distance(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
@@ -167,7 +173,7 @@ def simhash(docs: DataFrame) -> DataFrame:
     counts = asked.join(near, ["f1", "f2"]).select(*keys, "n_near")
     after = own.select(F.col("_id").alias("next_id"), F.col("_th").alias("next_th"), *(F.col(c).alias(f"n_{c}") for c in ("f1", "f2", "blank")))
     out = links.join(own, keys).join(changed, keys).join(after, ["next_id", "next_th"]).join(counts, keys, "left")
-    return out.select(
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(
         F.nullif("_id", F.lit(-(2**63))).alias("doc_id"), "n_chars", F.col("sha").alias("edited_sha256"), hexed().alias("fingerprint"), hexed("e_").alias("edited_fingerprint"),
         likeness("", "e_").alias("near_edited"), likeness("", "n_").alias("near_next"), "n_near",
     )

@@ -135,3 +135,52 @@ def toxic_score(text, learnt, w):
     hit = sorted(s for s in scores if s > 0)
     f = [math.log1p(sum(hit)), hit[-1], math.log1p(len(hit)), math.log1p(100 * sum(hit) / (len(scores) + 5)), math.log1p(sum(hit[-3:]))] if hit else [0.0] * 5
     return 1 / (1 + math.exp(-(w[0] + sum(a * b for a, b in zip(w[1:], f, strict=True)))))
+
+
+def spark_hash(text):
+    """The engine's 64-bit hash of a string, as a signed number."""
+    import xxhash
+
+    return signed(xxhash.xxh64_intdigest(text.encode(), seed=42))
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def fingerprint(text):
+    """128 bits, and whether there is no term: every term's weight counts for or against each bit."""
+    import xxhash
+
+    hash64 = lambda raw, seed: xxhash.xxh64_intdigest(raw, seed=seed)
+    ws = WORD.findall(text or "")
+    terms = [(hash64(b.encode(), hash64(a.encode(), 42)), len(a) + len(b)) for a, b in zip(ws, ws[1:])] if len(ws) > 1 else [(hash64(w.encode(), 42), len(w)) for w in ws]  # noqa: B905
+    votes, total = [0] * 128, 0
+    for h, n in terms:
+        weight = 3 if n > 14 else 2 if n > 8 else 1
+        a = (h & ~3) | weight
+        b = hash64(a.to_bytes(8, "little"), 42)
+        total += weight
+        for i in range(64):
+            votes[i] += weight * (a >> i & 1)
+            votes[64 + i] += weight * (b >> i & 1)
+    return sum(1 << i for i, v in enumerate(votes) if 2 * v > total), not terms
+
+
+def like(a, b):
+    import math
+
+    d = (a[0] ^ b[0]).bit_count()
+    return 0.0 if a[1] != b[1] else 1.0 if d == 0 else max(0.0, math.cos(math.pi * d / 128))
+
+
+def simhash(rows):
+    """doc_id, n_chars, edited_sha256, both fingerprints, near_edited and near_next of each row."""
+    order = sorted({(d is not None, d or 0, spark_hash(t or ""), t or "") for d, t in rows})
+    made = {}
+    for i, (known, d, _, t) in enumerate(order):
+        after = order[(i + 1) % len(order)][3]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        own, changed, beside = fingerprint(t), fingerprint(edited), fingerprint(after)
+        made[(d if known else None, t)] = (d if known else None, len(t), sha(edited), f"{own[0]:032x}", f"{changed[0]:032x}", round(like(own, changed), 9), round(like(own, beside), 9))
+    return [made[(d, t or "")] for d, t in rows]
