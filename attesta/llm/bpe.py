@@ -1,15 +1,17 @@
 """Byte-level BPE of a corpus, with each distinct word encoded once.
 
-Words are the matches of the split pattern. A task takes its rows in blocks of about BLOCK_CHARS, numbers the distinct
+Words are the matches of the split pattern. A task takes its rows in blocks of BLOCK_CHARS (more where there are many
+shards, so that a block has words enough for each), numbers the distinct
 words of a block and writes each text as word numbers, in order: its positions. One exchange then carries both the
 numbered texts (to a place of the block) and the distinct words (to the shard of their hash). A shard encodes every
 distinct word once for all blocks, and its ids are joined back to the blocks, which look their numbers up. So no
 occurrence crosses the network as a row of its own, and a frequent word costs a block one entry.
 
-Decoding looks the ids up in the token-byte table, which is as large as the vocabulary file and no larger.
+Decoding joins ids with the token-byte table, which is as large as the vocabulary file and no larger: a map-side join whose
+build side every worker holds, and whose rows stay in the order of their positions.
 
-Defined cases: a null or empty text has no ids; repeated rows are each encoded; any doc_id passes through; a text of one
-endless word is one word; an empty table gives an empty result.
+Defined cases: a null or empty text has no ids; repeated rows are each encoded; any doc_id passes through, null too; a text of any
+length is encoded whole, also one endless word; other columns of any name play no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,8 +27,10 @@ from pyspark.sql import DataFrame
 
 from attesta.llm import tokens
 
-#: Text that one block holds at most, unless a single text is longer.
-BLOCK_CHARS = 4_000_000
+#: Text that one block holds at most, unless a single text is longer: so much for each SHARDS_A_BLOCK shards, up to MOST_BLOCKS times as much.
+BLOCK_CHARS, SHARDS_A_BLOCK, MOST_BLOCKS = 4_000_000, 200, 16
+#: Words that a shard keeps the ids of; beyond, it starts anew, and a word may be encoded once more.
+KNOWN = 2_000_000
 _KEYED = pa.schema([("key", pa.string()), ("block", pa.string()), ("blob", pa.binary())])
 _KEYED_DDL = "key string, block string, blob binary"
 
@@ -67,7 +71,11 @@ def _pattern():  # noqa: ANN202
     return regex.compile(tokens.SPLIT)
 
 
-def _numbered(shards: int) -> Callable:
+def block_chars(shards: int) -> int:
+    return BLOCK_CHARS * min(MOST_BLOCKS, max(1, shards // SHARDS_A_BLOCK))
+
+
+def _numbered(shards: int, most: int) -> Callable:
     """doc_id, text -> for each block its numbered texts, and for each of its shards the distinct words with their numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +103,7 @@ def _numbered(shards: int) -> Callable:
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 text = text or ""
-                if ids and chars + len(text) > BLOCK_CHARS:
+                if ids and chars + len(text) > most:
                     yield from block()
                     ids, codes, number, chars, serial = [], [], _Numbered(), 0, serial + 1
                 ids.append(doc_id)
@@ -119,6 +127,8 @@ def _encoded(ranks) -> Callable:  # noqa: ANN001
                 if key[0] != "s":
                     continue
                 sent = _unpack(blob)
+                if len(known) > KNOWN:
+                    known.clear()
                 flat, sizes = [], []
                 for w in sent["word"].to_pylist():
                     found = known.get(w)
@@ -171,7 +181,7 @@ def _over_blocks(docs: DataFrame, path: str | None, shards: int | None, finish:
     ranks = tokens.shared(spark, tokens.ranks_of_tiktoken(path or tokens.default_path("byte_bpe_50k.tiktoken")))
     parts = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # numbered once: both branches read this exchange, where a block's texts meet its ids by key
-    sent = docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(_numbered(parts), _KEYED_DDL).repartition(parts, "key")
+    sent = docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(_numbered(parts, block_chars(parts)), _KEYED_DDL).repartition(parts, "key")
     replies = sent.mapInArrow(_encoded(ranks), _KEYED_DDL)
     return sent.groupBy("key").cogroup(replies.groupBy("key")).applyInArrow(_rebuilt(ranks, finish, schema), ddl)
 
