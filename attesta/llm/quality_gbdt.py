@@ -1,12 +1,14 @@
 """Quality of documents by gradient-boosted trees over their statistics.
 
 The statistics are Column expressions over whole texts. Trees are grown level by level on histograms of binned statistics
-(logistic loss, second order) from at most MAX_LABELS labelled rows, a fixed sample by hash. They are kept as flat
-arrays: node i of a complete tree has children 2i + 1 and 2i + 2, so all rows walk a tree together.
-
-Defined cases: a null or empty text has all statistics 0 and is scored like any other; a null doc_id is not held out and
-not learnt from; repeated labels of a document count as their maximum; without both labels every score is the share of
-label 1 (0.5 without any); repeated rows are each scored; an empty table gives an empty result.
+(logistic loss, second order) from at most MAX_LABELS labelled documents (a fixed sample by hash, one text of each). They
+are kept as flat arrays: node i of a complete tree has children 2i + 1 and 2i + 2, so all rows walk a tree together.
+
+Defined cases: a null or empty text has all statistics 0 and is scored like any other; a text of any length is measured
+whole; a null doc_id is not held out and not learnt from; repeated labels of a document count as their maximum; of several
+texts of a labelled document one is learnt from; without both labels every score is the share of label 1 (0.5 without any);
+repeated rows are each scored; ties of the sample go by doc_id, ties of splits by the first statistic; other columns of any
+name play no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations

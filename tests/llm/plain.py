@@ -184,3 +184,31 @@ def simhash(rows):
         own, changed, beside = fingerprint(t), fingerprint(edited), fingerprint(after)
         made[(d if known else None, t)] = (d if known else None, len(t), sha(edited), f"{own[0]:032x}", f"{changed[0]:032x}", round(like(own, changed), 9), round(like(own, beside), 9))
     return [made[(d, t or "")] for d, t in rows]
+
+
+def statistics(text):
+    """What the trees look at, in the order of their names."""
+    import math
+
+    t = text or ""
+    n_words, word_chars, symbols, dups, repeats, _ = measures(t)
+    ws, ks, n = WORD.findall(t), len(t.split("\n")), len(t)
+    w, c = max(n_words, 1), max(n, 1)
+    count = lambda chars: sum(x in chars for x in t)
+    return [
+        math.log1p(n), math.log1p(n_words), word_chars / w, symbols / w, count("|") / w, count("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / c, count("0123456789") / c, count("!") / w, count(".") / w,
+        count(",") / w, ks / w, dups / ks, repeats / w, len(set(ws)) / w, max(map(len, ws), default=0), sum(len(x) <= 3 for x in ws) / w, math.log1p(n / ks), count("()[]{}\"'/\\@=_~^`:;?") / w,
+    ]
+
+
+def walked(trees, x):
+    """The score of one row, each tree walked from its root by its children's places."""
+    import math
+
+    total = trees.base
+    for feature, threshold, leaf in zip(trees.feature, trees.threshold, trees.leaf, strict=True):
+        at = 0
+        while at < len(feature):
+            at = 2 * at + (2 if x[feature[at]] > threshold[at] else 1)
+        total += leaf[at - len(feature)]
+    return 1 / (1 + math.exp(-total))

@@ -147,8 +147,13 @@ def test_bpe_round_trip(spark):
     assert sorted(r["bytes"] for r in bpe.decode(coded).collect()) == sorted((t or "").encode() for _, t in rows)
 
 
+def test_blocks_grow_with_shards():
+    assert [bpe.block_chars(n) // bpe.BLOCK_CHARS for n in (1, 200, 399, 1000, 10**6)] == [1, 1, 1, 5, bpe.MOST_BLOCKS]
+
+
 def test_bpe_blocks(spark, monkeypatch):
     monkeypatch.setattr(bpe, "BLOCK_CHARS", 100)
+    monkeypatch.setattr(bpe, "KNOWN", 5)
     rows = [(i, words(20, i)) for i in range(30)]
     got = {r["doc_id"]: r["decoded_sha256"] for r in bpe.round_trip(docs(spark, rows)).collect()}
     assert got == {d: plain.sha(t) for d, t in rows}
@@ -381,6 +386,19 @@ def test_scores(spark, f):
     assert f(docs(spark, rows), labels(spark, [])).count() == len(rows)
 
 
+def test_quality_against_plain_version(spark):
+    made = corpus(200)
+    rows = [(d, t) for d, t, _, _ in made] + [r for r in ODD if r[0] not in (9, 10)]
+    lab = labels(spark, [(d + 1000, q, x) for d, _, q, x in made] + [(d, q, x) for d, _, q, x in made])
+    trees = quality_gbdt.learn(docs(spark, rows), lab)
+    assert len(trees.leaf) == quality_gbdt.TREES
+    want = [(d, plain.walked(trees, plain.statistics(t))) for d, t in rows]
+    got = rows_of(quality_gbdt.quality(docs(spark, rows), lab).select("doc_id", "score"))
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    assert [d for d, _ in sorted(got, key=key)] == [d for d, _ in sorted(want, key=key)]
+    assert np.allclose([s for _, s in sorted(got, key=key)], [s for _, s in sorted(want, key=key)])
+
+
 def test_grammar():
     lexicon = toxicity.Lexicon({"blorg": 1.0})
     score = lambda t: toxicity.clause_features(t, lexicon)[1]
