@@ -2,12 +2,14 @@
 
 A conversation logged after every turn appears many times, each time a little longer. The rolling hash of its first
 turns is a prefix sum of per-turn hashes (128 bits in four 32-bit lanes, each turn hashed with its position), so it's
-computed by windows over blocks of BLOCK turns and over block totals; no task gathers a whole conversation.
+computed by windows over blocks of BLOCK turns and over block totals. Positions come from ranges of the ordered turns and
+their counts. So no task gathers a whole conversation, also none whose turns all share one number.
 An anti-join of whole-conversation hashes against the proper prefixes leaves the maximal conversations.
 
-Defined cases: turns are ordered by turn, then role, then text; a repeated row (same conv_id, turn, role, text) counts
-once; null role or text is empty; a null conv_id or turn leaves the row out, as it can't be placed; equal
-conversations keep the smallest conv_id; an empty table gives an empty result.
+Defined cases: turns are ordered by turn, then role, then text, which settles ties; a repeated row (same conv_id, turn, role,
+text) counts once; null role or text is empty; a text of any length is rendered whole; a null conv_id or turn leaves the row
+out, as it can't be placed; equal conversations keep the smallest conv_id; other columns of any name play no part; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,15 +30,17 @@ def _sums(w) -> list[Column]:  # noqa: ANN001
 
 
 def placed(turns: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text, pos (from 1) of the distinct turns; positions come from counts of blocks of turn numbers."""
+    """conv_id, turn, role, text, pos (from 1) of the distinct turns, by ranges of the order and the counts of each conversation in them."""
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).distinct()
-    rows = rows.withColumn("blk", F.floor(F.col("turn") / BLOCK))
-    sizes = rows.groupBy("conv_id", "blk").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("conv_id").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("conv_id", "blk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("conv_id", "blk").orderBy("turn", "role", "text")
-    return rows.withColumn("pos", F.row_number().over(inside).cast("long")).join(starts, ["conv_id", "blk"]).select(
+    # the start of a text keeps the order, and bounds of ranges stay small
+    rows = rows.withColumn("_start", F.left("text", F.lit(64))).repartitionByRange("conv_id", "turn", "role", "_start").withColumn("part", F.spark_partition_id())
+    rows = written(rows.drop("_start"), "ranges")
+    sizes = rows.groupBy("conv_id", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("conv_id", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("conv_id", "part").orderBy("turn", "role", "text")
+    return rows.withColumn("pos", F.row_number().over(inside).cast("long")).join(starts, ["conv_id", "part"]).select(
         "conv_id", "turn", "role", "text", (F.col("pos") + F.col("before")).alias("pos")
     )
 

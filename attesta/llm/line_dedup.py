@@ -5,7 +5,9 @@ go back to their positions; each text is rebuilt from the positions that stay.
 
 Defined cases: null text is one empty line; a null doc_id counts as no document and keeps no frequent line; rows with
 one doc_id count as one document, each is rebuilt on its own; repeated rows are each returned; the largest doc_id
-that holds a key keeps all its lines of that key; an empty table gives an empty result.
+that holds a key keeps all its lines of that key, so ties of counts need no choice; a text of any length is split whole;
+other columns of any name play no part (rewrite passes them through); -2**63 counts as a null doc_id in keys; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations

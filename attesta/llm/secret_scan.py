@@ -5,8 +5,10 @@ reported only within a scope: a name beside a secret, a token beside an identifi
 both. The scope is an interval of SCOPE code points; the join is on (row, bucket of the start) with the three buckets
 that the interval can reach, against one summary row per bucket, so its rows stay linear in the number of candidates.
 
-Defined cases: a null text is empty; scopes never cross rows; repeated rows each get the same result; rows that share a
-doc_id but differ in text are scanned apart; no match gives zero counts and the hash of an empty string.
+Defined cases: a null text is empty; a text of any length is scanned whole; scopes never cross rows; repeated rows each get the
+same result; rows that share a doc_id but differ in text are scanned apart; a null doc_id passes through (-2**63 counts as
+null in keys); spans that begin together go by their kind; no match gives zero counts and the hash of an empty string; other columns of
+any name play no part (redacted passes them through); an empty table gives an empty result.
 """
 
 from __future__ import annotations

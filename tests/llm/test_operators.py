@@ -130,6 +130,15 @@ def test_chat(spark):
     assert chat.chat_format(turns.limit(0)).count() == 0
 
 
+def test_chat_of_turns_with_one_number(spark):
+    said = sorted(("user", f"{i % 7} {words(20, i)} {i}") for i in range(600))
+    rows = [(1, 5, r, x) for r, x in said] + [(2, 5, r, x) for r, x in said[:400]] + [(3, t, r, x) for t, (r, x) in enumerate(said)]
+    turns = spark.createDataFrame(random.Random(1).sample(rows, len(rows)), "conv_id long, turn long, role string, text string").repartition(5)
+    got = [tuple(r) for r in chat.placed(turns).orderBy("conv_id", "pos").select("conv_id", "role", "text", "pos").collect()]
+    assert got == [(c, *said[i], i + 1) for c, n in ((1, 600), (2, 400), (3, 600)) for i in range(n)]
+    assert {(r["conv_id"], r["n_same"]) for r in chat.chat_format(turns).collect()} == {(1, 2)}
+
+
 def test_bpe_round_trip(spark):
     import public_tokenizers
     import tiktoken

@@ -71,6 +71,35 @@ def test_empty(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_odd_rows_go_through_all_stages(spark, tmp_path):
+    r = random.Random(8)
+    long, plain_text = words(60_000, r), words(40, r)
+    clash = "n_words long, _w string, kept string, key string, host string, _row string, _id long, gone string, cid long, linked boolean"
+    rows = [(1, plain_text), (1, plain_text), (2, plain_text), (None, words(30, r)), (None, words(30, r)), (3, long), (4, None), (5, ""), (6, words(30, r) + " secret=abcdefgh")]
+    full = [(d, t, "en", None if d == 3 else "s", None if t is None else len(t), 1, "w", "k", "key", "h", "row", 7, "g", 9, True) for d, t in rows]
+    spark.createDataFrame(full, f"doc_id long, text string, lang string, source string, n_chars long, {clash}").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == columns, name
+    # repeated rows both stay, as they are one document; the null ids are one document too
+    assert sorted(((d is not None, d or 0) for d in [x["doc_id"] for x in docs.select("doc_id").collect()])) == [(False, 0), (False, 0), (True, 1), (True, 1), (True, 3), (True, 6)]
+    assert [x["text"] for x in docs.where("doc_id = 6").collect()][0].endswith("[redacted]")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {x["doc_id"] for x in got} == {None, 1, 3, 6} and sum(x["length"] for x in got if x["doc_id"] == 3) == next(x["doc_tokens"] for x in got if x["doc_id"] == 3) > 60_000
+
+
+def test_stages_leave_nothing_behind(spark, tmp_path):
+    from attesta.plans.tables import shared_dir
+
+    base = Path(shared_dir(spark).removeprefix("file://"), "tables")
+    spark.createDataFrame([(d, t, "en", "s", None if t is None else len(t)) for d, t in made()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    before = set(base.glob("*/*")) if base.exists() else set()
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert {p.name for p in set(base.glob("*/*")) - before} == {"packing"} and out.count() > 0
+
+
 def test_stages_keep_the_columns(spark):
     docs = spark.createDataFrame([(1, words(20, random.Random(1)), "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "minhash_dedup", "secret_scan", "packing"]
