@@ -1,14 +1,20 @@
-"""A corpus from raw documents to packed windows: STAGES in order, each written as Parquet and reread by the next."""
+"""A corpus from raw documents to packed windows: STAGES in order, each written as Parquet and reread by the next.
+
+Defined cases, for every stage: a null or empty text has no words, so the first stage drops it; after it, a text that a later
+stage empties stays a document. A text of any length is worked on whole. A null source is one host. Rows that share a doc_id are
+one document for near copies and stay or go together; repeated rows are each kept; null doc_ids are one document (-2**63
+counts as null). Ties: of near copies the smallest doc_id stays, of a shared line the largest doc_id keeps it. Extra columns pass
+through all stages but the last under their names, whatever these are. An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from attesta.llm import line_dedup, minhash, packing, quality_rules, secret_scan
-from attesta.llm.common import shared_dir
+from attesta.llm.common import scope, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +28,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near copies: five-word shingles, a similarity of 0.8 or more."""
-    return minhash.keep_first(docs, size=5, percent=80)
+    """Keeps the smallest doc_id of each group of near copies, at the operator's own defaults: five-word shingles, a similarity of 0.8 or more."""
+    return minhash.keep_first(docs)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,13 +52,12 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents."""
-    docs, base = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_dir(spark).rstrip('/')}/pipeline/{uuid.uuid4().hex}"
-    for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
-        path = f"{base}/{name}"
-        out.write.parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
+    """The stages over documents; what a stage wrote goes when the next has read it, the last one's output when the driver ends."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    with scope(spark, keep=(STAGES[-1][0],)):
+        for name, stage in STAGES:
+            with scope(spark, keep=(name,)):
+                docs = written(stage(spark, docs, sf_dir), name)
     return docs
 
 
