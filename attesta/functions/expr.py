@@ -131,11 +131,6 @@ def finding_key(vuln_id: Column | str, rule_id: Column | str) -> Column:
     return F.coalesce(blank_to_null(vuln_id), _col(rule_id))
 
 
-def reference_token(reference: Column | str, key: str) -> Column:
-    """The value of the first KEY|value among comma-separated tokens, blank without one."""
-    return strip(F.regexp_extract(_col(reference), rf"(?:^|,)\s*{key}\s*\|([^,]*)", 1))
-
-
 def sanitized(c: Column | str) -> Column:
     """Text that a spreadsheet would take for a formula, behind an apostrophe."""
     return F.when(_col(c).rlike(r"^[=+\-@|\t\r]"), F.concat(F.lit("'"), _col(c))).otherwise(_col(c))

@@ -6,8 +6,9 @@ gaps in either run's coverage, and duplicates.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from attesta.operators import activity, coverage, dedupe, delta, matching, rollu
 from attesta.plans import pipeline
 from attesta.plans.tables import place, written
 from attesta.sinks import jsonfile, parquet, xlsx
-from attesta.sources import scanset
+from attesta.sources import formats, scanset
 
 ORDER = ["l_orderkey", "l_linenumber", "rule_id", "l_quantity", "l_extendedprice", "server"]
 
@@ -267,7 +268,14 @@ def blank_vuln_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reference_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("p_size").cast("string")
     ref = F.concat(F.lit("CAT|"), F.when(F.col("p_size") % 2 == 0, "II").otherwise("I"), F.lit(",CCI|CCI-"), n, F.lit(", CCI |second,Rule-ID|SV-"), n, F.lit("r1_rule,STIG-ID| x"), n, F.lit(" |y,CAT|III"))
-    return table(spark, sf_dir, "part").select("p_partkey", *(expr.reference_token(ref, k).alias(k.lower().replace("-", "_")) for k in ("CAT", "CCI", "Rule-ID", "STIG-ID", "Vuln-ID")))
+    keys = ("CAT", "CCI", "Rule-ID", "STIG-ID", "Vuln-ID")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [formats.tokens(r) for r in batch["ref"]]
+            yield pd.DataFrame({"p_partkey": batch["p_partkey"]} | {k.lower().replace("-", "_"): [f.get(k, "") for f in found] for k in keys})
+
+    return table(spark, sf_dir, "part").select("p_partkey", ref.alias("ref")).mapInPandas(read, "p_partkey long, cat string, cci string, rule_id string, stig_id string, vuln_id string")
 
 
 def _parts(files: DataFrame) -> scanset.ScanSet:
