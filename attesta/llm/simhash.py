@@ -27,6 +27,8 @@ CHUNK = 10_000
 LANES = 0x0001000100010001
 #: Near copies: 99 % of 293 measured pairs of sf0.1 with a 5-word Jaccard of 0.8 or more, but unequal, lie within it.
 RADIUS = 20
+#: Fingerprints of one block value that one task holds.
+HOT = 20_000
 #: Tables of the search at most; 7 blocks of 18 or 19 bits need two errors each for 20 bits.
 BLOCKS = 7
 
@@ -111,7 +113,8 @@ def within_radius(queries: DataFrame, index: DataFrame, radius: int = RADIUS) ->
 
     An index fingerprint is keyed once for each block, a query by every value that a block may have with the errors it
     allows. Equal fingerprints count once on either side, so groups of copies collapse first. A pair that meets the bounds
-    of several blocks comes from the first of them only.
+    of several blocks comes from the first of them only. A block value of more than HOT fingerprints is dealt into parts of that
+    many, which its queries all meet. Counts of pairs combine where they are found, so no pair is sent on.
     """
     cut = [(t, *c) for t, c in enumerate(blocks(radius)) if c[2] >= 0]
     key = lambda f, t, lo, hi: F.shiftleft(bits(f, lo, hi), 3).bitwiseOR(F.lit(t).cast("long"))
@@ -125,7 +128,11 @@ def within_radius(queries: DataFrame, index: DataFrame, radius: int = RADIUS) ->
     apart = tuple(a.bitwiseXOR(b) for a, b in zip(asked, own, strict=True))
     first = reduce(lambda rest, c: F.when(F.bit_count(bits(apart, c[1], c[2])) <= c[3], c[0]).otherwise(rest), reversed(cut), F.lit(-1))
     # the queries' keys are many times the queries, which size estimates don't know
-    pairs = probes.join(x.hint("merge"), "_k").where(distance(asked, own) <= radius)
+    hot = written(x.groupBy("_k").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("_k", F.ceil(F.col("n") / HOT).alias("_parts")), "hot_blocks")
+    x = x.join(hot, "_k", "left").select("f1", "f2", "_k", F.coalesce(F.pmod(F.xxhash64("f1", "f2"), "_parts"), F.lit(0)).alias("_part"))
+    every = F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_parts"), F.lit(1)).cast("long") - 1)
+    probes = probes.join(hot, "_k", "left").select("q1", "q2", "_k", F.explode(every).alias("_part"))
+    pairs = probes.join(x.hint("merge"), ["_k", "_part"]).where(distance(asked, own) <= radius)
     return pairs.where(first == F.col("_k").bitwiseAND(F.lit(7).cast("long"))).select("q1", "q2", "f1", "f2")
 
 

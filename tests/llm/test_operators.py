@@ -240,6 +240,17 @@ def test_hamming_search_allows_errors_in_blocks(spark):
         assert sorted(got) == sorted((*pair(a), *pair(b)) for a in base for b in rows if (a ^ b).bit_count() <= radius)
 
 
+def test_hamming_search_deals_hot_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT", 7)
+    r = random.Random(7)
+    base = r.getrandbits(128)
+    rows = sorted({base, *(base ^ sum(1 << i for i in r.sample(range(128), k % 5)) for k in range(200))})
+    pair = lambda x: tuple(y - (1 << 64) if y >> 63 else y for y in (x & (2**64 - 1), x >> 64))
+    df = spark.createDataFrame([pair(f) for f in rows], "f1 long, f2 long")
+    got = [tuple(p) for p in simhash.within_radius(df, df, 4).collect()]
+    assert sorted(got) == sorted((*pair(a), *pair(b)) for a in rows for b in rows if (a ^ b).bit_count() <= 4)
+
+
 def test_simhash_finds_edited_copies(spark):
     # up to 4 words of 200: a 5-word Jaccard of 0.8 and more
     rows = [(50 * b + i, edited(words(200, b), i, 100 * b + i)) for b in range(1, 13) for i in range(5)]
