@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import UPPER, whole
+from attesta.llm.common import LOWER, UPPER, whole
 from attesta.llm.quality_rules import measured
 from attesta.llm.toxicity import fold, labelled
 
@@ -36,7 +36,9 @@ NAMES = (
 def statistics(docs: DataFrame) -> DataFrame:
     """Adds the statistics NAMES (double): logarithms of sizes, and shares of characters, words or lines."""
     df = measured(docs.withColumn("text", whole("text")), keep="_v")
-    count = lambda chars: F.length("text") - F.length(F.translate("text", chars, ""))
+    # what is counted is none of these, so the counts go over the little that is left of a text
+    df = df.withColumn("_rest", F.translate("text", LOWER + " ", ""))
+    count = lambda chars: F.length("_rest") - F.length(F.translate("_rest", chars, ""))
     n, w, k = F.length("text"), F.col("n_words"), F.size(F.split("text", "\n", -1))
     df = df.withColumns({"_n": n.cast("double"), "_k": k.cast("double"), "_lens": F.transform("_v", F.length)})
     chars, words, lines = F.greatest(F.col("_n"), F.lit(1.0)), F.greatest(w.cast("double"), F.lit(1.0)), F.col("_k")
