@@ -162,6 +162,13 @@ from lacking group by file_ord, source_file, nation""",
     "findings_parquet": f"with {_FOUND} select {_FIELDS}, count(*)::bigint as n from findings where run = 'current' group by all",
     "report_workbook": f"with {_FOUND} select o + 1 as row, stig_title, vuln_id, rule_id, severity, status, server, ip_address, check_text, fix_text from (select * exclude (o), row_number() over (order by o) as o from findings)",
     "delta_workbook": f"with {_DELTA} select row_number() over (order by host_key, vuln_id, rule_id, delta_status, run, o) + 1 as row, delta_status, stig_title, vuln_id, rule_id, severity, baseline_status, current_status, server, ip_address, check_text, fix_text from delta",
+    "delta_coverage_listing": f"""with raw as ({_RAW}), {_COVERED} select b as server, null::text as stig_title from sides where b is not null and c is not null
+union all select server, coalesce(nullif(trim(stig_title), ''), '(untitled)') from ({_GAPS["baseline"]}) union all select server, coalesce(nullif(trim(stig_title), ''), '(untitled)') from ({_GAPS["current"]})""",
+    "report_summary_formulas": f"""with {_FOUND}, mine as (select * from findings where run = 'current'), cats as (select unnest(['CAT I', 'CAT II', 'CAT III']) as cat),
+told as (select 'COUNTIFS(Findings!$D:$D,"' || cat || '",Findings!$E:$E,"' || status || '")' as text from cats, (select unnest(['Open', 'Not Reviewed', 'Error', 'Unknown']) as status)
+  union all select 'COUNTIFS(Findings!$F:$F,"' || server || '",Findings!$D:$D,"' || cat || '")' from cats, (select distinct server, ip_address from mine)
+  union all select 'COUNTIFS(Findings!$A:$A,"' || stig_title || '",Findings!$D:$D,"' || cat || '")' from cats, (select distinct stig_title from mine where stig_title <> ''))
+select text, count(*)::bigint as n from told group by text""",
     "column_widths": f"with {_FOUND} select {_WIDTHS} from findings",
     "job_transitions": """with named as (select *, ['cancelled', 'complete', 'error', 'pending', 'queued', 'running'][event_id % 6 + 1] as status from events),
 moves as (select lag(status) over (partition by user_id order by ts, event_id) as previous, status from named)

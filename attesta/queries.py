@@ -382,6 +382,22 @@ def delta_workbook(spark: SparkSession, sf_dir: str) -> DataFrame:
     return xlsx.sheet_rows(spark, path, xlsx.DELTA_COLUMNS)
 
 
+def delta_coverage_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the delta report lists under its coverage counts: hosts compared, and pairs not scanned again or scanned for the first time."""
+    path = place(spark, pipeline.report_name("delta"))
+    xlsx.write_delta(two_runs(spark, sf_dir), path, [])
+    rows = xlsx.sheet_cells(spark, path, 2).groupBy("row").agg(*(F.max(F.when(F.col("cell") == c, F.col("text"))).alias(c.lower()) for c in "ABC"))
+    return rows.where("a is null and b is not null").select(F.col("b").alias("server"), F.col("c").alias("stig_title"))
+
+
+def report_summary_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of the report's summary sheet, which are formulas over its findings sheet."""
+    path = place(spark, pipeline.report_name())
+    xlsx.write_report(findings(spark, sf_dir, "current"), path, ORDER)
+    cells = xlsx.sheet_cells(spark, path, 2).where("text like 'COUNTIFS(%'")
+    return cells.groupBy("text").agg(F.count("*").alias("n"))
+
+
 def cell_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.element_at(F.array(*(F.lit(c) for c in ("=", "+", "-", "@", "|", "\t", "\r", "x", ""))), (F.col("p_partkey") % 9 + 1).cast("int"))
     return table(spark, sf_dir, "part").select("p_partkey", expr.sanitized(F.concat(first, "p_name")).alias("cell"))
@@ -432,6 +448,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         coverage_pairs, coverage_hosts, coverage_spelling, not_rescanned_pairs, newly_scanned_pairs, pair_list_capped, dedupe_first, duplicate_warnings, delta_pass1, delta_pass2, delta_findings,
         delta_counts, delta_summary, delta_warnings, summary_by_severity, summary_by_server, summary_by_stig, run_summary, blank_vuln_rate, reference_tokens,
         xccdf_scans, xccdf_rule_results, benchmark_rules, bundle_benchmarks, cklb_findings, nessus_findings, odd_files, scan_findings, scan_coverage, scan_warnings, scan_totals, resolved_folders,
-        findings_json, findings_parquet, report_workbook, delta_workbook, cell_sanitise, formula_quote, upload_checks, column_widths, zero_rule_scans, rate_limited_events, job_transitions, expired_events,
+        findings_json, findings_parquet, report_workbook, delta_workbook, delta_coverage_listing, report_summary_formulas, cell_sanitise, formula_quote, upload_checks, column_widths, zero_rule_scans, rate_limited_events, job_transitions, expired_events,
     )
 }
