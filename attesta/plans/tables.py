@@ -26,7 +26,9 @@ def place(spark: SparkSession, name: str) -> str:
     """A path in the shared folder for a file or folder that goes when the driver ends."""
     path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}/{name}"
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
     return path
 
 
