@@ -10,8 +10,8 @@ from attesta.functions import expr
 UNTITLED = "(untitled)"
 
 
-def coverage_of_findings(findings: DataFrame) -> DataFrame:
-    return findings.select("server", "stig_title").distinct()
+def coverage_of_findings(findings: DataFrame, *by: str) -> DataFrame:
+    return findings.select(*by, "server", "stig_title").distinct()
 
 
 def coverage_of_scans(scans: DataFrame, matches: DataFrame) -> DataFrame:
@@ -20,10 +20,10 @@ def coverage_of_scans(scans: DataFrame, matches: DataFrame) -> DataFrame:
     return titled.select(F.col("hostname").alias("server"), F.coalesce("title", F.lit("")).alias("stig_title")).distinct()
 
 
-def keyed_pairs(coverage: DataFrame) -> DataFrame:
-    """host_key, stig_key and the smallest raw pair (server, stig_title) of each."""
-    keyed = coverage.select(expr.host_key("server").alias("host_key"), expr.stig_key("stig_title").alias("stig_key"), "server", "stig_title")
-    return keyed.groupBy("host_key", "stig_key").agg(F.min(F.struct("server", "stig_title")).alias("raw")).select("host_key", "stig_key", "raw.server", "raw.stig_title")
+def keyed_pairs(coverage: DataFrame, *by: str) -> DataFrame:
+    """host_key, stig_key and the smallest raw pair (server, stig_title) of each, apart by the columns of by."""
+    keyed = coverage.select(*by, expr.host_key("server").alias("host_key"), expr.stig_key("stig_title").alias("stig_key"), "server", "stig_title")
+    return keyed.groupBy(*by, "host_key", "stig_key").agg(F.min(F.struct("server", "stig_title")).alias("raw")).select(*by, "host_key", "stig_key", "raw.server", "raw.stig_title")
 
 
 def host_groups(base: DataFrame, curr: DataFrame) -> DataFrame:

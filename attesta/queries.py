@@ -63,9 +63,9 @@ def scanned(spark: SparkSession, sf_dir: str, run: str) -> DataFrame:
 
 def two_runs(spark: SparkSession, sf_dir: str, with_warnings: bool = False) -> delta.Delta:
     """Both runs compared; the derived relation is written once, as parsed scan sets are."""
-    rows = written(rule_results(spark, sf_dir).withColumn("row_no", F.monotonically_increasing_id()), "rule_results")
-    base, curr = (rows.where(F.col("run") == run) for run in ("baseline", "current"))
-    return delta.compute_delta(_actionable(base), _actionable(curr), coverage.coverage_of_findings(base), coverage.coverage_of_findings(curr), ORDER, with_warnings, "row_no")
+    side = F.when(F.col("run") == "baseline", "b").otherwise("c")
+    rows = written(rule_results(spark, sf_dir).select("*", F.monotonically_increasing_id().alias("row_no"), side.alias("side")), "rule_results")
+    return delta.compare_runs(_actionable(rows), coverage.coverage_of_findings(rows, "side"), ORDER, with_warnings, "row_no")
 
 
 def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,7 +210,8 @@ def duplicate_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _inside(spark: SparkSession, sf_dir: str) -> DataFrame:
     common = coverage_hosts(spark, sf_dir).where("side = 'common'").select("host_key")
-    return delta.slim_rows(*(findings(spark, sf_dir, run) for run in ("baseline", "current")), ORDER).join(common, "host_key", "left_semi")
+    runs = delta.both_runs(*(findings(spark, sf_dir, run) for run in ("baseline", "current")))
+    return delta.slim_rows(runs, ORDER).join(common, "host_key", "left_semi")
 
 
 def _pairs(matched: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 import pytest
 
 from attesta.operators import activity
-from attesta.plans import jobs
+from attesta.plans import jobs, pipeline
 from tests import build
 
 
@@ -91,3 +91,9 @@ def test_sweep(spark, tmp_path):
     assert run.sweep() == [] and (tmp_path / "f").exists()
     now[0] = 9 * 3600
     assert run.sweep() == ["old"] and not (tmp_path / "f").exists() and run.store.get("old") is None and run.store.get("young")
+
+
+def test_report_names():
+    from datetime import datetime
+
+    assert pipeline.report_name("delta", datetime(2024, 3, 5, 7, 8, 9)) == "stig_delta_20240305_070809.xlsx"
