@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta.functions import expr
+from attesta.plans.tables import written
 
 UNTITLED = "(untitled)"
 
@@ -21,8 +22,13 @@ def coverage_of_scans(scans: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def keyed_pairs(coverage: DataFrame, *by: str) -> DataFrame:
-    """host_key, stig_key and the smallest raw pair (server, stig_title) of each, apart by the columns of by."""
-    keyed = coverage.select(*by, expr.host_key("server").alias("host_key"), expr.stig_key("stig_title").alias("stig_key"), "server", "stig_title")
+    """host_key, stig_key and the smallest raw pair (server, stig_title) of each, apart by the columns of by.
+
+    Distinct pairs are written first: the optimizer would drop a distinct below this minimum, and keys would be made for every
+    finding, and sorted, instead of for every pair.
+    """
+    raw = written(coverage.select(*by, "server", "stig_title").distinct(), "raw_pairs")
+    keyed = raw.select(*by, expr.host_key("server").alias("host_key"), expr.stig_key("stig_title").alias("stig_key"), "server", "stig_title")
     return keyed.groupBy(*by, "host_key", "stig_key").agg(F.min(F.struct("server", "stig_title")).alias("raw")).select(*by, "host_key", "stig_key", "raw.server", "raw.stig_title")
 
 
