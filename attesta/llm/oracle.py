@@ -102,3 +102,40 @@ select d.doc_id, (count(*) filter (where kind = 'assign'))::bigint as n_assign,
   coalesce(string_agg(kind || ':' || s || ':' || e, ',' order by s, rank), '') as spans, (count(*) filter (where not strong))::bigint as n_linked
 from documents d left join every v on v.doc_id = d.doc_id group by d.doc_id
 """
+
+SQL["op12_source_divergence"] = r"""
+with recs as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents),
+said as (select r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from recs),
+kept as (select lang, term, count(*)::hugeint as c from said group by all having count(distinct r) >= 30),
+counts as (select s.lang, s.source, s.term, count(*)::hugeint as c from said s semi join kept k on k.lang = s.lang and k.term = s.term group by all),
+langs as (select lang, count(*)::hugeint as v, sum(c)::hugeint as n from kept group by lang),
+teams as (select g.lang, g.source, coalesce(l.v, 0)::hugeint as v, l.n as lang_n, coalesce((select sum(c) from counts c where c.lang = g.lang and c.source = g.source), 0)::hugeint as n
+  from (select distinct lang, source from recs) g left join langs l on l.lang = g.lang),
+shares as (select t.lang, t.source, k.term, coalesce(c.c, 0) as c, 1 + (1000000000::hugeint * (coalesce(c.c, 0) + 5)) // (t.n + 5 * t.v) as p, 1 + (1000000000::hugeint * (k.c + 5)) // (t.lang_n + 5 * t.v) as q
+  from teams t join kept k on k.lang = t.lang left join counts c on c.lang = t.lang and c.source = t.source and c.term = k.term),
+apart as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+every as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(x.value, 0)::bigint as value from teams a join teams b on a.lang = b.lang and a.source <> b.source left join apart x on x.lang = a.lang and x.source = a.source and x.item = b.source
+  union all select lang, source, 'term', term, (p - q)::bigint from shares where c > 0 and p > q)
+select lang, source, part, item, value, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank from every
+qualify part = 'pair' or rank <= 50
+"""
+
+SQL["op13_phrases"] = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+parts as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from pieces),
+placed as (select lang, ws, unnest(range(1, len(ws) + 1)) as i from parts where len(ws) > 0),
+grams as (select lang, k as size, array_to_string(ws[i:i + k - 1], ' ') as phrase, count(*)::hugeint as f from placed, (select unnest([1, 2, 3])::int as k) where i + k - 1 <= len(ws) group by all),
+totals as (select lang, sum(f)::bigint as n from grams where size = 1 group by lang),
+cands as (select *, string_split(phrase, ' ') as ws from grams where size > 1 and f >= 10),
+cuts as (
+  select c.lang, c.phrase, c.f as a, k, x.f as l, y.f as r, (1000000::hugeint * c.f * c.f) // (x.f * y.f) as score
+  from (select *, unnest(range(1, size)) as k from cands) c join grams x on x.lang = c.lang and x.phrase = array_to_string(c.ws[1:k], ' ') join grams y on y.lang = c.lang and y.phrase = array_to_string(c.ws[k + 1:], ' ')),
+lowest as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+inner_pairs as (select lang, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) as phrase, f from cands where size = 3),
+longest as (select lang, phrase, max(f) as most from inner_pairs group by all),
+kept as (select w.* from lowest w left join longest g using (lang, phrase) where g.most is null or 100 * g.most < 50 * w.a)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase)::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n, score::bigint as score
+from kept join totals using (lang) qualify rank <= 2000
+"""

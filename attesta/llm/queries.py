@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import bpe, chat, line_dedup, minhash, packing, quality_gbdt, quality_rules, secret_scan, simhash, toxicity
+from attesta.llm import bpe, chat, divergence, line_dedup, minhash, packing, phrases, quality_gbdt, quality_rules, secret_scan, simhash, token_counts, toxicity
 from attesta.llm.common import table
 
 
@@ -50,9 +50,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.phrases(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_quality_rules, op2_secret_scan, op3_chat_format, op4_quality_gbdt, op5_bpe, op6_toxicity, op7_line_dedup, op8_simhash, op9_minhash_dedup, op10_packing
+        op1_quality_rules, op2_secret_scan, op3_chat_format, op4_quality_gbdt, op5_bpe, op6_toxicity, op7_line_dedup, op8_simhash, op9_minhash_dedup, op10_packing,
+        op11_token_counts, op12_source_divergence, op13_phrases,
     )
 }
