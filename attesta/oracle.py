@@ -172,7 +172,7 @@ select text, count(*)::bigint as n from told group by text""",
     "column_widths": f"with {_FOUND} select {_WIDTHS} from findings",
     "job_transitions": """with named as (select *, ['cancelled', 'complete', 'error', 'pending', 'queued', 'running'][event_id % 6 + 1] as status from events),
 moves as (select lag(status) over (partition by user_id order by ts, event_id) as previous, status from named)
-select previous, status, previous is null or (previous = 'pending' and status in ('queued', 'running', 'cancelled', 'error')) or (previous = 'queued' and status in ('running', 'cancelled', 'error')) or (previous = 'running' and status in ('complete', 'error', 'cancelled')) as legal,
+select previous, status, previous is null or (previous = 'pending' and status in ('queued', 'cancelled')) or (previous = 'queued' and status in ('running', 'error', 'cancelled')) or (previous = 'running' and status in ('complete', 'error', 'cancelled')) as legal,
   count(*)::bigint as n from moves group by all""",
     "report_findings": f"""with raw as ({_RAW}), {_LOOKUP},
 results as (select *, {_STATUS} as status from raw)
@@ -230,15 +230,22 @@ select p_partkey, {_token("CAT")} as cat, {_token("CCI")} as cci, {_token("Rule-
     "formula_quote": "select p_partkey, '\"a\"\"' || replace(p_name, '\"', '\"\"') || '\"\"\"\"\"' as quoted from part",
     "upload_checks": "select s_suppkey, s_suppkey % 6 in (0, 3) and s_suppkey * 10000000 <= 200 * 1024 * 1024 as accepted from supplier",
     "zero_rule_scans": "select p_partkey as file_ord, p_name as source_file from part where p_partkey not in (select l_partkey from lineitem where l_quantity > 45)",
-    "rate_limited_events": """with recursive ordered as (select event_id, user_id, ts, row_number() over (partition by user_id order by ts, event_id) as k from events),
+    "rate_limited_events": """with recursive limits as (select * from (values (10, 60), (2, 3600)) l(most, seconds)),
+hits as (select event_id, case when event_id % 3 = 0 then 0 else user_id % 40 + 1 end::bigint as client, epoch_us(ts) // 30000000 * 30 as sec from events),
+ordered as (select *, row_number() over (partition by client, most, seconds order by sec, event_id) as k from hits, limits),
 walk as (
-  select event_id, user_id, ts, k, true as accepted, [ts] as held from ordered where k = 1
+  select event_id, client, most, seconds, k, true as accepted, [sec] as held from ordered where k = 1
   union all
-  select o.event_id, o.user_id, o.ts, o.k, len(list_filter(w.held, lambda t: t >= o.ts - interval 1 day)) < 2,
-    case when len(list_filter(w.held, lambda t: t >= o.ts - interval 1 day)) < 2 then list_append(list_filter(w.held, lambda t: t >= o.ts - interval 1 day), o.ts) else w.held end
-  from walk w join ordered o on o.user_id = w.user_id and o.k = w.k + 1)
-select event_id, user_id, accepted from walk""",
-    "expired_events": "select event_id, ts from events where ts < (select max(ts) from events) - interval 8 hours",
+  select o.event_id, o.client, o.most, o.seconds, o.k, len(list_filter(w.held, lambda t: o.sec - t < o.seconds)) < o.most,
+    case when len(list_filter(w.held, lambda t: o.sec - t < o.seconds)) < o.most then list_append(list_filter(w.held, lambda t: o.sec - t < o.seconds), o.sec) else w.held end
+  from walk w join ordered o on o.client = w.client and o.most = w.most and o.seconds = w.seconds and o.k = w.k + 1)
+select event_id, client, most::int as most, seconds::int as seconds, accepted from walk""",
+    "expired_events": """select event_id, ts, status from (select *, ['cancelled', 'complete', 'error', 'pending', 'queued', 'running', null][event_id % 7 + 1] as status from events)
+where ts < (select max(ts) from events) - interval 8 hours and (status is null or status in ('complete', 'error', 'cancelled'))""",
+    "swept_jobs": """with named as (select *, ['cancelled', 'complete', 'error', 'pending', 'queued', 'running'][event_id % 6 + 1] as status, (select max(ts) from events) as last from events),
+listed as (select * from named where user_id % 4 > 0 or ts < last - interval 20 days)
+select 'u' || user_id as job, count(*)::bigint as files, max(ts) as modified from listed group by user_id
+having max(ts) < any_value(last) - interval 8 hours and (user_id % 5 = 0 or arg_max(status, row(ts, event_id)) in ('complete', 'error', 'cancelled'))""",
 }
 for _n in ("1", "2"):
     _select = ", ".join(f"{p}.{c} as {p}_{c}" for p in "bc" for c in ("l_orderkey", "l_linenumber", "rule_id"))

@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from attesta.operators import rollups
-from attesta.operators.activity import LEGAL, TERMINAL
+from attesta.operators.activity import LEGAL, TERMINAL, swept
 from attesta.plans import pipeline
 from attesta.sinks import jsonfile, xlsx
 
@@ -49,6 +49,8 @@ class JobStore:
 
     def transition(self, job_id: str, status: str, **fields: Any) -> dict[str, Any]:
         with self._lock:
+            if status not in {s for nexts in LEGAL.values() for s in nexts}:
+                raise ValueError(f"no job goes to {status}")
             job = self._jobs[job_id]
             if status not in LEGAL.get(job["status"], ()):
                 raise IllegalTransition(f"{job['status']} -> {status}")
@@ -57,6 +59,8 @@ class JobStore:
 
     def update(self, job_id: str, statuses: tuple[str, ...], expected: dict[str, Any] | None = None, **fields: Any) -> bool:
         """Sets fields if the job is in one of the statuses and has the expected values; the status itself only by transition()."""
+        if isinstance(statuses, str):
+            raise TypeError("statuses is a collection of statuses, not one")
         if "status" in fields:
             raise ValueError("a status changes by transition() only")
         with self._lock:
@@ -66,8 +70,7 @@ class JobStore:
             job.update(fields, version=job["version"] + 1, touched=self._clock())
             return True
 
-
-    def changed(self, job_id: str, change: Callable[[dict[str, Any]], dict[str, Any] | None], tries: int = 5) -> dict[str, Any] | None:
+    def changed(self, job_id: str, change: Callable[[dict[str, Any]], dict[str, Any] | None], tries: int = 8) -> dict[str, Any] | None:
         """A conditional write: change(job) gives the fields to set (none: leave it), which are set if the job's version is still the same.
 
         Another writer in between means another try on the newer version; after `tries` of them Conflict is raised.
@@ -86,11 +89,16 @@ class JobStore:
                     return dict(now)
         raise Conflict(f"job {job_id} changed {tries} times meanwhile")
 
+    def statuses(self) -> list[tuple[str, str]]:
+        """(job, status) of all jobs."""
+        with self._lock:
+            return [(i, j["status"]) for i, j in self._jobs.items()]
+
     def sweep(self, idle_hours: float = 8, drop: Callable[[dict[str, Any]], None] | None = None) -> list[str]:
-        """Removes the jobs that nothing has touched for so long; drop(job) removes what they have written. Their ids."""
+        """Removes the ended jobs that nothing has touched for so long, none that still runs or waits; drop(job) removes what they have written. Their ids."""
         with self._lock:
             before = self._clock() - 3600 * idle_hours
-            old = [(i, j) for i, j in self._jobs.items() if j["touched"] < before]
+            old = [(i, j) for i, j in self._jobs.items() if j["touched"] < before and j["status"] in TERMINAL]
             for i, _ in old:
                 del self._jobs[i]
         for _, job in old:
@@ -115,9 +123,26 @@ class Jobs:
             where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
     def sweep(self, idle_hours: float = 8) -> list[str]:
-        """Removes idle jobs with their findings and reports."""
+        """Removes ended jobs that were idle so long, with their findings and reports."""
         return self.store.sweep(idle_hours, self._drop)
 
+    def sweep_folder(self, root: str, idle_hours: int = 8) -> list[str]:
+        """Removes the job folders below root that are older, but for those of jobs that still run or wait; a folder without a job is what an earlier process left.
+
+        Spark lists the folder; what goes comes to the driver folder by folder. A folder without files has nothing to remove.
+        """
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "modificationTime")
+        jobs = self.spark.createDataFrame(self.store.statuses(), "job string, status string")
+        gone = []
+        for row in swept(files, jobs, root, F.current_timestamp(), idle_hours).select("job").toLocalIterator():
+            # a job of that name may have begun meanwhile
+            now = self.store.get(row["job"])
+            if now is None or now["status"] in TERMINAL:
+                where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root, row["job"])
+                where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+                gone.append(row["job"])
+        return sorted(gone)
+
     def _guarded(self, job_id: str, work: Callable[[], dict[str, Any]]) -> bool:
         self.spark.addTag(f"job-{job_id}")
         try:
@@ -136,6 +161,8 @@ class Jobs:
         job = self.store.get(job_id)
         if job["status"] in TERMINAL or job.get("phase") in ("parsed", "exporting"):
             return job.get("phase") in ("parsed", "exporting")
+        if job["status"] == "pending":
+            self.store.transition(job_id, "queued")
         if job["status"] != "running":
             self.store.transition(job_id, "running", phase="parsing")
 

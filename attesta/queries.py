@@ -423,23 +423,50 @@ def zero_rule_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.scans_without_rules(scans, table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("file_ord")))
 
 
+def _limits(spark: SparkSession, sf_dir: str, most: int, seconds: int) -> DataFrame:
+    """Events under a limit, with their times in whole steps of 30 seconds so that some lie just as far apart as the window is long."""
+    events = table(spark, sf_dir, "events").withColumn("at", F.timestamp_seconds(F.expr("unix_micros(cast(ts as timestamp)) div 30000000 * 30")))
+    # one client has a third of all events
+    events = events.withColumn("who", F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col("user_id") % 40 + 1).cast("long"))
+    return activity.rate_limited(events, "who", "at", "event_id", most=most, seconds=seconds).withColumns({"most": F.lit(most), "seconds": F.lit(seconds)})
+
+
 def rate_limited_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    limited = activity.rate_limited(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", most=2, seconds=86_400)
-    return limited.select(F.col("order_id").alias("event_id"), F.col("client").alias("user_id"), "accepted")
+    """The limit of ten in a minute, and a harder one that rejects more."""
+    out = _limits(spark, sf_dir, 10, 60).unionByName(_limits(spark, sf_dir, 2, 3600))
+    return out.select(F.col("order_id").alias("event_id"), F.col("client"), "most", "seconds", "accepted")
 
 
-def job_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as the statuses of jobs, one job for each user: how often one follows another, and whether it may."""
+def _with_status(events: DataFrame, more: int = 0) -> DataFrame:
+    """Events as the statuses of jobs, one job for each user; with more, some have none."""
     names = sorted({*activity.LEGAL, *activity.TERMINAL})
-    events = table(spark, sf_dir, "events").withColumn("status", F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % len(names) + 1).cast("int")))
-    rows = activity.transitions(events, "user_id", "status", ["ts", "event_id"])
+    pick = F.get(F.array(*map(F.lit, names)), (F.col("event_id") % (len(names) + more)).cast("int"))
+    return events.withColumn("status", pick)
+
+
+def job_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often one status follows another, and whether it may."""
+    rows = activity.transitions(_with_status(table(spark, sf_dir, "events")), "user_id", "status", ["ts", "event_id"])
     return rows.groupBy("previous", "status", activity.is_legal(F.col("previous"), F.col("status")).alias("legal")).agg(F.count("*").alias("n"))
 
 
 def expired_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
+    events = _with_status(table(spark, sf_dir, "events"), 1)
     # a single row
-    return activity.expired(events.join(F.broadcast(events.agg(F.max("ts").alias("last"))), F.lit(True)), "ts", F.col("last")).select("event_id", "ts")
+    last = F.broadcast(events.agg(F.max("ts").alias("last")))
+    return activity.expired(events.join(last, F.lit(True)), "ts", F.col("last"), "status").select("event_id", "ts", "status")
+
+
+def swept_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as jobs: each event is a file of the job's folder, the last one says the job's status; some folders have no job any more."""
+    events = _with_status(table(spark, sf_dir, "events"))
+    last = events.agg(F.max("ts").cast("timestamp").alias("last"))
+    path = F.concat(F.lit("hdfs://store/jobs/u"), F.col("user_id").cast("string"), F.lit("/part/"), F.col("event_id").cast("string"), F.lit(".json"))
+    # a quarter of the users stopped long ago: their last events lie before a cut
+    listing = events.join(F.broadcast(last), F.lit(True)).where((F.col("user_id") % 4 > 0) | (F.col("ts") < F.col("last") - F.expr("interval 20 days")))
+    jobs = listing.groupBy("user_id").agg(F.max_by("status", F.struct("ts", "event_id")).alias("status")).where("user_id % 5 > 0").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("job"), "status")
+    now = F.lit(last.first()["last"])
+    return activity.swept(listing.select(path.alias("path"), F.col("ts").cast("timestamp").alias("modificationTime")), jobs, "hdfs://store/jobs", now).select("job", "files", F.col("modified").cast("timestamp_ntz").alias("modified"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -449,6 +476,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         coverage_pairs, coverage_hosts, coverage_spelling, not_rescanned_pairs, newly_scanned_pairs, pair_list_capped, dedupe_first, duplicate_warnings, delta_pass1, delta_pass2, delta_findings,
         delta_counts, delta_summary, delta_warnings, summary_by_severity, summary_by_server, summary_by_stig, run_summary, blank_vuln_rate, reference_tokens,
         xccdf_scans, xccdf_rule_results, benchmark_rules, bundle_benchmarks, cklb_findings, nessus_findings, odd_files, scan_findings, scan_coverage, scan_warnings, scan_totals, resolved_folders,
-        findings_json, findings_parquet, report_workbook, delta_workbook, delta_coverage_listing, report_summary_formulas, cell_sanitise, formula_quote, upload_checks, column_widths, zero_rule_scans, rate_limited_events, job_transitions, expired_events,
+        findings_json, findings_parquet, report_workbook, delta_workbook, delta_coverage_listing, report_summary_formulas, cell_sanitise, formula_quote, upload_checks, column_widths, zero_rule_scans, rate_limited_events, job_transitions, expired_events, swept_jobs,
     )
 }

@@ -44,7 +44,7 @@ def rate_limited(events: DataFrame, most: int = 10, seconds: int = 60, lateness:
         held = [pd.Timestamp(t) for t in (state.get[0] if state.exists else [])]
         accepted = []
         for at in rows["ts"]:
-            held = [t for t in held if at - t <= window]
+            held = [t for t in held if at - t < window]
             accepted.append(len(held) < most)
             if accepted[-1]:
                 held.append(at)
