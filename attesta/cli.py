@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import argparse
 import sys
+from collections.abc import Iterable
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 from attesta.plans import pipeline
+from attesta.plans.tables import written
 from attesta.sinks import xlsx
 from attesta.sources import scanset
 
 COMMANDS = ("report", "delta")
+#: Options with one value, and with any number of them.
+ONE, MANY = ("--output",), ("--results", "--baseline", "--current", "--benchmarks")
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -24,17 +28,32 @@ def _parser() -> argparse.ArgumentParser:
     delta.add_argument("--baseline", nargs="+", required=True)
     delta.add_argument("--current", nargs="+", required=True)
     for p in (report, delta):
-        p.add_argument("--benchmarks", nargs="+", default=[])
+        p.add_argument("--benchmarks", nargs="*", default=[])
         p.add_argument("--output")
         p.add_argument("--verbose", action="store_true", help="tell of each file read, and every warning")
     return top
 
 
+def _late_command(argv: list[str]) -> str | None:
+    """A command behind other arguments; the value of an option is none, whatever its name."""
+    option = ""
+    for a in argv:
+        if a.startswith("-"):
+            option = a
+        elif option in MANY:
+            continue
+        elif option in ONE:
+            option = ""
+        elif a in COMMANDS:
+            return a
+    return None
+
+
 def _arguments(argv: list[str]) -> list[str]:
     """Without a command, report is meant; a command after other arguments is an error."""
     if argv and argv[0] not in COMMANDS and argv[0] not in ("-h", "--help"):
-        if any(a in COMMANDS for a in argv):
-            print("the command comes first", file=sys.stderr)
+        if _late_command(argv):
+            print(f"the command comes first: {_late_command(argv)}", file=sys.stderr)
             raise SystemExit(2)
         return ["report", *argv]
     return argv
@@ -43,7 +62,11 @@ def _arguments(argv: list[str]) -> list[str]:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = _parser().parse_args(_arguments(list(sys.argv[1:] if argv is None else argv)))
     spark = spark or SparkSession.builder.appName("attesta").getOrCreate()
-    say = lambda ws: [print(f"warning: {w}", file=sys.stderr) for w in ws]
+
+    def say(messages: Iterable[str]) -> None:
+        for m in messages:
+            print(f"warning: {m}", file=sys.stderr)
+
     read = (lambda done, total: print(f"read {done} of {total} files", file=sys.stderr)) if args.verbose else None
     try:
         for paths in (args.results,) if args.command == "report" else (args.baseline, args.current, args.benchmarks):
@@ -53,16 +76,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
                 raise pipeline.PipelineError(f"No such file: {', '.join(gone or paths)}", [])
         if args.command == "report":
             parsed = pipeline.parse(spark, args.results, args.benchmarks, progress=read)
-            say(parsed.told(args.verbose))
+            say(pipeline.lines(parsed.told(args.verbose)))
             path = args.output or pipeline.report_name()
             say(xlsx.write_report(parsed.findings, path, pipeline.ORDER))
         else:
             runs = [pipeline.parse(spark, p, args.benchmarks, allow_empty=True, progress=read) for p in (args.baseline, args.current)]
             result = pipeline.compare(*runs)
-            told = pipeline.merge_warnings(*(r.told(args.verbose) for r in runs)) + [r["message"] for r in result.warnings.orderBy("phase", "ord").collect()]
-            say(told)
+            told = written(pipeline.told_of_delta(pipeline.merged_warnings(*(r.told(args.verbose) for r in runs)), result.warnings), "told")
+            say(pipeline.lines(told))
             path = args.output or pipeline.report_name("delta")
-            say(xlsx.write_delta(result, path, told))
+            say(xlsx.write_delta(result, path, pipeline.first_lines(told, xlsx.MOST_LISTED)))
     except (pipeline.PipelineError, ValueError, OSError, PySparkException, Py4JJavaError) as e:
         say(getattr(e, "warnings", []))
         print(f"error: {str(e).strip().partition(chr(10))[0]}", file=sys.stderr)

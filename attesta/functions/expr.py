@@ -154,3 +154,9 @@ def cell_width(c: Column | str, header: str, most: int) -> Column:
     """An aggregate: the width of a sheet's column, from the first lines of its cells."""
     longest = F.max(F.least(F.length(F.substring_index(_col(c), "\n", 1)), F.lit(most)))
     return F.least(F.greatest(F.coalesce(longest, F.lit(0)), F.lit(len(header))) + 2, F.lit(most))
+
+
+def reference_token(reference: Column | str, key: str) -> Column:
+    """The value of a key's first KEY|value among commas, stripped; blank where it has none."""
+    parts = F.transform(F.split(_col(reference), ","), lambda p: F.struct(strip(F.substring_index(p, "|", 1)).alias("k"), strip(F.substring(p, F.instr(p, F.lit("|")) + 1, F.length(p))).alias("v"), (F.instr(p, F.lit("|")) > 0).alias("has")))
+    return F.coalesce(F.get(F.filter(parts, lambda p: p["has"] & (p["k"] == key)), 0)["v"], F.lit(""))

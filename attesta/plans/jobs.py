@@ -172,7 +172,7 @@ class Jobs:
             self._check(job_id)
             jsonfile.write(parsed.findings.orderBy(*pipeline.ORDER), target)
             summary = rollups.run_summary(parsed.findings, parsed.source_files).first().asDict()
-            return {"phase": "parsed", "findings": target, "summary": summary, "warnings": parsed.told()}
+            return {"phase": "parsed", "findings": target, "summary": summary, "warnings": pipeline.first_lines(parsed.told(), pipeline.MOST_TOLD)}
 
         return self._guarded(job_id, work)
 

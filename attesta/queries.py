@@ -6,9 +6,8 @@ gaps in either run's coverage, and duplicates.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +17,7 @@ from attesta.operators import activity, coverage, dedupe, delta, matching, rollu
 from attesta.plans import pipeline
 from attesta.plans.tables import place, written
 from attesta.sinks import jsonfile, parquet, xlsx
-from attesta.sources import formats, scanset
+from attesta.sources import scanset
 
 ORDER = ["l_orderkey", "l_linenumber", "rule_id", "l_quantity", "l_extendedprice", "server"]
 
@@ -195,17 +194,17 @@ def pair_list_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return delta.with_keys(findings(spark, sf_dir, "baseline"))
+    return delta.with_keys(findings(spark, sf_dir))
 
 
 def dedupe_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = dedupe.keep_first(_keyed(spark, sf_dir), ["host_key", "finding_key"], ORDER)
-    return kept.select("host_key", "finding_key", "l_orderkey", "l_linenumber", "rule_id", "status")
+    kept = dedupe.keep_first(_keyed(spark, sf_dir), ["run", "host_key", "finding_key"], ORDER)
+    return kept.select("run", "host_key", "finding_key", "l_orderkey", "l_linenumber", "rule_id", "status")
 
 
 def duplicate_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = dedupe.later_copies(_keyed(spark, sf_dir), ["host_key", "vuln_key"], ORDER)
-    return rows.select(delta.duplicate_message(F.lit("baseline")).alias("message")).groupBy("message").agg(F.count("*").alias("n"))
+    rows = dedupe.later_copies(_keyed(spark, sf_dir), ["run", "host_key", "vuln_key"], ORDER)
+    return rows.select(delta.duplicate_message(F.col("run")).alias("message")).groupBy("message").agg(F.count("*").alias("n"))
 
 
 def _inside(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,6 +245,21 @@ def delta_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return two_runs(spark, sf_dir, with_warnings=True).warnings.groupBy("phase", "message").agg(F.count("*").alias("n"))
 
 
+def untitled_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every host that a scan or a finding without a benchmark title names; the warning names the first of them."""
+    return two_runs(spark, sf_dir).untitled
+
+
+def merged_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Warnings of two runs as one list: lines of either run tell of their part, those that fail also of their supplier, which both runs share."""
+    rows = rule_results(spark, sf_dir).where("raw_status in ('fail', 'error')")
+    told = rows.select("run", F.struct(*ORDER).alias("place"), F.concat(F.lit("part "), F.col("l_partkey").cast("string"), F.when(F.col("raw_status") == "fail", "").otherwise(F.concat(F.lit(" line "), F.col("l_orderkey").cast("string")))).alias("message"))
+    base, curr = (told.where(F.col("run") == r).select("place", "message") for r in ("baseline", "current"))
+    out = pipeline.merged_warnings(base, curr)
+    at = F.coalesce("place.baseline", "place.current")
+    return out.select(F.col("place.side").alias("side"), at["l_orderkey"].alias("l_orderkey"), at["l_linenumber"].alias("l_linenumber"), "message")
+
+
 def summary_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.by_severity(findings(spark, sf_dir))
 
@@ -270,13 +284,7 @@ def reference_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("p_size").cast("string")
     ref = F.concat(F.lit("CAT|"), F.when(F.col("p_size") % 2 == 0, "II").otherwise("I"), F.lit(",CCI|CCI-"), n, F.lit(", CCI |second,Rule-ID|SV-"), n, F.lit("r1_rule,STIG-ID| x"), n, F.lit(" |y,CAT|III"))
     keys = ("CAT", "CCI", "Rule-ID", "STIG-ID", "Vuln-ID")
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [formats.tokens(r) for r in batch["ref"]]
-            yield pd.DataFrame({"p_partkey": batch["p_partkey"]} | {k.lower().replace("-", "_"): [f.get(k, "") for f in found] for k in keys})
-
-    return table(spark, sf_dir, "part").select("p_partkey", ref.alias("ref")).mapInPandas(read, "p_partkey long, cat string, cci string, rule_id string, stig_id string, vuln_id string")
+    return table(spark, sf_dir, "part").select("p_partkey", *(expr.reference_token(ref, k).alias(k.lower().replace("-", "_")) for k in keys))
 
 
 def _parts(files: DataFrame) -> scanset.ScanSet:
@@ -358,14 +366,14 @@ def resolved_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def findings_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings written as JSON and read back."""
     path = place(spark, "findings.json")
-    jsonfile.write(findings(spark, sf_dir, "baseline"), path)
+    jsonfile.write(findings(spark, sf_dir), path)
     return jsonfile.read(spark, path).groupBy(*schemas.FINDING_FIELDS).agg(F.count("*").alias("n"))
 
 
 def findings_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings written as Parquet in folders by severity, and read back."""
     path = place(spark, "findings.parquet")
-    parquet.write(findings(spark, sf_dir, "current").select(*schemas.FINDING_FIELDS), path, ["severity"])
+    parquet.write(findings(spark, sf_dir).select(*schemas.FINDING_FIELDS), path, ["severity"])
     return parquet.read(spark, path).groupBy(*schemas.FINDING_FIELDS).agg(F.count("*").alias("n"))
 
 
@@ -474,7 +482,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         report_findings, status_map, severity_map, severity_override, actionable_filter, rule_lookup_left, benchmark_cascade, benchmark_last_wins, host_keys, stig_keys, rule_stems,
         coverage_pairs, coverage_hosts, coverage_spelling, not_rescanned_pairs, newly_scanned_pairs, pair_list_capped, dedupe_first, duplicate_warnings, delta_pass1, delta_pass2, delta_findings,
-        delta_counts, delta_summary, delta_warnings, summary_by_severity, summary_by_server, summary_by_stig, run_summary, blank_vuln_rate, reference_tokens,
+        delta_counts, delta_summary, delta_warnings, untitled_hosts, merged_warnings, summary_by_severity, summary_by_server, summary_by_stig, run_summary, blank_vuln_rate, reference_tokens,
         xccdf_scans, xccdf_rule_results, benchmark_rules, bundle_benchmarks, cklb_findings, nessus_findings, odd_files, scan_findings, scan_coverage, scan_warnings, scan_totals, resolved_folders,
         findings_json, findings_parquet, report_workbook, delta_workbook, delta_coverage_listing, report_summary_formulas, cell_sanitise, formula_quote, upload_checks, column_widths, zero_rule_scans, rate_limited_events, job_transitions, expired_events, swept_jobs,
     )
