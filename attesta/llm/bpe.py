@@ -7,6 +7,8 @@ numbered texts (to a place of the block) and the distinct words (to the shard of
 distinct word once for all blocks, and its ids are joined back to the blocks, which look their numbers up. So no
 occurrence crosses the network as a row of its own, and a frequent word costs a block one entry.
 
+Only blocks are read as groups, each with the replies to it; the words of a shard stream through its task.
+
 Decoding joins ids with the token-byte table, which is as large as the vocabulary file and no larger: a map-side join whose
 build side every worker holds, and whose rows stay in the order of their positions.
 
@@ -24,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from attesta.llm import tokens
 
@@ -151,7 +154,9 @@ def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def _rebuilt(ranks, finish: Callable, schema: pa.Schema) -> Callable:  # noqa: ANN001
     def run(texts: pa.Table, replies: pa.Table) -> pa.Table:
         table, rows = ranks.value, []
-        for blob in texts.column("blob") if texts.num_rows and texts.column("key")[0].as_py()[0] == "b" else []:
+        if texts.num_rows and texts.column("key")[0].as_py()[0] != "b":
+            raise RuntimeError("a shard's words came as a block")
+        for blob in texts.column("blob"):
             held = _unpack(blob.as_py())
             codes = _numbers(held["codes"])
             n = int(codes.max()) + 1 if len(codes) else 0
@@ -183,7 +188,10 @@ def _over_blocks(docs: DataFrame, path: str | None, shards: int | None, finish:
     # numbered once: both branches read this exchange, where a block's texts meet its ids by key
     sent = docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(_numbered(parts, block_chars(parts)), _KEYED_DDL).repartition(parts, "key")
     replies = sent.mapInArrow(_encoded(ranks), _KEYED_DDL)
-    return sent.groupBy("key").cogroup(replies.groupBy("key")).applyInArrow(_rebuilt(ranks, finish, schema), ddl)
+    # blocks alone form groups: a shard's words of all blocks would be one that grows with the corpus. A condition that isn't
+    # deterministic stays behind the exchange, which both branches go on sharing
+    blocks = sent.where(F.col("key").startswith("b") | (F.spark_partition_id() < 0))
+    return blocks.groupBy("key").cogroup(replies.groupBy("key")).applyInArrow(_rebuilt(ranks, finish, schema), ddl)
 
 
 def encode(docs: DataFrame, path: str | None = None, shards: int | None = None) -> DataFrame:

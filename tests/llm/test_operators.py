@@ -168,6 +168,17 @@ def test_bpe_blocks(spark, monkeypatch):
     assert got == {d: plain.sha(t) for d, t in rows}
 
 
+def test_only_blocks_of_texts_are_groups(spark):
+    """Both sides read one exchange, and the words of shards form no group."""
+    df = bpe.round_trip(docs(spark, [(i, words(300, i)) for i in range(40)]), shards=3)
+    assert len(df.collect()) == 40
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in final and final.count("StartsWith") == 1
+    # the plan reads from its end, so what stands above an exchange comes behind it
+    assert final.index("StartsWith") < final.index("Exchange")
+
+
 def test_line_dedup(spark):
     assert some(rows_of(line_dedup.line_dedup(docs(spark, ODD)))) == some(plain.lines_kept(ODD))
     out = line_dedup.rewrite(docs(spark, ODD))
