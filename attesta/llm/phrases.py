@@ -35,7 +35,7 @@ from attesta.llm.common import written
 LEAST, TOP, WITHIN = 10, 2000, 50
 SCALE = 1_000_000
 #: Bytes of text that a block holds at most, unless a single text is longer; keys of a chunk and of a range; first keys that bounds are taken from.
-BLOCK_BYTES, CHUNK_KEYS, RANGE_KEYS, SAMPLE = 8_000_000, 32_768, 1_500_000, 50_000
+BLOCK_BYTES, CHUNK_KEYS, RANGE_KEYS, SAMPLE = 6_000_000, 32_768, 800_000, 50_000
 #: A-Z lower; marks and line ends to \n, tabs to blanks.
 _TEXT = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
 _BLOCKS = pa.schema([("block", pa.string()), ("lang", pa.string()), ("word", pa.binary()), ("no", pa.int32()), ("n", pa.int64()), ("codes", pa.binary())])
