@@ -35,7 +35,9 @@ from attesta.llm.common import written
 LEAST, TOP, WITHIN = 10, 2000, 50
 SCALE = 1_000_000
 #: Bytes of text that a block holds at most, unless a single text is longer; keys of a chunk and of a range; first keys that bounds are taken from.
-BLOCK_BYTES, CHUNK_KEYS, RANGE_KEYS, SAMPLE = 6_000_000, 32_768, 800_000, 50_000
+BLOCK_BYTES, CHUNK_KEYS, RANGE_KEYS, SAMPLE = 6_000_000, 4096, 800_000, 50_000
+#: Word numbers of a row: a Parquet page holds a hundred rows at least, so rows of megabytes make pages, and buffers, of hundreds.
+PIECE = 16_384
 #: A-Z lower; marks and line ends to \n, tabs to blanks.
 _TEXT = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
 _BLOCKS = pa.schema([("block", pa.string()), ("lang", pa.string()), ("word", pa.binary()), ("no", pa.int32()), ("n", pa.int64()), ("codes", pa.binary())])
@@ -105,17 +107,20 @@ def _numbered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Recor
     def block() -> Iterator[pa.RecordBatch]:
         name, flat = f"{task}-{serial}", np.concatenate(codes)
         n = np.bincount(flat, minlength=len(words) + 1)[1:]
-        text = len(flat).to_bytes(8, "little") + _squeezed(flat.astype("<u4"))
-        yield pa.RecordBatch.from_arrays([pa.array([name]), *(pa.nulls(1, _BLOCKS[i].type) for i in range(1, 5)), pa.array([text], pa.binary())], schema=_BLOCKS)
-        for at in range(0, len(words), 50_000):
-            part = words[at : at + 50_000]
+        for at in range(0, len(flat), PIECE):
+            part = flat[at : at + PIECE]
+            text = len(part).to_bytes(4, "little") + _squeezed(part.astype("<u4"))
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.nulls(1, pa.string()), pa.nulls(1, pa.binary()), pa.array([at // PIECE], pa.int32()), pa.nulls(1, pa.int64()), pa.array([text], pa.binary())], schema=_BLOCKS)
+        for at in range(0, len(words), 10_000):
+            part = words[at : at + 10_000]
             own = pa.array(range(at + 1, at + 1 + len(part)), pa.int32())
             yield pa.RecordBatch.from_arrays([
                 pa.array([name] * len(part)), pa.array([w[0] for w in part]), pa.array([w[1] for w in part], pa.binary()), own, pa.array(n[at : at + len(part)], pa.int64()), pa.nulls(len(part), pa.binary()),
             ], schema=_BLOCKS)
 
     for batch in batches:
-        for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for lang, raw in zip(*batch.columns, strict=True):
+            lang, text = lang.as_py(), raw.as_py()
             if codes and size + len(text) > most:
                 yield from block()
                 codes, words, by_lang, size, serial = [], [], {}, 0, serial + 1
@@ -145,10 +150,11 @@ class _Numbers(dict):
 
 
 def _phrases(texts: pa.Table, ids: pa.Table, chunk: int) -> pa.Table:
-    """The phrases of a block, in chunks of sorted keys; ids: no, id of its frequent words."""
+    """The phrases of a block, in chunks of sorted keys; texts: its pieces by no; ids: no, id of its frequent words."""
     out: list[tuple[bytes, int, bytes]] = []
-    for blob in texts["codes"].to_pylist():
-        (codes,) = _spread(blob[8:], int.from_bytes(blob[:8], "little"), ("<u4",))
+    if texts.num_rows:
+        pieces = texts.sort_by("no")["codes"].to_pylist()
+        codes = np.concatenate([_spread(b[4:], int.from_bytes(b[:4], "little"), ("<u4",))[0] for b in pieces])
         table = np.zeros(int(codes.max(initial=0)) + 1, dtype=np.uint64)
         table[ids["no"].to_numpy()] = ids["id"].to_numpy()
         seq = table[codes]
@@ -243,7 +249,7 @@ def phrases(
     words = blocks.where("word is not null")
     known = _dictionary(words.select("lang", "word", "n"), least)
     ids = words.select("block", "lang", "word", "no").join(known.select("lang", "word", "id"), ["lang", "word"]).select("block", "no", "id")
-    texts = blocks.where("codes is not null").select("block", "codes")
+    texts = blocks.where("codes is not null").select("block", "no", "codes")
     chunks = written(texts.groupBy("block").cogroup(ids.toDF(*ids.columns).groupBy("block")).applyInArrow(lambda texts, ids: _phrases(texts, ids, chunk_keys), "first binary, size long, blob binary"), "phrase_chunks")
     ranged = chunks.select("blob").mapInArrow(_cut(_bounds(chunks, range_keys)), "range long, blob binary")
     found = written(ranged.groupBy("range").applyInArrow(_merged(least), "i1 long, i2 long, i3 long, a long"), "frequent_phrases")
