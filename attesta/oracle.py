@@ -241,6 +241,20 @@ from spine s left join findings f on f.severity = s.severity group by all""",
     "summary_by_server": f"""with {_FOUND}, sums as (select server, {_CATS} from findings group by server), firsts as (select server, ip_address, arg_min(l_orderkey, o) as first from findings group by all)
 select server, ip_address, first, cat_i, cat_ii, cat_iii, (cat_i + cat_ii + cat_iii)::bigint as total from firsts join sums using (server)""",
     "summary_by_stig": f"with {_FOUND} select stig_title, arg_min(l_orderkey, o) as first, {_CATS}, count_if(severity like 'CAT%')::bigint as total from findings where stig_title <> '' group by stig_title",
+    "countifs_counts": rf"""with {_FOUND},
+named as (select case l_suppkey % 11 when 0 then 'Web' || k when 1 then 'web' || k when 2 then 'we?' || k when 3 then 'w*' || k || '*' when 4 then '~*web' || k || '?' when 5 then '>web' || k when 6 then '=Web' || k
+    when 7 then '<>web' || k when 8 then 'web~' || k || 'x' when 9 then '<' || k else '[w]eb.' || k || '+' end as server, severity from (select *, l_suppkey % 4 as k from findings)),
+exact as (select server, severity, count(*)::bigint as exact from named group by all),
+cells as (select case when left(server, 1) in ('=', '+', '-', '@', '|') then chr(39) || server else server end as cell, severity, count(*) as n from named group by all),
+wanted as (select server, regexp_extract(server, '^(<>|<=|>=|=|<|>)', 1) as op, lower(regexp_replace(server, '^(<>|<=|>=|=|<|>)', '')) as rest from (select distinct server from named)),
+held as (select *, regexp_replace(rest, '~([*?~])', chr(1) || '\1', 'g') as h from wanted),
+quoted as (select *, regexp_replace(replace(replace(replace(h, chr(1) || '*', chr(2)), chr(1) || '?', chr(3)), chr(1) || '~', chr(4)), '([\\.^$|()\[\]{{}}+])', '\\\1', 'g') as q from held),
+patterns as (select *, '^' || replace(replace(replace(replace(replace(q, '*', '.*'), '?', '.'), chr(2), '\*'), chr(3), '\?'), chr(4), '~') || '$' as pat from quoted),
+fits as (select p.server, c.severity, c.n from patterns p, cells c where case
+    when op in ('', '=') then regexp_matches(lower(cell), pat) when op = '<>' then not regexp_matches(lower(cell), pat) when regexp_matches(rest, '^[0-9]+$') then false
+    when op = '<' then lower(cell) < rest when op = '>' then lower(cell) > rest when op = '<=' then lower(cell) <= rest else lower(cell) >= rest end),
+counted as (select server, severity, sum(n)::bigint as counted from fits group by all)
+select server, severity, coalesce(counted, 0)::bigint as counted, coalesce(exact, 0)::bigint as exact from counted full join exact using (server, severity)""",
     "run_summary": f"with {_FOUND} select 2::bigint as files, count(distinct nullif(server, ''))::bigint as hosts, count(*)::bigint as findings, count_if(severity = 'CAT I')::bigint as cat1, count_if(severity = 'CAT II')::bigint as cat2, count_if(severity = 'CAT III')::bigint as cat3 from findings",
     "blank_vuln_rate": f"with {_FOUND} select avg(case when vuln_id = '' then 1.0::double else 0.0::double end) as rate from findings",
     "reference_tokens": f"""with refs as (select p_partkey, 'CAT|' || case when p_size % 2 = 0 then 'II' else 'I' end || ',CCI|CCI-' || p_size || ', CCI |second,Rule-ID|SV-' || p_size || 'r1_rule,STIG-ID| x' || p_size || ' |y,CAT|III' as ref from part)

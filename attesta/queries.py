@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from attesta import samples, schemas
 from attesta.functions import expr
-from attesta.operators import activity, coverage, dedupe, delta, matching, rollups
+from attesta.operators import activity, countifs, coverage, dedupe, delta, matching, rollups
 from attesta.plans import pipeline
 from attesta.plans.tables import place, written
 from attesta.sinks import jsonfile, parquet, xlsx
@@ -272,6 +272,19 @@ def summary_by_stig(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.by_stig(findings(spark, sf_dir)).withColumn("first", F.col("first.l_orderkey"))
 
 
+def countifs_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the report's formulas by server count, beside the exact counts: host names that a sheet reads as patterns, orderings or in another case."""
+    k = (F.col("l_suppkey") % 4).cast("string")
+    names = [F.concat(F.lit(a), k, F.lit(b)) for a, b in (("Web", ""), ("web", ""), ("we?", ""), ("w*", "*"), ("~*web", "?"), (">web", ""), ("=Web", ""), ("<>web", ""), ("web~", "x"), ("<", ""), ("[w]eb.", "+"))]
+    pick = F.get(F.array(*names), (F.col("l_suppkey") % len(names)).cast("int"))
+    rows = findings(spark, sf_dir).select(pick.alias("server"), "severity")
+    cells = rows.select(expr.sanitized("server").alias("cell"), "severity")
+    counted = countifs.counts(rows, "server", cells, "cell", "severity").withColumnRenamed("n", "counted")
+    exact = rows.groupBy("server", "severity").agg(F.count("*").alias("exact"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return counted.join(exact, ["server", "severity"], "full").select("server", "severity", zero("counted"), zero("exact"))
+
+
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.run_summary(findings(spark, sf_dir), 2)
 
@@ -482,7 +495,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         report_findings, status_map, severity_map, severity_override, actionable_filter, rule_lookup_left, benchmark_cascade, benchmark_last_wins, host_keys, stig_keys, rule_stems,
         coverage_pairs, coverage_hosts, coverage_spelling, not_rescanned_pairs, newly_scanned_pairs, pair_list_capped, dedupe_first, duplicate_warnings, delta_pass1, delta_pass2, delta_findings,
-        delta_counts, delta_summary, delta_warnings, untitled_hosts, merged_warnings, summary_by_severity, summary_by_server, summary_by_stig, run_summary, blank_vuln_rate, reference_tokens,
+        delta_counts, delta_summary, delta_warnings, untitled_hosts, merged_warnings, summary_by_severity, summary_by_server, summary_by_stig, countifs_counts, run_summary, blank_vuln_rate, reference_tokens,
         xccdf_scans, xccdf_rule_results, benchmark_rules, bundle_benchmarks, cklb_findings, nessus_findings, odd_files, scan_findings, scan_coverage, scan_warnings, scan_totals, resolved_folders,
         findings_json, findings_parquet, report_workbook, delta_workbook, delta_coverage_listing, report_summary_formulas, cell_sanitise, formula_quote, upload_checks, column_widths, zero_rule_scans, rate_limited_events, job_transitions, expired_events, swept_jobs,
     )
