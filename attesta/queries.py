@@ -300,38 +300,38 @@ def reference_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", *(expr.reference_token(ref, k).alias(k.lower().replace("-", "_")) for k in keys))
 
 
-def _parts(files: DataFrame) -> scanset.ScanSet:
-    return scanset.split(scanset.parsed(files))
+def _parts(files: DataFrame, means: str) -> scanset.ScanSet:
+    return scanset.split(scanset.parsed(files, means))
 
 
 def xccdf_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results files by what names their host, address, benchmark and scanner."""
-    return _parts(samples.xccdf_files(spark, sf_dir)).scans
+    return _parts(samples.xccdf_files(spark, sf_dir), "file").scans
 
 
 def xccdf_rule_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parts(samples.xccdf_files(spark, sf_dir)).results
+    return _parts(samples.xccdf_files(spark, sf_dir), "file").results
 
 
 def benchmark_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = written(scanset.parsed(samples.benchmark_files(spark, sf_dir)), "records")
+    rows = written(scanset.parsed(samples.benchmark_files(spark, sf_dir), "file"), "records")
     parts = scanset.split(rows)
     return parts.rules.join(parts.benchmarks, "bm_ord")
 
 
 def bundle_benchmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmarks out of ZIPs, those in ZIPs within them too, with how many rules they have."""
-    rows = written(scanset.parsed(samples.bundle_files(spark, sf_dir)), "records")
+    rows = written(scanset.parsed(samples.bundle_files(spark, sf_dir), "bundle"), "records")
     parts = scanset.split(rows)
     return parts.benchmarks.join(parts.rules.groupBy("bm_ord").agg(F.count("*").alias("n_rules")), "bm_ord", "left")
 
 
 def cklb_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parts(samples.cklb_files(spark, sf_dir)).self_contained
+    return _parts(samples.cklb_files(spark, sf_dir), "list").self_contained
 
 
 def nessus_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parts(samples.nessus_files(spark, sf_dir)).self_contained
+    return _parts(samples.nessus_files(spark, sf_dir), "file").self_contained
 
 
 def odd_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -344,9 +344,10 @@ def odd_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_set(spark: SparkSession, sf_dir: str) -> pipeline.Parsed:
     """A run of results files of all three kinds and their benchmarks, from files to findings."""
     files = samples.xccdf_files(spark, sf_dir)
-    for more in (samples.cklb_files, samples.nessus_files, samples.benchmark_files):
+    for more in (samples.nessus_files, samples.benchmark_files):
         files = files.unionByName(more(spark, sf_dir))
-    return pipeline.assembled(written(scanset.parsed(files), "records"))
+    lists = scanset.parsed(samples.cklb_files(spark, sf_dir), "list")
+    return pipeline.assembled(written(scanset.parsed(files, "file").unionByName(lists), "records"))
 
 
 def scan_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
