@@ -1,7 +1,17 @@
 """DuckDB SQL that states the same results as the queries."""
 
-from attesta.llm.quality_rules import RULES
-from attesta.llm.secret_scan import KINDS, SCOPE
+#: The rules, patterns and the scope that the SQL states on its own, apart from the operators.
+RULES = {"failed": "base_failed", "short": "n_words < 10", "repeats": "100 * n_repeat_words > 20 * n_words", "symbols": "10 * n_symbols > n_words", "lines": "10 * n_dup_lines > 3 * n_lines"}
+#: kind: pattern, group of the value, its least length, class (secret, identifier, endpoint), strong
+KINDS = {
+    "assign": (r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, "s", True),
+    "access": ("AKIA[A-Z0-9]+", 0, 20, "i", True),
+    "hex": ("[0-9a-f]+", 0, 24, "s", True),
+    "ident": (r"""(?i:(username|user|login|account_?id|client_?id|access_?key_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@+-]+)""", 2, 3, "i", False),
+    "token": ("[A-Za-z0-9+/_-]{20,}", 0, 20, "s", False),
+    "endpoint": ("(?:https?|s3|postgresql|postgres|mysql|mongodb|redis|amqp)://[A-Za-z0-9][A-Za-z0-9._~:/?@%+=&-]*", 0, 8, "e", False),
+}
+SCOPE = 256
 
 SQL: dict[str, str] = {}
 

@@ -130,6 +130,15 @@ def test_chat(spark):
     assert chat.chat_format(turns.limit(0)).count() == 0
 
 
+def test_chat_with_a_long_turn(spark):
+    """A turn of 200,000 characters: a conversation that only differs at its end is no prefix of the other."""
+    long = "é" * 200_000
+    rows = [(1, 0, "user", long), (2, 0, "user", long), (2, 1, "bot", "ok"), (3, 0, "user", long[:-1] + "x"), (4, 0, "user", "q"), (4, 1, "bot", long)]
+    got = {r["conv_id"]: r for r in chat.chat_format(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    said = {2: [("user", long), ("bot", "ok")], 3: [("user", long[:-1] + "x")], 4: [("user", "q"), ("bot", long)]}
+    assert {c: r["rendered_sha256"] for c, r in got.items()} == {c: plain.sha("".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in turns)) for c, turns in said.items()}
+
+
 def test_chat_of_turns_with_one_number(spark):
     said = sorted(("user", f"{i % 7} {words(20, i)} {i}") for i in range(600))
     rows = [(1, 5, r, x) for r, x in said] + [(2, 5, r, x) for r, x in said[:400]] + [(3, t, r, x) for t, (r, x) in enumerate(said)]
