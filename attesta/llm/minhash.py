@@ -149,11 +149,15 @@ def _chunk_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shared_keys(classes: DataFrame) -> DataFrame:
-    """(key, cid, members) for the keys that at least two classes share."""
+    """(key, cid, members) for the keys that at least two classes share; members are the classes that have the key.
+
+    Counts combine on the map side and are written first, so both sides of the join are bare exchanges and nothing after it asks
+    for its partitioning: a key that a third of all classes share is split by adaptive execution.
+    """
     rows = classes.select("cid", "symbols").mapInArrow(_chunk_keys, "key long, cid long")
-    counts = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    # one plan for every size: neither side of these joins is small where it matters
-    return rows.join(counts.hint("merge"), "key").distinct()
+    counts = written(rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "key_counts")
+    # one plan for every size: neither side of this join is small where it matters
+    return rows.join(counts.hint("merge"), "key")
 
 
 def alike(a: str, b: str, percent: int) -> Column:

@@ -304,6 +304,31 @@ def test_texts_of_one_document_join_their_groups(spark):
     assert got == {(3, 3, True), (11, 3, False), (20, 3, False), (30, 30, True), (31, 30, False), (40, 40, True)}
 
 
+def test_a_hot_chunk_key_is_split(spark):
+    """A key of many classes is several tasks of the join, and every class keeps it."""
+    rng = np.random.default_rng(1)
+    symbols = rng.integers(0, 65536, (3000, minhash.CHUNKS * minhash.WIDTH), dtype=np.uint16)
+    symbols[:, : minhash.WIDTH] = symbols[0, : minhash.WIDTH]
+    classes = spark.createDataFrame([(i, bytearray(s.astype("<u2").tobytes())) for i, s in enumerate(symbols)], "cid long, symbols binary").repartition(6)
+    set_for_test = {"spark.sql.shuffle.partitions": "200", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10000", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10000"}
+    before = {k: spark.conf.get(k) for k in set_for_test}
+    try:
+        for k, v in set_for_test.items():
+            spark.conf.set(k, v)
+        keys = minhash.shared_keys(classes)
+        rows = [tuple(r) for r in keys.collect()]
+        plan = keys._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert "SortMergeJoin(skew=true)" in plan
+    hot = {}
+    for key, cid, members in rows:
+        if members == 3000:
+            hot.setdefault(key, set()).add(cid)
+    assert len(hot) == minhash.WIDTH and all(len(cids) == 3000 for cids in hot.values()) and len(rows) == len({r[:2] for r in rows})
+
+
 @pytest.mark.parametrize("edges", [[], [(1, 2)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 30)], [(2, 1), (4, 3), (3, 2), (9, 8), (8, 8)], [(i, (i * 7) % 61) for i in range(61)]])
 def test_components(spark, edges):
     root = {n: n for e in edges for n in e}
