@@ -16,6 +16,8 @@ from attesta.sinks import xlsx
 from attesta.sources import scanset
 
 COMMANDS = ("report", "delta")
+#: Warnings that a workbook names at most; all of them are told on the way.
+MOST_LISTED = 10_000
 #: Options with one value, and with any number of them.
 ONE, MANY = ("--output",), ("--results", "--baseline", "--current", "--benchmarks")
 
@@ -78,19 +80,20 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             parsed = pipeline.parse(spark, args.results, args.benchmarks, progress=read)
             say(pipeline.lines(parsed.told(args.verbose)))
             path = args.output or pipeline.report_name()
-            say(xlsx.write_report(parsed.findings, path, pipeline.ORDER))
+            paths, lost = xlsx.write_report_volumes(parsed.findings, path, pipeline.ORDER)
         else:
             runs = [pipeline.parse(spark, p, args.benchmarks, allow_empty=True, progress=read) for p in (args.baseline, args.current)]
             result = pipeline.compare(*runs)
             told = written(pipeline.told_of_delta(pipeline.merged_warnings(*(r.told(args.verbose) for r in runs)), result.warnings), "told")
             say(pipeline.lines(told))
             path = args.output or pipeline.report_name("delta")
-            say(xlsx.write_delta(result, path, pipeline.first_lines(told, xlsx.MOST_LISTED)))
+            paths, lost = xlsx.write_delta_volumes(result, path, pipeline.first_lines(told, MOST_LISTED))
+        say(lost)
     except (pipeline.PipelineError, ValueError, OSError, PySparkException, Py4JJavaError) as e:
         say(getattr(e, "warnings", []))
         print(f"error: {str(e).strip().partition(chr(10))[0]}", file=sys.stderr)
         return 1
-    print(path)
+    print("\n".join(paths))
     return 0
 
 

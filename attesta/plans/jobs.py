@@ -186,9 +186,9 @@ class Jobs:
 
         def work() -> dict[str, Any]:
             rows = jsonfile.read(self.spark, job["findings"]).withColumn("row_ord", F.monotonically_increasing_id())
-            told = xlsx.write_report(rows, target, ["row_ord"])
+            paths, told = xlsx.write_report_volumes(rows, target, ["row_ord"])
             self._check(job_id)
-            return {"report": target, "warnings": [*job.get("warnings", []), *told]}
+            return {"report": target, "warnings": [*job.get("warnings", []), *told]} | ({"more_reports": paths[1:]} if len(paths) > 1 else {})
 
         if not self._guarded(job_id, work):
             return False
