@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attesta.plans.tables import written
+
 #: Characters before the first wildcard that are joined on.
 LEADING = 6
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
@@ -69,10 +71,12 @@ def matching_cells(criteria: DataFrame, criterion: str, cells: DataFrame, cell:
     return equal.unionByName(wild)
 
 
-def counts(criteria: DataFrame, criterion: str, cells: DataFrame, cell: str, by: str) -> DataFrame:
+def counts(criteria: DataFrame, criterion: str, cells: DataFrame, cell: str, by: str, weight: str | None = None) -> DataFrame:
     """criterion, by and n: how many rows of cells fit each criterion, by a column of their own; criteria that nothing fits have no row.
 
-    cells: rows with the cell and by; they are counted by both before any join.
+    cells: rows with the cell and by, or counts of such rows in the column weight; they are counted by both before any join, and written, so that they are
+    made once.
     """
-    sums = cells.groupBy(cell, by).agg(F.count("*").alias("_n"))
-    return matching_cells(criteria, criterion, cells, cell).join(sums, cell).groupBy(criterion, by).agg(F.sum("_n").alias("n"))
+    n = F.sum(weight) if weight else F.count("*")
+    sums = written(cells.groupBy(cell, by).agg(n.alias("_n")), "cell_sums")
+    return matching_cells(criteria, criterion, sums, cell).join(sums, cell).groupBy(criterion, by).agg(F.sum("_n").alias("n"))
