@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from attesta.plans.tables import scope, shared_dir, written
 
-__all__ = ["LOWER", "NO_ID", "UPPER", "WHITE", "WORD", "apart", "ascii_lower", "keyed", "restored", "scope", "shared_dir", "table", "whole", "words", "written"]
+__all__ = ["LOWER", "NO_ID", "UPPER", "WHITE", "WORD", "apart", "ascii_lower", "keyed", "parted", "restored", "scope", "shared_dir", "table", "whole", "words", "written"]
 
 #: A word is a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -15,6 +15,8 @@ WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Stands for a null doc_id in join keys.
 NO_ID = -(2**63)
+#: Bits of the marks in parted(), 8 MB at most whatever they are made from, and the bits of one bitmap of Spark's.
+MARKS, BITMAP = 2**26, 2**15
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,3 +52,16 @@ def restored(df: DataFrame, columns: list[str], new: dict[str, Column] | None =
     """The columns of _row under their names, those in new replaced."""
     return df.select(*((new or {}).get(c, F.col("_row").getField(c)).alias(c) for c in columns))
 
+
+def parted(rows: DataFrame, few: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose (_id, _th) may occur in few, and those whose doesn't for sure: only the first need a join with few, so no shuffle has the texts of the others.
+
+    Hashes of few's keys are marked in bitmaps, a summary of a fixed size that is broadcast. The more keys, the more rows count as possible; none is lost.
+    """
+    mark = F.pmod(F.xxhash64("_id", "_th"), F.lit(MARKS))
+    marks = few.select(mark.alias("_mark")).select(F.floor(F.col("_mark") / BITMAP).alias("_map"), (F.col("_mark") % BITMAP).alias("_bit"))
+    marks = written(marks.repartition("_map").groupBy("_map").agg(F.bitmap_construct_agg("_bit").alias("_bits")), "marks")
+    held = rows.withColumn("_mark", mark).join(F.broadcast(marks), F.floor(F.col("_mark") / BITMAP) == F.col("_map"), "left")
+    byte = F.conv(F.hex(F.expr(f"substring(_bits, cast(_mark % {BITMAP} / 8 as int) + 1, 1)")), 16, 10).cast("int")
+    marked = F.coalesce(F.expr("shiftleft(1, cast(_mark % 8 as int))").bitwiseAND(byte) > 0, F.lit(False))
+    return held.where(marked).select(*rows.columns), held.where(~marked).select(*rows.columns)

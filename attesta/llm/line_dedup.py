@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import WHITE, apart, ascii_lower, keyed, restored, written
+from attesta.llm.common import WHITE, apart, ascii_lower, keyed, parted, restored, whole, written
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -60,11 +60,12 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
 
 def rewrite(docs: DataFrame) -> DataFrame:
-    """The documents with their kept text and its length, in the columns of docs."""
-    rows = apart(docs)
+    """The documents with their kept text and its length, in the columns of docs; only those that lose a line are shuffled, each with one text."""
     gone = shared_lines(keyed(docs), MIN_CHARS, MIN_DOCS)
-    df = rows.join(gone, ["_id", "_th"], "left").withColumn("_l", F.split("text", "\n", -1))
+    some, rest = parted(apart(docs).drop("text"), gone)
+    df = some.join(gone, ["_id", "_th"], "left").withColumn("_l", F.split(whole("_row.text"), "\n", -1))
     df = df.withColumn("_stay", F.when(F.col("gone").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("_l") - 1), F.col("gone"))))
     df = df.withColumn("_kept", F.when(F.col("gone").isNotNull(), F.array_join(F.transform("_stay", lambda i: F.element_at("_l", i + 1)), "\n")))
     changed = lambda new, c: F.when(F.col("gone").isNull(), F.col(f"_row.{c}")).otherwise(new)
-    return restored(df, docs.columns, {"text": changed(F.col("_kept"), "text")} | ({"n_chars": changed(F.length("_kept").cast("long"), "n_chars")} if "n_chars" in docs.columns else {}))
+    df = restored(df, docs.columns, {"text": changed(F.col("_kept"), "text")} | ({"n_chars": changed(F.length("_kept").cast("long"), "n_chars")} if "n_chars" in docs.columns else {}))
+    return df.union(restored(rest, docs.columns))

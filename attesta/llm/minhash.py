@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attesta.llm.common import NO_ID, apart, ascii_lower, restored, scope, whole, words, written
+from attesta.llm.common import NO_ID, apart, ascii_lower, parted, restored, scope, whole, words, written
 
 #: The operator's own defaults: words in a shingle, and the least similarity of a link in percent.
 SHINGLE = 5
@@ -252,7 +252,7 @@ def class_links(classes: DataFrame, rows: DataFrame, size: int, percent: int) ->
         keys = written(shared_keys(classes), "keys")
         slim = written(classes.select("cid", "_id", "_th", "n", *SKETCH).join(keys.select("cid").distinct(), "cid", "left_semi"), "sketches")
         # one text for each class, however often its row repeats
-        texts = rows.join(slim.select("cid", "_id", "_th").hint("merge"), ["_id", "_th"]).dropDuplicates(["_id", "_th", "cid"]).select("cid", "text")
+        texts = parted(rows, slim)[0].join(slim.select("cid", "_id", "_th").hint("merge"), ["_id", "_th"]).dropDuplicates(["_id", "_th", "cid"]).select("cid", "text")
         texts = written(texts, "texts")
         shared = keys.join(keys.groupBy("cid").agg(F.sum("members").alias("rank")), "cid")
         hubs = shared.groupBy("key").agg(F.max(F.struct("rank", (-F.col("cid")).alias("no"))).alias("top")).select("key", (-F.col("top.no")).alias("hub"))
@@ -308,4 +308,5 @@ def near_dedup(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
 def keep_first(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The documents of the smallest doc_id of each group, in the columns of docs."""
     gone = written(near_groups(docs, size, percent).where(~F.col("kept")).select("_id", "_th").distinct(), "near_copies")
-    return restored(apart(docs).join(gone.hint("merge"), ["_id", "_th"], "left_anti"), docs.columns)
+    some, rest = parted(apart(docs).drop("text"), gone)
+    return restored(some.join(gone.hint("merge"), ["_id", "_th"], "left_anti"), docs.columns).union(restored(rest, docs.columns))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import apart, keyed, restored, written
+from attesta.llm.common import apart, keyed, parted, restored, whole, written
 
 SCOPE = 256
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -133,7 +133,8 @@ def redacted(docs: DataFrame) -> DataFrame:
     Spans that overlap are masked as one. Only documents with spans change.
     """
     spans_of = written(found(docs).where(F.size("all_spans") > 0).select("_id", "_th", "all_spans").dropDuplicates(["_id", "_th"]), "to_redact")
-    df = apart(docs).join(spans_of, ["_id", "_th"], "left").withColumn("_o", F.expr("array_sort(transform(all_spans, x -> named_struct('s', x.s, 'e', x.e)))"))
+    some, unchanged = parted(apart(docs).drop("text"), spans_of)
+    df = some.join(spans_of, ["_id", "_th"], "left").withColumn("text", whole("_row.text")).withColumn("_o", F.expr("array_sort(transform(all_spans, x -> named_struct('s', x.s, 'e', x.e)))"))
     # a span counts as masked from where the spans before it end
     ends = F.expr(
         "aggregate(_o, named_struct('p', 0, 'a', cast(array() as array<struct<s:int,e:int,c:int>>)), (a, x) -> named_struct('p', greatest(a.p, x.e), 'a', case when x.e <= a.p then a.a else concat(a.a, array(named_struct('s', greatest(x.s, a.p), 'e', x.e, 'c', a.p))) end), a -> a.a)"
@@ -144,4 +145,5 @@ def redacted(docs: DataFrame) -> DataFrame:
     masked = F.size("_m") > 0
     df = df.withColumn("_text", F.when(masked, F.concat(pieces, rest)))
     changed = lambda new, c: F.when(masked, new).otherwise(F.col(f"_row.{c}"))
-    return restored(df, docs.columns, {"text": changed(F.col("_text"), "text")} | ({"n_chars": changed(F.length("_text").cast("long"), "n_chars")} if "n_chars" in docs.columns else {}))
+    df = restored(df, docs.columns, {"text": changed(F.col("_text"), "text")} | ({"n_chars": changed(F.length("_text").cast("long"), "n_chars")} if "n_chars" in docs.columns else {}))
+    return df.union(restored(unchanged, docs.columns))

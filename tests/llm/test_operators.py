@@ -9,8 +9,9 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from attesta.llm import bpe, chat, line_dedup, minhash, packing, quality_gbdt, quality_rules, secret_scan, simhash, tokens, toxicity
+from attesta.llm import bpe, chat, common, line_dedup, minhash, packing, quality_gbdt, quality_rules, secret_scan, simhash, tokens, toxicity
 from tests.llm import plain
 
 #: Columns whose names operators might use themselves.
@@ -195,6 +196,50 @@ def test_line_dedup(spark):
     assert sum(SHARED.lower() in (r["text"] or "").lower() for r in out.collect()) == 1
 
 
+def shuffled(spark, f):
+    """What f returns, and the bytes that it shuffled."""
+    sc = spark.sparkContext
+    store, none = sc._jsc.sc().statusStore(), sc._gateway.new_array(sc._jvm.double, 0)
+    written = lambda: (stages := store.stageList(None, False, False, none, None)) and sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.length()))
+    wait = lambda: sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    wait()
+    before, out = written(), f()
+    wait()
+    return out, written() - before
+
+
+@pytest.mark.parametrize("f", [line_dedup.rewrite, minhash.keep_first, secret_scan.redacted])
+def test_only_texts_that_change_are_shuffled(spark, f):
+    rows = [(i, words(4000, i)) for i in range(60)]
+    # six of sixty share a line, of two of them the rest too, and two have a secret
+    rows += [(60 + i, words(4000, 60 + min(i, 4)) + "\n" + SHARED) for i in range(6)] + [(70 + i, words(4000, 70 + i) + " secret=abcdefgh1234") for i in range(2)]
+    key, size = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(key, "-1")
+    try:
+        df = docs(spark, rows).repartition(4)
+        df = minhash.written(df, "input")
+        got, moved = shuffled(spark, lambda: rows_of(f(df).select("doc_id", "text", "n_chars", "source")))
+    finally:
+        spark.conf.set(key, size)
+    last = lambda d, t: t if d == 65 else t.removesuffix("\n" + SHARED)
+    change = {"rewrite": last, "keep_first": lambda d, t: t, "redacted": lambda d, t: t.replace("secret=abcdefgh1234", "[redacted]")}[f.__name__]
+    want = [(d, change(d, t)) for d, t in rows if f is not minhash.keep_first or d != 65]
+    assert sorted(r[:2] for r in got) == want and all(r[2] == len(r[1]) and r[3] == "s" for r in got)
+    assert moved < 0.4 * sum(len(t) for _, t in rows), moved
+
+
+def test_parted_loses_no_row(spark, monkeypatch):
+    """However full the marks are, rows named by few are among the possible ones, and each row is in one part."""
+    rows = spark.range(-2000, 2000).select(F.col("id").alias("_id"), (F.col("id") * 7).alias("_th"), F.lit("t").alias("text"))
+    few = rows.where("_id % 9 = 0").select("_id", "_th", F.lit(1).alias("more"))
+    for bits in (common.MARKS, 2**16, 2**3):
+        monkeypatch.setattr(common, "MARKS", bits)
+        possible, rest = ({r["_id"] for r in x.collect()} for x in common.parted(rows, few.union(few)))
+        assert not possible & rest and len(possible) + len(rest) == 4000 and {i for i in range(-2000, 2000) if i % 9 == 0} <= possible
+        assert bits > 2**15 and len(possible) < 480 or bits == 2**3 and not rest
+    assert [x.count() for x in common.parted(rows, few.where("false"))] == [0, 4000]
+
+
 def fp(h):
     return int(h, 16)
 
