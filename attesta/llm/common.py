@@ -53,12 +53,12 @@ def restored(df: DataFrame, columns: list[str], new: dict[str, Column] | None =
     return df.select(*((new or {}).get(c, F.col("_row").getField(c)).alias(c) for c in columns))
 
 
-def parted(rows: DataFrame, few: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows whose (_id, _th) may occur in few, and those whose doesn't for sure: only the first need a join with few, so no shuffle has the texts of the others.
+def parted(rows: DataFrame, few: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose keys, (_id, _th) if none are named, may occur in few, and those whose don't for sure: only the first need a join with few, so no shuffle has the others.
 
     Hashes of few's keys are marked in bitmaps, a summary of a fixed size that is broadcast. The more keys, the more rows count as possible; none is lost.
     """
-    mark = F.pmod(F.xxhash64("_id", "_th"), F.lit(MARKS))
+    mark = F.pmod(F.xxhash64(*(keys or ("_id", "_th"))), F.lit(MARKS))
     marks = few.select(mark.alias("_mark")).select(F.floor(F.col("_mark") / BITMAP).alias("_map"), (F.col("_mark") % BITMAP).alias("_bit"))
     marks = written(marks.repartition("_map").groupBy("_map").agg(F.bitmap_construct_agg("_bit").alias("_bits")), "marks")
     held = rows.withColumn("_mark", mark).join(F.broadcast(marks), F.floor(F.col("_mark") / BITMAP) == F.col("_map"), "left")

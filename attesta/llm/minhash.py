@@ -18,7 +18,8 @@ linked with the hub, they share at least need - s (r' - a') / (1 + s) added shin
 need + (r' - a') / (1 + s) lacking ones. One of the two is above 0. So all pairs left are found by a join on
 (hub, added shingle), or (hub, lacking shingle) where no added one need be shared, in which both sides leave out as many
 of their most frequent shingles as they share for sure, less one: pages of one template that differ enough share none of
-what is left, and don't meet. Every link is confirmed on the full sets. Components come from alternating large-star and
+what is left, and don't meet. The extremes of r' - a' among a hub's members tell before the join which shingles of a member
+no pair needs; only the others are shuffled for it. Every link is confirmed on the full sets. Components come from alternating large-star and
 small-star steps.
 
 Defined cases: a null, empty or wordless text has no set and is its own component; fewer words than a shingle are one
@@ -46,8 +47,6 @@ HASHES, CHUNKS, WIDTH = 512, 12, 6
 SKETCH = [f"b{i}" for i in range(HASHES // 64)]
 #: Rows that a worker takes up at a time.
 SLICE = 256
-#: Rarest shingles of a member that tell from which of its shingles a pair is taken.
-FIRST = 16
 
 
 def most_bits(percent: int) -> int:
@@ -156,8 +155,8 @@ def shared_keys(classes: DataFrame) -> DataFrame:
     """
     rows = classes.select("cid", "symbols").mapInArrow(_chunk_keys, "key long, cid long")
     counts = written(rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "key_counts")
-    # one plan for every size: neither side of this join is small where it matters
-    return rows.join(counts.hint("merge"), "key")
+    # most keys are of one class and go no further; one plan for every size: neither side of this join is small where it matters
+    return parted(rows, counts, "key")[0].join(counts.hint("merge"), "key")
 
 
 def alike(a: str, b: str, percent: int) -> Column:
@@ -176,6 +175,8 @@ def compared(pairs: DataFrame, texts: DataFrame, size: int, percent: int, name:
 
     Written, as a filter on linked would be pushed down to the words and evaluate them for every shingle.
     """
+    # one exchange serves both sides, and holds the texts of pairs only
+    texts = parted(texts, pairs.select(F.explode(F.array("a", "b")).alias("cid")), "cid")[0]
     left, right = texts.select(F.col("cid").alias("a"), F.col("text").alias("ta")), texts.select(F.col("cid").alias("b"), F.col("text").alias("tb"))
     df = pairs.join(left, "a").join(right, "b")
     df = with_shingles(with_shingles(df, "ta", "sa", size), "tb", "sb", size).withColumn("both", F.size(F.array_intersect("sa", "sb")))
@@ -223,27 +224,38 @@ def spokes(keys: DataFrame, hubs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def beside_hubs(edits: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs of different components that may share enough of how they differ from their hub; edits as compared() gives them."""
-    rows = edits.select("b", "a", "root", "linked", "need", "less", F.explode(F.array(F.struct(F.lit(True).alias("adds"), F.col("added").alias("l")), F.struct(F.lit(False).alias("adds"), F.col("lacking").alias("l")))).alias("part"))
-    rows = rows.select(F.col("b").alias("hub"), F.col("a").alias("cid"), "root", "linked", "need", "less", "part.adds", F.explode("part.l").alias("token"))
+    """a, b: pairs of different components that may share enough of how they differ from their hub; edits as compared() gives them.
+
+    What a member must share at least with any other of its hub, by the extremes of less there, tells shingles of it that no pair needs.
+    Shingles travel as a hash with hub and side, beside the ids of their member; what else is known of it is joined to them.
+    """
+    f, g = -percent / (100 + percent), 100 / (100 + percent)
+    edits = edits.withColumnsRenamed({"b": "hub", "a": "cid"})
+    slim = edits.select("hub", "cid", "root", "linked", "need", "less")
+    slim = slim.join(slim.groupBy("hub").agg(F.min("less").alias("low"), F.max("less").alias("high")), "hub")
+    # both are at most what shared() gives below for any pair of the member
+    slim = slim.select("hub", "cid", "root", "linked", "need", "less", (F.col("need") + f * F.col("high") - 1e-9).alias("adding"), (F.col("need") + g * F.col("low") - 1e-9).alias("lacking"))
+    slim = written(slim, "members")
+    sides = F.array(F.struct(F.lit(True).alias("adds"), F.col("added").alias("l")), F.struct(F.lit(False).alias("adds"), F.when(F.col("adding") <= 0, F.col("l")).alias("l")))
+    rows = edits.select("hub", "cid", "added", F.col("lacking").alias("l")).join(slim.select("hub", "cid", "root", "adding"), ["hub", "cid"])
+    rows = rows.select("hub", "cid", "root", F.explode(sides).alias("part")).select("hub", "cid", "root", "part.adds", F.explode("part.l").alias("token"))
+    rows = rows.select("hub", "cid", "root", "adds", F.xxhash64("hub", "adds", "token").alias("key"))
     # shingles of several components; counts and extremes combine on the map side
-    key = ["hub", "adds", "token"]
-    common = rows.groupBy(*key).agg(F.count("*").alias("df"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select(*key, "df")
-    rows = rows.join(common, key)
+    common = rows.groupBy("key").agg(F.count("*").alias("df"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key", "df")
+    rows = rows.select("hub", "cid", "adds", "key").join(common, "key").join(slim, ["hub", "cid"])
     own = Window.partitionBy("hub", "adds", "cid")
-    rows = rows.withColumn("no", F.row_number().over(own.orderBy("df", "token"))).withColumn("rank", F.count("*").over(own) - F.col("no") + 1)
-    rarest = F.sort_array(F.collect_list(F.when(F.col("no") <= FIRST, F.struct("no", "token"))).over(own))
-    rows = written(rows.withColumn("first", F.transform(rarest, lambda r: r["token"])).drop("df", "no"), "edit_shingles")
-    x, y = _prefixed(rows.where("not linked"), "x_"), _prefixed(rows, "y_")
-    met = (F.col("x_hub") == F.col("y_hub")) & (F.col("x_adds") == F.col("y_adds")) & (F.col("x_token") == F.col("y_token")) & (F.col("x_root") != F.col("y_root"))
-    once = F.col("y_linked") | (F.col("x_cid") < F.col("y_cid"))
-    shared = lambda f: F.greatest(F.col("x_need") + f * F.col("y_less"), F.col("y_need") + f * F.col("x_less")) - 1e-9
-    adding, lacking = shared(-percent / (100 + percent)), shared(100 / (100 + percent))
-    least = F.when(F.col("x_adds"), F.when(adding > 0, adding)).otherwise(F.when(adding <= 0, lacking))
-    far = (F.col("x_rank") >= least) & (F.col("y_rank") >= least)
-    # from the rarest shared shingle where both lists hold it; further repeats go by distinct
-    rarest = F.get(F.array_intersect("x_first", "y_first"), 0)
-    return _ordered(x.join(y, met & once & far & F.coalesce(rarest == F.col("x_token"), F.lit(True))), "x_cid", "y_cid")
+    rows = rows.withColumn("rank", F.count("*").over(own) - F.row_number().over(own.orderBy("df", "key")) + 1)
+    rows = rows.where(F.col("rank") >= F.when(F.col("adds"), F.col("adding")).otherwise(F.col("lacking")))
+    rows = written(rows.select("key", "cid", "adds", "root", "linked", "need", "less", "rank"), "edit_shingles")
+    # both sides read one exchange, so no condition of one side alone goes below it
+    x, y = rows.alias("x"), rows.alias("y")
+    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root"))
+    once = F.when(F.col("y.linked"), ~F.col("x.linked")).otherwise(~F.col("x.linked") & (F.col("x.cid") < F.col("y.cid")))
+    shared = lambda c: F.greatest(F.col("x.need") + c * F.col("y.less"), F.col("y.need") + c * F.col("x.less")) - 1e-9
+    adding, lacking = shared(f), shared(g)
+    least = F.when(F.col("x.adds") & F.col("y.adds"), F.when(adding > 0, adding)).otherwise(F.when(adding <= 0, lacking))
+    far = (F.col("x.rank") >= least) & (F.col("y.rank") >= least)
+    return _ordered(x.join(y, met & once & far), "x.cid", "y.cid")
 
 
 def class_links(classes: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:

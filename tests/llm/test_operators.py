@@ -635,3 +635,67 @@ def test_template_pages_do_not_meet(spark, monkeypatch):
         totals.append(sum(seen.values()))
         assert seen["beside_hubs"] <= n
     assert totals[1] <= 3 * totals[0]
+
+
+def edits_of(spark, hubs, members, seed):
+    """Rows as compared() gives them, of members that add to and lack some of a hub's shingles; and the sets."""
+    rng, rows, sets = random.Random(seed), [], {}
+    for h in range(hubs):
+        hub = [h * 10_000 + i for i in range(300)]
+        pool = [h * 10_000 + 1000 + i for i in range(120)]
+        for m in range(members):
+            # near ones in pairs, the rest by chance, some of them linked with the hub
+            r = random.Random(f"{seed} {h} {m // 2}") if m % 3 else rng
+            lack, add = r.sample(hub, r.choice((5, 40, 60, 80))), r.sample(pool, r.choice((0, 8, 40, 60, 80)))
+            add = [*add, 10**9 + h * 1000 + m]
+            both = len(hub) - len(lack)
+            need = (100 * len(lack) + 80 * len(add) - 20 * len(hub)) / 180
+            cid = h * 1000 + m + 1
+            rows.append((cid, h * 1000, cid if m % 5 else h * 1000 + 1, 100 * both >= 80 * (len(hub) + len(add)), [minhash_of(x) for x in add], [minhash_of(x) for x in lack], need, len(lack) - len(add)))
+            sets[cid] = (h, rows[-1][2], rows[-1][3], set(hub) - set(lack) | set(add))
+    return spark.createDataFrame(rows, "a long, b long, root long, linked boolean, added array<long>, lacking array<long>, need double, less int"), sets
+
+
+def minhash_of(x):
+    return int.from_bytes(hashlib.md5(str(x).encode()).digest()[:8], "little", signed=True)
+
+
+def test_pairs_beside_hubs_are_found_by_few_rows(spark):
+    """Every pair that is similar enough meets, and a shingle travels without what is known of its whole member."""
+    edits, sets = edits_of(spark, 3, 60, 1)
+    edits = minhash.written(edits.repartition(4), "edits")
+    key, size = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(key, "-1")
+    try:
+        got, moved = shuffled(spark, lambda: {tuple(r) for r in minhash.beside_hubs(edits, 80).collect()})
+    finally:
+        spark.conf.set(key, size)
+    near = lambda x, y: 100 * len(x & y) >= 80 * len(x | y)
+    want = {(a, b) for a, (h, r, i, x) in sets.items() for b, (k, s, j, y) in sets.items() if a < b and h == k and r != s and not (i and j) and near(x, y)}
+    assert len(want) > 20 and want <= got, (len(want), len(want - got))
+    n = edits.select(F.sum(F.size("added") + F.size("lacking"))).first()[0]
+    assert moved < 60 * n, moved / n
+
+
+def test_only_texts_of_pairs_are_shuffled(spark):
+    texts = minhash.written(spark.createDataFrame([(i, words(4000, i)) for i in range(60)], "cid long, text string").repartition(4), "input")
+    pairs = spark.createDataFrame([(1, 2), (3, 2)], "a long, b long")
+    key, size = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(key, "-1")
+    try:
+        got, moved = shuffled(spark, lambda: sorted(tuple(r) for r in minhash.compared(pairs, texts, 5, 80, "pairs").collect()))
+    finally:
+        spark.conf.set(key, size)
+    assert got == [(1, 2, False), (3, 2, False)]
+    assert moved < 0.4 * texts.select(F.sum(F.length("text"))).first()[0], moved
+
+
+def test_keys_of_one_class_are_shuffled_once(spark):
+    """A chunk key that no other class has is counted and then left out, not shuffled again."""
+    rng = np.random.default_rng(1)
+    symbols = [rng.integers(0, 2**16, minhash.CHUNKS * minhash.WIDTH, dtype="<u2").tobytes() for _ in range(400)]
+    classes = minhash.written(spark.createDataFrame([(i, bytearray(symbols[max(i, 1)])) for i in range(400)], "cid long, symbols binary").repartition(4), "classes")
+    got, moved = shuffled(spark, lambda: Counter((r["cid"], r["members"]) for r in minhash.shared_keys(classes).collect()))
+    n = minhash.CHUNKS * minhash.WIDTH
+    assert got == {(0, 2): n, (1, 2): n}
+    assert moved < 16 * 400 * n, moved / (400 * n)
